@@ -158,3 +158,94 @@ def sql(body: str) -> str:
         return body
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in names]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# ---- scores of the ML family and the comparison tables ----------------------------
+
+cte("alg", (), """
+  SELECT a.algorithm, a.ai, r.arm FROM (VALUES ('CNB', 0), ('LR', 1), ('DT', 2), ('MLP', 3), ('SVM', 4), ('RF', 5)) a(algorithm, ai),
+    (VALUES (0), (1)) r(arm)""")
+
+cte("predictions", ("samples", "alg"), """
+  SELECT project, github_path, doc_id, algorithm, arm, label, score, CAST(score >= 0.5 AS INTEGER) AS prediction FROM (
+    SELECT s.project_name AS project, s.github_path, s.doc_id, alg.algorithm, alg.arm, s.label,
+      CAST(((s.doc_id // 20) * 37 + s.doc_id * 11 + alg.ai * 7 + alg.arm * 13 + s.label * 9) % 100 AS DOUBLE) / 100.0 AS score
+    FROM samples s, alg WHERE s.split = 'test')""")
+
+cte("pred_ranked", ("predictions",), """
+  SELECT *, rank() OVER (PARTITION BY project, algorithm, arm ORDER BY score)
+       + (count(*) OVER (PARTITION BY project, algorithm, arm, score) - 1) / 2.0 AS avg_rank
+  FROM predictions""")
+
+cte("auc", ("pred_ranked",), """
+  SELECT project, algorithm, arm,
+    (sum(CASE WHEN label = 1 THEN avg_rank ELSE 0 END) - CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE)
+       * (sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) + 1) / 2.0)
+     / nullif(CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) * sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE), 0)
+     AS auc
+  FROM pred_ranked GROUP BY project, algorithm, arm""")
+
+cte("ml_eval", ("predictions", "auc"), f"""
+  SELECT c.project, c.algorithm, c.arm, CASE WHEN a.auc = 0 THEN NULL ELSE a.auc END AS auc,
+    {ratio('c.tp + c.tn', 'c.n')} AS accuracy, {ratio('c.tp', 'c.tp + c.fp')} AS precision,
+    {ratio('c.tp', 'c.tp + c.fn')} AS recall, {ratio('2 * c.tp', '2 * c.tp + c.fp + c.fn')} AS f1,
+    c.tp, c.fp, c.tn, c.fn
+  FROM (SELECT project, algorithm, arm, count(*) AS n, {CONFUSION} FROM predictions GROUP BY ALL) c
+  LEFT JOIN auc a ON c.project = a.project AND c.algorithm = a.algorithm AND c.arm = a.arm""")
+
+cte("ml_metrics", ("ml_eval",), """
+  SELECT project, algorithm || CASE WHEN arm = 0 THEN ' with anti-pattern metrics'
+                                    ELSE ' without_anti-pattern_metrics' END AS algorithm_metric,
+    auc, accuracy, precision, recall, f1, tp, fp, tn, fn FROM ml_eval""")
+
+cte("llm_best", ("project_metrics",), """
+  SELECT project, model, f1 FROM project_metrics WHERE comments_included AND prompting = 'fewShot'""")
+
+_LLM = ("artigenz", "codellama", "qwen")
+_ML = ("CNB", "DT", "LR", "MLP", "RF", "SVM")
+cte("f1_wide", ("llm_best", "ml_metrics"), """
+  SELECT coalesce(l.project, m.project) AS project, """
+    + ", ".join(f'l."{x}"' for x in _LLM) + ", " + ", ".join(f'm."{x}"' for x in _ML) + """
+  FROM (SELECT project, """
+    + ", ".join(f"max(CASE WHEN model = '{x}' THEN f1 END) AS \"{x}\"" for x in _LLM) + """
+        FROM llm_best GROUP BY project) l
+  FULL OUTER JOIN (SELECT project, """
+    + ", ".join(f"max(CASE WHEN algorithm_metric = '{x} with anti-pattern metrics' THEN f1 END) AS \"{x}\""
+                for x in _ML) + """
+        FROM ml_metrics GROUP BY project) m ON l.project = m.project""")
+
+cte("f1_long", ("f1_wide",), "\n  UNION ALL ".join(
+    f"SELECT project, '{x}' AS name, \"{x}\" AS f1, '{'llm' if x in _LLM else 'ml'}' AS family FROM f1_wide"
+    for x in (*_LLM, *_ML)))
+
+cte("pairs", ("f1_long",), """
+  SELECT l.project, l.name AS llm, m.name AS ml, l.f1 AS llm_f1, m.f1 AS ml_f1
+  FROM f1_long l JOIN f1_long m ON l.project = m.project
+  WHERE l.family = 'llm' AND m.family = 'ml' AND l.f1 IS NOT NULL AND m.f1 IS NOT NULL""")
+
+cte("pair_d", ("pairs",), "SELECT llm, ml, project, llm_f1 - ml_f1 AS d FROM pairs")
+
+cte("signed_rank", ("pair_d",), """
+  SELECT c.llm, c.ml, c.n_pairs, coalesce(s.n, 0) AS n, coalesce(s.r_plus, 0.0) AS r_plus,
+    coalesce(s.r_minus, 0.0) AS r_minus, CAST(coalesce(t.tie_term, 0) AS BIGINT) AS tie_term,
+    CASE WHEN coalesce(s.n, 0) > 0 THEN
+      (least(s.r_plus, s.r_minus) - CAST(s.n AS DOUBLE) * (s.n + 1) / 4.0)
+      / sqrt((CAST(s.n AS DOUBLE) * (s.n + 1) * (2.0 * s.n + 1) - 0.5 * CAST(coalesce(t.tie_term, 0) AS DOUBLE)) / 24.0)
+    END AS z
+  FROM (SELECT llm, ml, count(*) AS n_pairs FROM pair_d GROUP BY ALL) c
+  LEFT JOIN (
+    SELECT llm, ml, count(*) AS n, sum(CASE WHEN d > 0 THEN rank ELSE 0.0 END) AS r_plus,
+      sum(CASE WHEN d < 0 THEN rank ELSE 0.0 END) AS r_minus
+    FROM (SELECT llm, ml, d, rank() OVER (PARTITION BY llm, ml ORDER BY abs(d))
+              + (count(*) OVER (PARTITION BY llm, ml, abs(d)) - 1) / 2.0 AS rank
+          FROM pair_d WHERE d <> 0)
+    GROUP BY ALL) s ON c.llm = s.llm AND c.ml = s.ml
+  LEFT JOIN (
+    SELECT llm, ml, sum(t * (t * t - 1)) AS tie_term
+    FROM (SELECT llm, ml, abs(d) AS ad, count(*) AS t FROM pair_d WHERE d <> 0 GROUP BY ALL) GROUP BY ALL
+  ) t ON c.llm = t.llm AND c.ml = t.ml""")
+
+cte("cles", ("pairs",), """
+  SELECT llm, ml, count(*) AS n_pairs,
+    CASE WHEN count(*) >= 2 THEN avg(CASE WHEN llm_f1 > ml_f1 THEN 1.0 WHEN llm_f1 = ml_f1 THEN 0.5 ELSE 0.0 END) END AS cles
+  FROM pairs GROUP BY ALL""")
