@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from binscore.plans import queries_analysis, queries_compare  # noqa: F401
+    from binscore.plans import queries_analysis, queries_compare, queries_learn  # noqa: F401

@@ -249,3 +249,92 @@ cte("cles", ("pairs",), """
   SELECT llm, ml, count(*) AS n_pairs,
     CASE WHEN count(*) >= 2 THEN avg(CASE WHEN llm_f1 > ml_f1 THEN 1.0 WHEN llm_f1 = ml_f1 THEN 0.5 ELSE 0.0 END) END AS cles
   FROM pairs GROUP BY ALL""")
+
+
+# ---- feature matrix and the closed-form learners ----------------------------------
+
+FEATS = ("f_chars", "f_words", "f_lines", "f_commas", "f_periods", "f_upper_the", "f_no", "f_const", "f_dup")
+ABLATABLE = ("f_commas", "f_periods", "f_no")
+
+
+def occ(t: str, x: str) -> str:
+    return f"CAST(length({t}) - length(replace({t}, '{x}', '')) AS DOUBLE) / {len(x)}"
+
+
+cte("features", ("samples",), f"""
+  SELECT s.doc_id, s.project_name, s.file, s.github_path, s.token_size, s.file_available, s.label, s.split,
+    {norm('s.project_name')} AS project,
+    CAST(s.token_size AS DOUBLE) AS f_chars, {occ('d.text', ' ')} + 1.0 AS f_words,
+    {occ('d.text', chr(10))} + 1.0 AS f_lines, {occ('d.text', ',')} AS f_commas, {occ('d.text', '.')} AS f_periods,
+    {occ('d.text', 'The')} AS f_upper_the, {occ('d.text', 'no')} AS f_no, 1.0 AS f_const,
+    ({occ('d.text', ' ')} + 1.0) * 2.0 AS f_dup
+  FROM samples s JOIN documents d ON s.doc_id = d.doc_id""")
+
+cte("skip_rule", ("samples",), f"""
+  SELECT coalesce(tr.project, te.project) AS project, coalesce(tr.n, 0) AS n_train, coalesce(te.n, 0) AS n_test,
+    coalesce(tr.pos, 0) AS pos_train, coalesce(te.pos, 0) AS pos_test,
+    CASE WHEN coalesce(tr.n, 0) = 0 AND coalesce(te.n, 0) = 0 THEN 'no_split'
+         WHEN coalesce(tr.pos, 0) = 0 OR coalesce(te.pos, 0) = 0 THEN 'no_positive' END AS skip_reason
+  FROM (SELECT {norm('project_name')} AS project, count(*) AS n, {cnt('label = 1')} AS pos
+        FROM samples WHERE split = 'train' GROUP BY 1) tr
+  FULL OUTER JOIN (SELECT {norm('project_name')} AS project, count(*) AS n, {cnt('label = 1')} AS pos
+        FROM samples WHERE split = 'test' GROUP BY 1) te ON tr.project = te.project""")
+
+cte("ml_features", ("features", "skip_rule"), """
+  SELECT * FROM features WHERE project IN (SELECT project FROM skip_rule WHERE skip_reason IS NULL)""")
+
+_CORR_COLS = ("label", *FEATS)
+_PAIRS = [(i, a, j, b) for i, a in enumerate(_CORR_COLS) for j, b in enumerate(_CORR_COLS) if j > i]
+
+
+def _masked(x: str, y: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN CAST({x} AS DOUBLE) END"
+
+
+cte("corr_wide", ("ml_features",), "SELECT project, " + ", ".join(
+    f"covar_pop({_masked(a, b)}, {_masked(b, a)}) AS cov_{i}_{j}, stddev_pop({_masked(a, b)}) AS sa_{i}_{j}, "
+    f"stddev_pop({_masked(b, a)}) AS sb_{i}_{j}" for i, a, j, b in _PAIRS) + " FROM ml_features GROUP BY project")
+
+cte("corr", ("corr_wide",), "\n  UNION ALL ".join(
+    f"SELECT project, '{a}' AS col_a, {i} AS pos_a, '{b}' AS col_b, {j} AS pos_b, "
+    f"round(cov_{i}_{j} / nullif(sa_{i}_{j} * sb_{i}_{j}, 0), 9) AS r FROM corr_wide" for i, a, j, b in _PAIRS))
+
+_ABL = ", ".join(f"'{x}'" for x in ABLATABLE)
+cte("dropped", ("corr",), f"""
+  SELECT DISTINCT project, 0 AS arm, col_a AS feature FROM corr WHERE abs(r) > 0.7 AND col_a <> 'label'
+  UNION SELECT DISTINCT project, 1 AS arm, col_a AS feature FROM corr
+    WHERE abs(r) > 0.7 AND col_a <> 'label' AND col_a NOT IN ({_ABL}) AND col_b NOT IN ({_ABL})""")
+
+cte("used_features", ("skip_rule", "dropped"), f"""
+  SELECT k.project, a.arm, f.feature FROM (SELECT project FROM skip_rule WHERE skip_reason IS NULL) k,
+    (VALUES (0), (1)) a(arm), (VALUES {', '.join(f"('{x}')" for x in FEATS)}) f(feature)
+  WHERE NOT (a.arm = 1 AND f.feature IN ({_ABL}))
+    AND (k.project, a.arm, f.feature) NOT IN (SELECT project, arm, feature FROM dropped)""")
+
+cte("feat_long", ("ml_features",), "\n  UNION ALL ".join(
+    f"SELECT project, github_path, label, split, '{x}' AS feature, CAST({x} AS DOUBLE) AS x FROM ml_features"
+    for x in FEATS))
+
+cte("minmax", ("feat_long",), """
+  SELECT project, feature, min(x) AS lo, max(x) AS hi FROM feat_long WHERE split = 'train' GROUP BY ALL""")
+
+cte("scaled_long", ("feat_long", "minmax"), """
+  SELECT f.project, f.github_path, f.label, f.split, f.feature,
+    (f.x - m.lo) / CASE WHEN m.hi - m.lo = 0 THEN 1.0 ELSE m.hi - m.lo END AS x
+  FROM feat_long f JOIN minmax m ON f.project = m.project AND f.feature = m.feature""")
+
+cte("cnb_weights", ("scaled_long", "used_features"), """
+  SELECT project, arm, feature, -ln(q0 / sum(q0) OVER (PARTITION BY project, arm)) AS w0,
+    -ln(q1 / sum(q1) OVER (PARTITION BY project, arm)) AS w1
+  FROM (SELECT s.project, u.arm, s.feature,
+          0.001 + sum(CASE WHEN s.label = 1 THEN s.x ELSE 0.0 END) AS q0,
+          0.001 + sum(CASE WHEN s.label = 0 THEN s.x ELSE 0.0 END) AS q1
+        FROM scaled_long s JOIN used_features u ON s.project = u.project AND s.feature = u.feature
+        WHERE s.split = 'train' GROUP BY ALL)""")
+
+cte("cnb", ("scaled_long", "cnb_weights"), """
+  SELECT project, arm, github_path, label, round(1.0 / (1.0 + exp(jll0 - jll1)), 9) AS score,
+    CASE WHEN jll1 > jll0 THEN 1 ELSE 0 END AS prediction
+  FROM (SELECT s.project, w.arm, s.github_path, s.label, sum(s.x * w.w0) AS jll0, sum(s.x * w.w1) AS jll1
+        FROM scaled_long s JOIN cnb_weights w ON s.project = w.project AND s.feature = w.feature
+        WHERE s.split = 'test' GROUP BY ALL)""")
