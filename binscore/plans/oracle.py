@@ -338,3 +338,99 @@ cte("cnb", ("scaled_long", "cnb_weights"), """
   FROM (SELECT s.project, w.arm, s.github_path, s.label, sum(s.x * w.w0) AS jll0, sum(s.x * w.w1) AS jll1
         FROM scaled_long s JOIN cnb_weights w ON s.project = w.project AND s.feature = w.feature
         WHERE s.split = 'test' GROUP BY ALL)""")
+
+
+# ---- inference: source text, exemplars, prompts, keyword scorer ---------------------
+
+def lit(s: str) -> str:
+    """A Python string as a DuckDB string expression (newlines via chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+# prompt wording (fixed values, restated for the oracle)
+_ZS_SYS = ("You are an AI binary performance bug classifier that identifies whether the provided code contains "
+           "perforamnce bug or not.Provide response only in following format: performance bug: <YES or NO>"
+           "Do not include anything else in response.")
+_ZS_Q = "Does the following code snippet contains any performance bug?"
+_FS_SYS = ("You are an AI binary classifier tasked with identifying whether a code file contains performance bugs. "
+           "Respond only in the following format: performance bug: <YES or NO>. Do not include anything else in "
+           "the response. ")
+_FS_Q = "Does the following code snippet contain any performance bug?\n"
+_KW = r"(^|[^\p{L}\p{N}_])(while|for|loop)($|[^\p{L}\p{N}_])"
+_WS = r"[ \t\n\r\f]+"
+
+
+def zs_render(c: str) -> str:
+    return f"'system: ' || {lit(_ZS_SYS)} || chr(10) || 'user: ' || {lit(_ZS_Q)} || {c}"
+
+
+def fs_render(c: str, pos: str, neg: str) -> str:
+    def ask(x):
+        return f"'user: ' || {lit(_FS_Q)} || {x} || chr(10)"
+    return " || chr(10) || ".join([f"'system: ' || {lit(_FS_SYS)}", ask(pos), "'assistant: performance bug: YES'",
+                                    ask(neg), "'assistant: performance bug: NO'", ask(c)])
+
+
+def ws_tokens(x: str) -> str:
+    return f"CAST(len(list_filter(regexp_split_to_array({x}, '{_WS}'), lambda t: t <> '')) AS BIGINT)"
+
+
+def kw_response(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN regexp_matches({x}, '{_KW}') "
+            f"THEN 'performance bug: YES' ELSE 'performance bug: NO' END")
+
+
+cte("files_with", (), """
+  SELECT doc_id, source AS project, 'src/doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text
+  FROM documents WHERE doc_id % 43 <> 0""")
+
+cte("files_without", (), """
+  SELECT doc_id, source AS project, 'src/doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+    CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE text END AS text
+  FROM documents WHERE doc_id % 43 <> 0""")
+
+cte("exemplars", ("samples",), """
+  SELECT project_name, max(CASE WHEN label = 1 THEN github_path END) AS positive_example,
+    max(CASE WHEN label = 0 THEN github_path END) AS negative_example
+  FROM (SELECT project_name, label, github_path, row_number() OVER (
+          PARTITION BY project_name, label ORDER BY token_size ASC NULLS LAST, github_path) AS rn
+        FROM samples WHERE split = 'train' AND label IN (0, 1))
+  WHERE rn = 1 GROUP BY project_name
+  HAVING max(CASE WHEN label = 1 THEN github_path END) IS NOT NULL
+     AND max(CASE WHEN label = 0 THEN github_path END) IS NOT NULL""")
+
+cte("zs_in", ("samples", "files_with"), f"""
+  SELECT s.doc_id, s.project_name, s.file, s.github_path, s.label, f.text AS content,
+    CASE WHEN f.text IS NOT NULL THEN 1 ELSE -1 END AS status,
+    CASE WHEN f.text IS NULL THEN 'File not found' END AS failure,
+    CASE WHEN f.text IS NOT NULL THEN {zs_render('f.text')} END AS prompt_text
+  FROM samples s LEFT JOIN files_with f ON f.project = s.project_name AND f.path = ltrim(s.github_path, '/')
+  WHERE s.split = 'test' AND s.file_available = 1""")
+
+cte("fs_in", ("samples", "files_with", "exemplars"), f"""
+  SELECT doc_id, project_name, file, github_path, label, positive_example, negative_example, content,
+    CASE WHEN ok THEN 1 ELSE -1 END AS status,
+    CASE WHEN NOT ok THEN 'Failed to read or File not found' END AS failure,
+    CASE WHEN ok THEN {fs_render('content', 'pos_text', 'neg_text')} END AS prompt_text
+  FROM (SELECT s.doc_id, s.project_name, s.file, s.github_path, s.label, e.positive_example, e.negative_example,
+          f.text AS content, p.text AS pos_text, n.text AS neg_text,
+          f.text IS NOT NULL AND p.text IS NOT NULL AND n.text IS NOT NULL AS ok
+        FROM samples s JOIN exemplars e ON s.project_name = e.project_name
+        LEFT JOIN files_with f ON f.project = s.project_name AND f.path = ltrim(s.github_path, '/')
+        LEFT JOIN files_with p ON p.project = s.project_name AND p.path = ltrim(e.positive_example, '/')
+        LEFT JOIN files_with n ON n.project = s.project_name AND n.path = ltrim(e.negative_example, '/')
+        WHERE s.split = 'test')""")
+
+
+def _scored(src: str, few: bool) -> str:
+    ex = "positive_example, negative_example, " if few else ""
+    return f"""
+  SELECT doc_id, project_name, file, github_path, label, {ex}response,
+    {parse(clean('response'))} AS prediction, failure AS errors,
+    CASE WHEN prompt_text IS NOT NULL THEN {ws_tokens('prompt_text')} END AS token_size
+  FROM (SELECT *, {kw_response('prompt_text')} AS response FROM {src})"""
+
+
+cte("zs_scored", ("zs_in",), _scored("zs_in", False))
+cte("fs_scored", ("fs_in",), _scored("fs_in", True))

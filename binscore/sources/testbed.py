@@ -84,18 +84,24 @@ def without_first_line(text: Column) -> Column:
     return F.when(pos > 0, F.substr(text, pos + F.lit(1))).otherwise(text)
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(variant, project, path, text); files with doc_id % 43 = 0 are missing."""
+def source_files(spark: SparkSession, sf_dir: str, variant: str | None = None) -> DataFrame:
+    """(doc_id, variant, project, path, text); files with doc_id % 43 = 0 are
+    missing.  ``variant`` ('with' / 'without' comments) builds only that
+    tree, as a scan of a ``variant=``-partitioned source tree would prune
+    to one partition (A5)."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).where(
         F.col("doc_id") % 43 != 0)
+    base = [F.col("doc_id")]
+    tail = [F.col("source").alias("project"), _path("src/doc_", F.col("doc_id")).alias("path")]
+    if variant is not None:
+        text = F.col("text") if variant == "with" else without_first_line(F.col("text"))
+        return docs.select(*base, F.lit(variant).alias("variant"), *tail, text.alias("text"))
     variants = F.explode(F.array(
         F.struct(F.lit("with").alias("variant"), F.col("text").alias("content")),
         F.struct(F.lit("without").alias("variant"), without_first_line(F.col("text")).alias("content")),
     ))
-    return docs.select(
-        F.col("doc_id"), F.col("source").alias("project"),
-        _path("src/doc_", F.col("doc_id")).alias("path"), variants.alias("v"),
-    ).select("doc_id", "v.variant", "project", "path", F.col("v.content").alias("text"))
+    return docs.select(*base, *tail, variants.alias("v")).select(
+        "doc_id", "v.variant", "project", "path", F.col("v.content").alias("text"))
 
 
 def _config_array() -> Column:
