@@ -25,6 +25,8 @@ from binscore.operators.metrics import count_when
 NON_FEATURES = ("Project_name", "project_name", "File", "file", "github_path", "token_size",
                 "file_available", "token_size_codellama", "doc_id")
 CNB_ALPHA = 0.001
+# stopping tolerance of the reference's learners (their library default)
+TOLERANCE = 1e-4
 
 
 def drop_non_features(df: DataFrame, names=NON_FEATURES) -> DataFrame:
@@ -150,7 +152,7 @@ def make_estimator(algorithm: str, n_features: int, weight_sum: float, params: d
     reg = 1.0 / max(weight_sum, 1.0)
     if algorithm == "LR":
         return LogisticRegression(maxIter=p.get("maxIter", 100), regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, weightCol="weight")
+                                  standardization=False, weightCol="weight", tol=TOLERANCE)
     if algorithm == "DT":
         return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="0.3",
                                       impurity="entropy", maxDepth=6, seed=0, weightCol="weight")
@@ -160,10 +162,10 @@ def make_estimator(algorithm: str, n_features: int, weight_sum: float, params: d
                                       maxDepth=p.get("maxDepth", 30), seed=0, weightCol="weight")
     if algorithm == "MLP":
         return MultilayerPerceptronClassifier(layers=[n_features, 7, 2], maxIter=p.get("maxIter", 200),
-                                              seed=0)
+                                              seed=0, tol=TOLERANCE)
     if algorithm == "SVM":
         return LinearSVC(maxIter=p.get("maxIter", 1000), regParam=reg, standardization=False,
-                         weightCol="weight")
+                         weightCol="weight", tol=TOLERANCE)
     raise ValueError(f"unknown algorithm {algorithm}")
 
 

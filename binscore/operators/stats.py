@@ -25,28 +25,30 @@ def correlation_matrix(df: DataFrame, group_cols, columns, digits: int = 9) -> D
     """Pearson r for every column pair (a before b in ``columns``) per
     group, pairwise-complete, in one aggregation pass.  A constant column
     gives NULL (guarded division) instead of failing under ANSI mode.
-    ``r`` is rounded to ``digits`` decimals."""
+    ``r`` is rounded to ``digits`` decimals.
+
+    The d(d-1)/2 pair expressions are handed to Spark as SQL text, parsed
+    once in the JVM, instead of being assembled call by call from Python
+    (which dominated planning time for wide matrices)."""
     g = list(group_cols)
     cols = list(columns)
-    aggs: list[Column] = []
-    pairs = []
+    aggs: list[str] = []
+    entries: list[str] = []
     for i, a in enumerate(cols):
         for j in range(i + 1, len(cols)):
             b = cols[j]
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
-            tag = f"{i}_{j}"
-            aggs += [F.covar_pop(xa, xb).alias(f"_cov_{tag}"), F.stddev_pop(xa).alias(f"_sa_{tag}"),
-                     F.stddev_pop(xb).alias(f"_sb_{tag}")]
-            pairs.append((i, a, j, b, tag))
-    wide = df.groupBy(*g).agg(*aggs)
-    entries = [F.struct(F.lit(a).alias("col_a"), F.lit(i).alias("pos_a"), F.lit(b).alias("col_b"),
-                        F.lit(j).alias("pos_b"),
-                        F.round(F.try_divide(F.col(f"_cov_{t}"), F.col(f"_sa_{t}") * F.col(f"_sb_{t}")),
-                                digits).alias("r"))
-               for i, a, j, b, t in pairs]
-    return wide.select(*g, F.explode(F.array(*entries)).alias("e")).select(*g, "e.*")
+            both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+            xa = f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END"
+            xb = f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END"
+            t = f"{i}_{j}"
+            aggs += [f"covar_pop({xa}, {xb}) AS _cov_{t}", f"stddev_pop({xa}) AS _sa_{t}",
+                     f"stddev_pop({xb}) AS _sb_{t}"]
+            entries.append(
+                f"named_struct('col_a', '{a}', 'pos_a', {i}, 'col_b', '{b}', 'pos_b', {j}, "
+                f"'r', round(try_divide(_cov_{t}, _sa_{t} * _sb_{t}), {digits}))")
+    wide = df.groupBy(*g).agg(*[F.expr(x) for x in aggs])
+    return (wide.select(*g, F.expr(f"explode(array({', '.join(entries)}))").alias("e"))
+                .select(*g, "e.*"))
 
 
 def correlated_features(corr: DataFrame, group_cols, keep=("label",),

@@ -70,7 +70,7 @@ def cnb_predictions(spark, sf_dir: str, digits: int = 9) -> DataFrame:
 
 
 def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: dict | None = None,
-                         parallelism: int = 4) -> DataFrame:
+                         parallelism: int | None = None) -> DataFrame:
     """I3-I8 for every kept project, both arms and the given algorithms.
 
     The list of (project, arm, features) tasks is small metadata (bounded
@@ -80,21 +80,24 @@ def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: d
     test = inp.test.persist(StorageLevel.MEMORY_AND_DISK)
     tasks_meta = (inp.used.groupBy("project", "arm")
                   .agg(F.sort_array(F.collect_list("feature")).alias("features")).collect())
-    tasks = [(r["project"], r["arm"], list(r["features"]), a) for r in tasks_meta for a in algorithms]
+    tasks = [(i, r["project"], r["arm"], list(r["features"]), a)
+             for i, (r, a) in enumerate((r, a) for r in tasks_meta for a in algorithms)]
     out_dir = scratch_dir(spark, "ml-predictions")
 
     def run(task):
-        project, arm, feats, algorithm = task
+        # every fit writes its own folder: concurrent jobs never share a
+        # commit directory, and a retried fit simply overwrites its folder
+        i, project, arm, feats, algorithm = task
         tr = train.where(F.col("project") == project)
         te = test.where(F.col("project") == project)
         pred = learn.fit_predict(tr, te, feats, algorithm, (params or {}).get(algorithm))
         (pred.select(F.lit(project).alias("project"), F.lit(algorithm).alias("algorithm"),
                      F.lit(arm).alias("arm"), "github_path", "label", "score", "prediction")
-             .write.mode("append").parquet(os.path.join(out_dir, f"algorithm={algorithm}")))
+             .write.mode("overwrite").parquet(os.path.join(out_dir, f"task={i}")))
         return task
 
     try:
-        learn.fit_grid(tasks, run, parallelism)
+        learn.fit_grid(tasks, run, parallelism or max(4, spark.sparkContext.defaultParallelism))
     finally:
         train.unpersist()
         test.unpersist()
@@ -102,7 +105,7 @@ def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: d
         return spark.createDataFrame(
             [], "project string, algorithm string, arm int, github_path string, label int, "
                 "score double, prediction int")
-    preds = spark.read.parquet(out_dir)
+    preds = spark.read.parquet(out_dir).drop("task")
     # decision values (SVM) are min-max scaled within their group
     scaled = ranking.score_minmax(preds, ["project", "algorithm", "arm"], "score", "scaled")
     return scaled.select("project", "algorithm", "arm", "github_path", "label",
