@@ -116,8 +116,11 @@ def config_summary(df: DataFrame, keys=CONFIG_KEYS) -> DataFrame:
 
 def project_metrics(df: DataFrame, keys=CONFIG_KEYS, project="project_name") -> DataFrame:
     """P/R/F1 and confusion per (configuration, project); groups with no
-    prediction are omitted."""
-    grouped = (df.where(F.col("prediction").isNotNull())
+    prediction and rows with a NULL key (not grouped by pandas) are omitted."""
+    not_null = F.col("prediction").isNotNull() & F.col(project).isNotNull()
+    for k in keys:
+        not_null = not_null & F.col(k).isNotNull()
+    grouped = (df.where(not_null)
                  .groupBy(*keys, F.col(project).alias("project"))
                  .agg(*confusion_aggs()))
     return grouped.select(

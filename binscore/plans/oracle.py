@@ -131,7 +131,8 @@ cte("summary", ("runs_eval",), f"""
 cte("project_metrics", ("runs_eval",), f"""
   SELECT project, model, comments_included, prompting, {SCORES}, tp, fp, tn, fn FROM (
     SELECT project_name AS project, model, comments_included, prompting, {CONFUSION}
-    FROM runs_eval WHERE prediction IS NOT NULL
+    FROM runs_eval WHERE prediction IS NOT NULL AND project_name IS NOT NULL AND model IS NOT NULL
+      AND comments_included IS NOT NULL AND prompting IS NOT NULL
     GROUP BY project_name, model, comments_included, prompting)""")
 
 
