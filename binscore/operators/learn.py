@@ -73,34 +73,54 @@ def to_long(df: DataFrame, id_cols, feature_cols) -> DataFrame:
     return df.unpivot(list(id_cols), list(feature_cols), "feature", "x")
 
 
-def cnb_train_score(train_long: DataFrame, test_long: DataFrame, group,
-                    alpha: float = CNB_ALPHA) -> DataFrame:
-    """Complement naive Bayes in closed form, per group.
+def used_flags(used: DataFrame, group, feature_cols) -> DataFrame:
+    """(group..., arm, feature) long -> one row per (group..., arm) with a
+    0/1 flag ``u_<feature>`` per feature."""
+    g = list(group)
+    return used.groupBy(*g, "arm").agg(*[
+        F.max(F.when(F.col("feature") == F.lit(c), F.lit(1)).otherwise(F.lit(0))).alias(f"u_{c}")
+        for c in feature_cols])
+
+
+def cnb_train_score(train: DataFrame, test: DataFrame, flags: DataFrame, group, feature_cols,
+                    keys, alpha: float = CNB_ALPHA) -> DataFrame:
+    """Complement naive Bayes in closed form, for every group and arm at
+    once.
 
     With S_c,i the summed (scaled) feature i over train rows of class c and
-    q(c,i) = alpha + S_all,i - S_c,i, the weights are
-    w(c,i) = -log(q(c,i) / sum_j q(c,j)), the joint score jll_c = sum_i x_i
-    w(c,i), the prediction argmax_c (ties -> 0) and the probability of class
-    1 the softmax of (jll_0, jll_1).  Input: long tables
-    (group..., key, label, feature, x); output one row per test key."""
+    q(c,i) = alpha + S_all,i - S_c,i (for two classes: alpha + S_other,i),
+    the weights are w(c,i) = -log(q(c,i) / sum_j q(c,j)) over the arm's
+    features j, the joint score jll_c = sum_i x_i w(c,i), the prediction
+    argmax_c (ties -> 0) and the probability of class 1 the softmax of
+    (jll_0, jll_1).
+
+    Wide form: one partial aggregation of the train rows (2 sums per
+    feature and group), a join with the per-arm feature flags (rows =
+    groups x 2), and one join of the test rows with those weights; the
+    per-row score is a codegen'd expression, no further shuffle."""
     g = list(group)
-    sums = train_long.groupBy(*g, "feature").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("x")).otherwise(F.lit(0.0))).alias("s1"),
-        F.sum(F.when(F.col("label") == 0, F.col("x")).otherwise(F.lit(0.0))).alias("s0"))
-    # complement of class 1 is class 0 and vice versa
-    q = sums.select(*g, "feature", (F.lit(alpha) + F.col("s1")).alias("q0"),
-                    (F.lit(alpha) + F.col("s0")).alias("q1"))
-    totals = q.groupBy(*g).agg(F.sum("q0").alias("tot0"), F.sum("q1").alias("tot1"))
-    weights = q.join(totals, g, "inner").select(
-        *g, "feature", (-F.log(F.col("q0") / F.col("tot0"))).alias("w0"),
-        (-F.log(F.col("q1") / F.col("tot1"))).alias("w1"))
-    keys = [c for c in test_long.columns if c not in ("feature", "x")]
-    jll = (test_long.join(weights, [*g, "feature"], "inner")
-                    .groupBy(*keys)
-                    .agg(F.sum(F.col("x") * F.col("w0")).alias("jll0"),
-                         F.sum(F.col("x") * F.col("w1")).alias("jll1")))
-    return jll.select(
-        *keys, (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("jll0") - F.col("jll1")))).alias("score"),
+    feats = list(feature_cols)
+    sums = train.groupBy(*g).agg(*[
+        e for c in feats for e in (
+            F.sum(F.when(F.col("label") == 1, F.col(c)).otherwise(F.lit(0.0))).alias(f"s1_{c}"),
+            F.sum(F.when(F.col("label") == 0, F.col(c)).otherwise(F.lit(0.0))).alias(f"s0_{c}"))])
+    # complement of class 0 is class 1 and vice versa
+    q0 = {c: F.lit(alpha) + F.col(f"s1_{c}") for c in feats}
+    q1 = {c: F.lit(alpha) + F.col(f"s0_{c}") for c in feats}
+    used = {c: F.col(f"u_{c}") == 1 for c in feats}
+    tot0 = sum((F.when(used[c], q0[c]).otherwise(F.lit(0.0)) for c in feats), F.lit(0.0))
+    tot1 = sum((F.when(used[c], q1[c]).otherwise(F.lit(0.0)) for c in feats), F.lit(0.0))
+    weights = sums.join(flags, g, "inner").select(
+        *g, "arm",
+        *[F.when(used[c], -F.log(q0[c] / tot0)).otherwise(F.lit(0.0)).alias(f"w0_{c}") for c in feats],
+        *[F.when(used[c], -F.log(q1[c] / tot1)).otherwise(F.lit(0.0)).alias(f"w1_{c}") for c in feats])
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats}
+    jll0 = sum((x[c] * F.col(f"w0_{c}") for c in feats), F.lit(0.0))
+    jll1 = sum((x[c] * F.col(f"w1_{c}") for c in feats), F.lit(0.0))
+    scored = test.join(weights, g, "inner").select(*g, "arm", *keys, jll0.alias("jll0"), jll1.alias("jll1"))
+    return scored.select(
+        *g, "arm", *keys,
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("jll0") - F.col("jll1")))).alias("score"),
         F.when(F.col("jll1") > F.col("jll0"), F.lit(1)).otherwise(F.lit(0)).alias("prediction"))
 
 

@@ -10,6 +10,7 @@ from binscore.functions.text import algorithm_short_name, format_cell, mask_sign
 from binscore.operators import metrics, ranking, reshape, stats
 from binscore.operators.joins import cross_compare, outer_join_f1, pairwise_complete
 from binscore.plans import analysis
+from binscore.session import cut_lineage
 from binscore.sources import testbed
 
 # ---- fixed values: naming of the two evaluation arms and the valid names ----
@@ -87,8 +88,11 @@ def paired_scores(spark, sf_dir: str) -> DataFrame:
 
 
 def comparison(spark, sf_dir: str) -> DataFrame:
-    """D22 + D23 + B26: per (LLM, ML) the test results and the masked CLES."""
-    res = stats.wilcoxon(paired_scores(spark, sf_dir))
+    """D22 + D23 + B26: per (LLM, ML) the test results and the masked CLES.
+    The pair table (projects x LLMs x algorithms rows) feeds five
+    aggregations, so it is checkpointed once instead of being re-derived
+    from the runs and scores by each of them."""
+    res = stats.wilcoxon(cut_lineage(paired_scores(spark, sf_dir)))
     return res.withColumn("cles_shown", mask_significance("p_rounded", "cles_rounded"))
 
 

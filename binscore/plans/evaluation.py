@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from binscore.functions.text import normalise_key
 from binscore.operators import joins, learn, metrics, ranking, stats
-from binscore.session import scratch_dir
+from binscore.session import cut_lineage, scratch_dir
 from binscore.sources import testbed
 
 G = ["project"]
@@ -44,7 +44,10 @@ def ml_inputs(spark, sf_dir: str, ablation: str = "strict") -> MLInputs:
     feats = learn.drop_non_features(
         testbed.features(spark, sf_dir, s).withColumn("project", normalise_key("project_name")),
         [n for n in learn.NON_FEATURES if n not in ("github_path", "project_name")])
-    feats = feats.join(kept, "project", "left_semi")
+    # the feature matrix (one numeric row per file) feeds the split
+    # semi-joins, the correlations and the scaling: derive it from the texts
+    # once and read the written copy back
+    feats = cut_lineage(feats.join(kept, "project", "left_semi"))
     train = joins.semi_join_split(feats, train_split)
     test = joins.semi_join_split(feats, test_split)
     corr = stats.correlation_matrix(feats, G, ["label", *FEATURES])
@@ -58,13 +61,8 @@ def ml_inputs(spark, sf_dir: str, ablation: str = "strict") -> MLInputs:
 def cnb_predictions(spark, sf_dir: str, digits: int = 9) -> DataFrame:
     """I2 for every kept project and both arms in one plan."""
     inp = ml_inputs(spark, sf_dir)
-    ids = ["project", "github_path", "label"]
-
-    def long(df):
-        lg = learn.to_long(df.select(*ids, *FEATURES), ids, FEATURES)
-        return lg.join(inp.used, ["project", "feature"], "inner")
-
-    out = learn.cnb_train_score(long(inp.train), long(inp.test), ["project", "arm"])
+    flags = learn.used_flags(inp.used, G, FEATURES)
+    out = learn.cnb_train_score(inp.train, inp.test, flags, G, FEATURES, ["github_path", "label"])
     return out.select("project", "arm", "github_path", "label", F.round("score", digits).alias("score"),
                       "prediction")
 

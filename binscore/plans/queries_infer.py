@@ -313,3 +313,11 @@ def q_score_incremental(spark, sf_dir):
     out = incremental.run_incremental(spark, prompts_dir, out_dir, ckpt, schema, "prompt_text", keys)
     return out.select("doc_id", "project_name", "github_path", "label", "response", "prediction",
                       F.coalesce("failure", "score_error").alias("errors"), "token_size")
+
+
+@register("scan_pruned", sql("SELECT doc_id, source FROM documents"))
+def q_scan_pruned(spark, sf_dir):
+    """A2: only the named columns are read (the scan's ReadSchema holds
+    just them; the large text column is never decoded)."""
+    from binscore.sources.tables import read_table
+    return read_table(spark, sf_dir, "documents", ["doc_id", "source"])

@@ -62,3 +62,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if root.startswith("file:"):
         root = root[len("file:"):]
     return os.path.join(root, "binscore", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return a
+    DataFrame that reads it back: later consumers (and recomputation after
+    a lost executor) start from the written files, not from the sources.
+    Used for small derived tables that several statistics consume."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

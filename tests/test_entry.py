@@ -61,3 +61,17 @@ def test_query_matches_oracle(spark, duck, key):
         return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
     assert canon(s_cols, s_rows) == canon(d_cols, d_rows)
+
+
+def test_scan_is_pruned_and_filters_pushed(spark):
+    from pyspark.sql import functions as F
+    df = E.queries()["scan_pruned"](spark, SF_SMOKE).where(F.col("doc_id") > 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan
+
+
+def test_error_keys_anti_join_is_planned_without_python(spark):
+    df = E.queries()["config_summary"](spark, SF_SMOKE)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Python" not in plan
