@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import has_error, normalise_key
+from binscore.session import cut_lineage
 
 RUN_KEY = ("project_name", "github_path")
 
@@ -20,10 +21,17 @@ RUN_KEY = ("project_name", "github_path")
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      materialize: bool = False) -> DataFrame:
     """``broadcast(df)`` when it provably has at most ``max_rows`` rows,
-    else ``df`` unchanged (shuffle join).  The check reads at most
-    ``max_rows + 1`` rows."""
+    else ``df`` unchanged (shuffle join, where AQE still splits skewed
+    partitions).  The check reads at most ``max_rows + 1`` rows.
+
+    ``materialize`` first checkpoints ``df`` to the shared folder, so that
+    a small side computed from a large table (distinct error keys, skipped
+    projects) is computed once for both the check and the join."""
+    if materialize:
+        df = cut_lineage(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
@@ -37,12 +45,17 @@ def anti_join_errors(runs: DataFrame, keys=RUN_KEY, errors: DataFrame | None = N
     """Drop every configuration's rows for a file that failed in any
     configuration (raw keys, not normalised)."""
     errs = errors if errors is not None else error_keys(runs, keys)
-    return runs.join(errs, list(keys), "left_anti")
+    # failed files are few next to the run rows: broadcast them (checked),
+    # so the run table is filtered where it is read, without a shuffle
+    return runs.join(bounded_broadcast(errs, materialize=True), list(keys), "left_anti")
 
 
 def anti_join_projects(df: DataFrame, skipped: DataFrame, project="project_name") -> DataFrame:
     """Drop rows whose (normalised) project is in ``skipped.project``."""
-    return df.join(skipped, F.col(project) == skipped["project"], "left_anti")
+    # one row per project: broadcast (checked), so no task ever receives all
+    # rows of a hot project through a shuffle on the project key
+    small = bounded_broadcast(skipped, materialize=True)
+    return df.join(small, F.col(project) == small["project"], "left_anti")
 
 
 def semi_join_split(features: DataFrame, split: DataFrame) -> DataFrame:
