@@ -88,7 +88,7 @@ def join_exemplars(test: DataFrame, exemplars: DataFrame, project="project_name"
     """Attach the project's exemplar pair to every test row; projects
     without both exemplars drop out (inner join, one row per project on
     the right, so the join never multiplies rows)."""
-    return test.join(bounded_broadcast(exemplars), project, "inner")
+    return test.join(bounded_broadcast(exemplars, materialize=True), project, "inner")
 
 
 def join_source_text(df: DataFrame, files: DataFrame, path_col: str, out: str,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import first_lower, first_upper, map_with_default, normalise_path
+from binscore.operators.joins import bounded_broadcast
 
 # ---- fixed values: project names whose directory is spelled differently ----
 PROJECT_ALIASES = {
@@ -68,7 +69,9 @@ def lookup_text(df: DataFrame, files: DataFrame, path_col: str, out: str,
     aliased = df.withColumn("_proj", alias_project(project))
     dir_map = resolve_project_dirs(aliased, dirs if dirs is not None else files.select("project"),
                                    "_proj", "_dir")
-    keyed = (aliased.join(dir_map, "_proj", "left")
+    # one row per distinct project name: broadcast (size-checked), so the
+    # rows of a hot project are never shuffled on the project key
+    keyed = (aliased.join(bounded_broadcast(dir_map, materialize=True), "_proj", "left")
                     .withColumn("_key", file_key(path_col)))
     right = files.select(F.col("project").alias("_dir"), F.col("path").alias("_key"),
                          F.col("text").alias(out))
