@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binscore.operators.metrics import count_when
+from binscore.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
 from binscore.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 32
@@ -40,26 +41,37 @@ def bucket_bounds(hist: DataFrame, group_cols, value: str, n_buckets: int = DEFA
 
 
 def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: int = DEFAULT_BUCKETS,
-                 suffix: str = "_below") -> DataFrame:
+                 suffix: str = "_below", totals_suffix: str | None = None) -> DataFrame:
     """For each row of ``hist`` (unique per (group, value)), add
     ``<c><suffix>`` = sum of ``c`` over the group's rows with a smaller
-    value, for every ``c`` in ``sum_cols``."""
+    value, for every ``c`` in ``sum_cols`` (and ``<c><totals_suffix>`` =
+    the group's total when ``totals_suffix`` is given).
+
+    The per-group tables joined back (bounds, bucket offsets, totals) have
+    at most groups x buckets rows; the group count is read from the
+    checkpointed bounds, so they are broadcast on a proven bound and no
+    group's rows are shuffled on the group key."""
     g = list(group_cols)
     sum_cols = list(sum_cols)
     bounds = bucket_bounds(hist, g, value, n_buckets)
-    hb = (hist.join(bounds, g, "inner")
+    small = bounds.count() * n_buckets <= BROADCAST_MAX_ROWS
+    bc = F.broadcast if small else (lambda d: d)
+    hb = (hist.join(bc(bounds), g, "inner")
               .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
               .drop("_bounds"))
     totals = hb.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     lower = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
     offsets = totals.select(*g, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{c}").over(lower), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+        F.coalesce(F.sum(f"_t_{c}").over(lower), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
+        F.sum(f"_t_{c}").over(whole).alias(f"_g_{c}") for c in sum_cols])
     before = Window.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = hb.select("*", *[
         F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
-    joined = inside.join(offsets, [*g, "_bucket"], "inner")
+    joined = inside.join(bc(offsets), [*g, "_bucket"], "inner")
+    extra = [F.col(f"_g_{c}").alias(f"{c}{totals_suffix}") for c in sum_cols] if totals_suffix else []
     return joined.select(*hist.columns, *[
-        (F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
+        (F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}{suffix}") for c in sum_cols], *extra)
 
 
 def average_rank(df: DataFrame, group_cols, value: str, out: str = "avg_rank",
@@ -86,14 +98,13 @@ def running_counts(df: DataFrame, group_cols, score: str = "score", label: str =
     the cumulative true and false positives at score >= threshold."""
     g = list(group_cols)
     hist = score_histogram(df, g, score, label)
-    below = prefix_below(hist, g, score, ["npos", "nneg"], n_buckets)
-    # group totals: a group-level aggregate joined back (no hot window)
-    totals = hist.groupBy(*g).agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
-    return below.join(totals, g, "inner").select(
+    # group totals come with the bucket offsets (windows over groups x buckets rows)
+    below = prefix_below(hist, g, score, ["npos", "nneg"], n_buckets, totals_suffix="_total")
+    return below.select(
         *g, F.col(score).alias("threshold"),
-        (F.col("P") - F.col("npos_below")).cast("bigint").alias("tps"),
-        (F.col("N") - F.col("nneg_below")).cast("bigint").alias("fps"),
-        F.col("P").cast("bigint").alias("P"), F.col("N").cast("bigint").alias("N"))
+        (F.col("npos_total") - F.col("npos_below")).cast("bigint").alias("tps"),
+        (F.col("nneg_total") - F.col("nneg_below")).cast("bigint").alias("fps"),
+        F.col("npos_total").cast("bigint").alias("P"), F.col("nneg_total").cast("bigint").alias("N"))
 
 
 def roc_curve(df: DataFrame, group_cols, score: str = "score", label: str = "label",
@@ -121,10 +132,11 @@ def roc_auc(df: DataFrame, group_cols, score: str = "score", label: str = "label
 
 def score_minmax(df: DataFrame, group_cols, score: str = "score", out: str = "scaled") -> DataFrame:
     """(s - min) / (max - min) within the group; all-equal -> NULL.
-    min/max come from a partial aggregate joined back (no window)."""
+    min/max come from a partial aggregate (one row per group) broadcast
+    back on a checked bound (no window, no shuffle of the rows)."""
     g = list(group_cols)
     mm = df.groupBy(*g).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
-    return (df.join(mm, g, "inner")
+    return (df.join(bounded_broadcast(mm, materialize=True), g, "inner")
               .withColumn(out, F.try_divide(F.col(score) - F.col("_min"), F.col("_max") - F.col("_min")))
               .drop("_min", "_max"))
 

@@ -83,16 +83,16 @@ def f1_long(spark, sf_dir: str) -> DataFrame:
 
 
 def paired_scores(spark, sf_dir: str) -> DataFrame:
-    """C7 + C8: complete (LLM, ML) score pairs per project."""
-    return pairwise_complete(cross_compare(f1_long(spark, sf_dir)))
+    """C7 + C8: complete (LLM, ML) score pairs per project.  The pair table
+    (projects x LLMs x algorithms rows) feeds several aggregations, so it is
+    checkpointed once instead of being re-derived from the runs and scores
+    by each of them."""
+    return cut_lineage(pairwise_complete(cross_compare(f1_long(spark, sf_dir))))
 
 
 def comparison(spark, sf_dir: str) -> DataFrame:
-    """D22 + D23 + B26: per (LLM, ML) the test results and the masked CLES.
-    The pair table (projects x LLMs x algorithms rows) feeds five
-    aggregations, so it is checkpointed once instead of being re-derived
-    from the runs and scores by each of them."""
-    res = stats.wilcoxon(cut_lineage(paired_scores(spark, sf_dir)))
+    """D22 + D23 + B26: per (LLM, ML) the test results and the masked CLES."""
+    res = stats.wilcoxon(paired_scores(spark, sf_dir))
     return res.withColumn("cles_shown", mask_significance("p_rounded", "cles_rounded"))
 
 
