@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from binscore.operators.metrics import count_when
 from binscore.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
-from binscore.session import checkpoint_dir
+from binscore.session import cut_lineage
 
 DEFAULT_BUCKETS = 32
 
@@ -36,8 +36,7 @@ def bucket_bounds(hist: DataFrame, group_cols, value: str, n_buckets: int = DEFA
     qs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = hist.groupBy(*group_cols).agg(
         F.percentile_approx(F.col(value), qs).alias("_bounds"))
-    checkpoint_dir(hist.sparkSession)
-    return bounds.checkpoint(eager=True)
+    return cut_lineage(bounds)
 
 
 def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: int = DEFAULT_BUCKETS,

@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # prompts carry whole source files: keep Arrow batches to the scorer small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -69,5 +71,12 @@ def cut_lineage(df):
     DataFrame that reads it back: later consumers (and recomputation after
     a lost executor) start from the written files, not from the sources.
     Used for small derived tables that several statistics consume."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # an eager checkpoint runs one job to compute and another to write the
+    # files; persisting first makes the second read the first's blocks
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
