@@ -109,15 +109,14 @@ def outer_join_f1(llm_wide: DataFrame, ml_wide: DataFrame) -> DataFrame:
     return llm_wide.join(ml_wide, "project", "full_outer")
 
 
-def cross_compare(f1_long: DataFrame) -> DataFrame:
-    """Every (LLM, ML) pair per project: LLM rows joined with ML rows on
-    project.  Per project the pair count is bounded by #LLMs x #algorithms
-    (both fixed lists), not by data."""
-    llm = f1_long.where(F.col("family") == "llm").select(
-        "project", F.col("name").alias("llm"), F.col("f1").alias("llm_f1"))
-    ml = f1_long.where(F.col("family") == "ml").select(
-        "project", F.col("name").alias("ml"), F.col("f1").alias("ml_f1"))
-    return llm.join(ml, "project", "inner")
+def cross_compare(f1_wide: DataFrame, llm_cols, ml_cols, project: str = "project") -> DataFrame:
+    """Every (LLM, ML) pair per project, generated row by row from the
+    wide F1 table (one row per project): a fixed list of
+    len(llm_cols) x len(ml_cols) column pairs, so no join and no shuffle."""
+    pairs = [F.struct(F.lit(a).alias("llm"), F.lit(b).alias("ml"),
+                      F.col(a).cast("double").alias("llm_f1"), F.col(b).cast("double").alias("ml_f1"))
+             for a in llm_cols for b in ml_cols]
+    return f1_wide.select(F.col(project), F.explode(F.array(*pairs)).alias("_p")).select(project, "_p.*")
 
 
 def pairwise_complete(pairs: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def paired_scores(spark, sf_dir: str) -> DataFrame:
     (projects x LLMs x algorithms rows) feeds several aggregations, so it is
     checkpointed once instead of being re-derived from the runs and scores
     by each of them."""
-    return cut_lineage(pairwise_complete(cross_compare(f1_long(spark, sf_dir))))
+    wide = f1_wide(spark, sf_dir)
+    return cut_lineage(pairwise_complete(cross_compare(wide, LLM_NAMES, ML_NAMES)))
 
 
 def comparison(spark, sf_dir: str) -> DataFrame:

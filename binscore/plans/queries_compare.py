@@ -183,7 +183,7 @@ def q_unpivot_f1(spark, sf_dir):
   SELECT l.project, l.name AS llm, m.name AS ml, l.f1 AS llm_f1, m.f1 AS ml_f1
   FROM f1_long l JOIN f1_long m ON l.project = m.project WHERE l.family = 'llm' AND m.family = 'ml'"""))
 def q_cross_compare(spark, sf_dir):
-    return joins.cross_compare(comparison.f1_long(spark, sf_dir))
+    return joins.cross_compare(comparison.f1_wide(spark, sf_dir), comparison.LLM_NAMES, comparison.ML_NAMES)
 
 
 @register("pairwise_complete", sql("SELECT project, llm, ml, llm_f1, ml_f1 FROM pairs"))

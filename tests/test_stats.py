@@ -143,9 +143,7 @@ def test_published_comparison_matrix(spark):
 
     wide = spark.createDataFrame([tuple([r["Project"]] + [num(r[c]) for c in LLM + ML]) for r in recs],
                                  "project string, " + ", ".join(f"{c} double" for c in LLM + ML))
-    long = reshape.unpivot_wide(wide, "project", LLM + ML, "name", "f1").withColumn(
-        "family", F.when(F.col("name").isin(*LLM), "llm").otherwise("ml"))
-    pairs = joins.pairwise_complete(joins.cross_compare(long))
+    pairs = joins.pairwise_complete(joins.cross_compare(wide, LLM, ML))
     res = stats.wilcoxon(pairs).withColumn("cell", format_cell("p_rounded", mask_significance("p_rounded",
                                                                                            "cles_rounded")))
     got = {(r.ml, r.llm): r.cell for r in res.collect()}
