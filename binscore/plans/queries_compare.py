@@ -267,12 +267,12 @@ def q_bar_means(spark, sf_dir):
     SELECT project, max(f1) AS max_f1 FROM {_CHART} c
     WHERE project NOT IN (SELECT project FROM {_CHART} GROUP BY project HAVING sum(f1) = 0) GROUP BY project)"""))
 def q_project_order(spark, sf_dir):
-    from pyspark.sql import Window
     kept = joins.anti_join_zero_f1(_chart_base(spark, sf_dir))
     best = kept.groupBy("project").agg(F.max("f1").alias("max_f1"))
-    # one row per project: the ordering window runs over the (small) project list
-    w = Window.orderBy(F.col("max_f1").desc(), F.col("project"))
-    return best.withColumn("position", F.row_number().over(w))
+    # position by best F1 descending, project as tie-break, numbered by
+    # partition offsets (no single-task global window)
+    ordered = ranking.row_index(best.withColumn("_neg", -F.col("max_f1")), ["_neg", "project"], "_i")
+    return ordered.select("project", "max_f1", (F.col("_i") + 1).cast("int").alias("position"))
 
 
 @register("map_labels", sql("""
