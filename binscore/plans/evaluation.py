@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +73,17 @@ def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: d
     The list of (project, arm, features) tasks is small metadata (bounded
     by projects x 2); the rows themselves never leave the executors."""
     inp = ml_inputs(spark, sf_dir)
-    train = learn.class_weight_col(inp.train, G).persist(StorageLevel.MEMORY_AND_DISK)
-    test = inp.test.persist(StorageLevel.MEMORY_AND_DISK)
+    # train/test are written once, partitioned by project, to the shared
+    # folder: each fit reads only its project's partition (partition
+    # pruning) and a lost executor never forces a recomputation from texts
+    staged = scratch_dir(spark, "ml-inputs")
+    weighted = learn.class_weight_col(inp.train, G)
+    weighted.write.partitionBy("project").parquet(os.path.join(staged, "train"))
+    inp.test.write.partitionBy("project").parquet(os.path.join(staged, "test"))
+    # read back with the written schema: project names stay strings even
+    # when a directory value looks numeric
+    train = spark.read.schema(weighted.schema).parquet(os.path.join(staged, "train"))
+    test = spark.read.schema(inp.test.schema).parquet(os.path.join(staged, "test"))
     tasks_meta = (inp.used.groupBy("project", "arm")
                   .agg(F.sort_array(F.collect_list("feature")).alias("features")).collect())
     tasks = [(i, r["project"], r["arm"], list(r["features"]), a)
@@ -94,11 +102,7 @@ def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: d
              .write.mode("overwrite").parquet(os.path.join(out_dir, f"task={i}")))
         return task
 
-    try:
-        learn.fit_grid(tasks, run, parallelism or max(4, spark.sparkContext.defaultParallelism))
-    finally:
-        train.unpersist()
-        test.unpersist()
+    learn.fit_grid(tasks, run, parallelism or max(4, spark.sparkContext.defaultParallelism))
     if not tasks:
         return spark.createDataFrame(
             [], "project string, algorithm string, arm int, github_path string, label int, "
