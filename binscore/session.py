@@ -80,3 +80,28 @@ def cut_lineage(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist()
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``binscore`` importable by the Python workers (pandas UDFs and
+    ``mapInPandas`` functions are pickled by reference): zip the package
+    once and add it with ``addPyFile``, once per SparkContext."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="binscore-pkg-"), "binscore.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
