@@ -4,8 +4,9 @@ production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from binscore.llm import mixing
+from binscore.llm import mixing, simhash
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -49,3 +50,9 @@ FROM r
 @query("op1_mix_sources", MIX_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
