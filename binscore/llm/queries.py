@@ -3,10 +3,11 @@ production parameters."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import mixing, simhash
+from binscore.llm import bpe, mixing, simhash
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -56,3 +57,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path), path)
