@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from binscore.llm import dictionary
 
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 0, 3
+#: Ids that one step of decoding works on.
+STEP_IDS = 1 << 18
 
 
 @functools.cache
@@ -139,11 +141,17 @@ def decode_udf(spark: SparkSession, path: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         ends, table = ranks.value.table
-        flat = ids.flatten().to_numpy()
-        data, lengths = dictionary.take_lists(ends, table, flat)
-        sizes = np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate(
-            [[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])])
-        return dictionary.binary_array(data, sizes)
+        sizes = ids.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        until = np.cumsum(sizes)
+        out, at = [], 0
+        while at < len(ids):  # about STEP_IDS at a time; one text is never cut
+            end = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + STEP_IDS, side="right")))
+            data, lengths = dictionary.take_lists(ends, table, ids.slice(at, end - at).flatten().to_numpy())
+            bytes_to = np.concatenate([[0], np.cumsum(lengths)])
+            part = np.concatenate([[0], np.cumsum(sizes[at:end])])
+            out.append(dictionary.binary_array(data, np.diff(bytes_to[part])))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
     return decode
 
 
