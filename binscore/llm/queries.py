@@ -7,9 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, mixing, simhash
+from binscore.llm import bpe, mixing, quality_model, simhash
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
+from binscore.sources.tables import read_table
 
 MIX_SQL = """
 WITH d AS (
@@ -63,3 +64,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path), path)
+
+
+@query("op9_quality_trees")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.score_documents(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
