@@ -120,6 +120,22 @@ def packed(data: np.ndarray, inside: np.ndarray, lengths: np.ndarray) -> pa.Arra
                                                              pa.py_buffer(np.ascontiguousarray(data[inside]))])
 
 
+def spaced(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray,
+           lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All words in lower case (A-Z), each followed by one space and each
+    text's first one preceded by ``lead`` spaces; where each word begins."""
+    lengths = ends - starts
+    extra = np.zeros(len(starts) + 1, np.int64)
+    begins = first[:-1][np.diff(first) > 0]
+    extra[begins] = lead
+    extra = np.cumsum(extra)[:-1]
+    at = np.concatenate([[0], np.cumsum(lengths + 1)])
+    line = np.full(at[-1] + lead * len(begins), 0x20, np.uint8)
+    at = at[:-1] + extra
+    line[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = LOWER[data[inside]]
+    return line, at
+
+
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
     """Words ``[^\\x20\\x09-\\x0D]+``: binary Arrow array of all texts' words and
     for each text edge the index of its first word (n+1 values)."""

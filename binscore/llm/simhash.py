@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.llm.common import LOWER, WHITE, per_text, runs, steps, text_buffer
+from binscore.llm.common import WHITE, runs, spaced, steps, text_buffer
 from binscore.session import cut_lineage
 
 SEED = 42
@@ -47,12 +47,8 @@ def fingerprints(texts: pa.Array, shingle: int = 4) -> np.ndarray:
         inside = ~WHITE[data]
         starts, ends, first = runs(inside, offs)
         n_words = np.diff(first)
-        # words of a text follow each other with one space between them
+        line, at = spaced(data, inside, starts, ends, first)
         lengths = ends - starts
-        at = np.concatenate([[0], np.cumsum(lengths + 1)])
-        line = np.full(at[-1], 0x20, np.uint8)
-        line[np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths)
-             + np.arange(lengths.sum())] = LOWER[data[inside]]
         n_shingles = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
         begin = np.concatenate([[0], np.cumsum(n_shingles)])
         text = np.repeat(np.arange(len(n_words)), n_shingles)
