@@ -9,13 +9,14 @@ array.  No Python object per word is made.
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.session import ship_package
+from binscore.session import checkpoint_dir, ship_package
 from binscore.sources.tables import read_table
 
 #: White space of the word contracts: 0x20 and 0x09 to 0x0D.
@@ -67,6 +68,15 @@ def broadcast_if_small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back: later
+    readers, and tasks repeated after a lost executor, read the same rows."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # --- inside tasks -----------------------------------------------------------
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from binscore.llm.common import mix64, steps, text_buffer
+from binscore.llm.common import mix64, staged, steps, text_buffer
 
 CHUNK_BYTES = 16 << 20
 #: home: what the exchange deals by (a chunk's id, or a bucket number).
@@ -154,14 +154,15 @@ def _chunks(tokenise: Callable, buckets: int):
     return run
 
 
-def deal(docs: DataFrame, tokenise: Callable) -> DataFrame:
+def deal(docs: DataFrame, tokenise: Callable, stage: bool = False) -> DataFrame:
     """The exchange's rows for ``docs`` (``doc_id`` long, ``text`` string,
     ``weight`` byte 0 or 1): chunks at home, dictionaries dealt by token.
 
-    There are twice as many buckets as shuffle partitions."""
+    There are twice as many buckets as shuffle partitions.  ``stage`` writes
+    the rows to the shared folder first, for use by more than one job."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", "weight").mapInArrow(_chunks(tokenise, 2 * parts), SCHEMA)
-    return rows.repartition(parts, "home")
+    return (staged(rows, "chunks") if stage else rows).repartition(parts, "home")
 
 
 def reduce_words(dealt: DataFrame, answer: Callable, schema: str = BACK, summary: Callable | None = None) -> DataFrame:

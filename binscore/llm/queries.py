@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, mixing, pii, quality_model, quality_rules, simhash, toxicity
+from binscore.llm import bpe, class_lm, mixing, pii, quality_model, quality_rules, simhash, toxicity
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from binscore.sources.tables import read_table
@@ -86,3 +86,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(documents(spark, sf_dir, "doc_id", "text")))
+
+
+@query("op4_class_ngrams")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(documents(spark, sf_dir, "doc_id", "text"))
