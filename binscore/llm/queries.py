@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, class_lm, mixing, pii, quality_model, quality_rules, simhash, toxicity
+from binscore.llm import bpe, class_lm, mixing, pii, quality_model, quality_rules, simhash, sketches, toxicity
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from binscore.sources.tables import read_table
@@ -91,3 +91,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_class_ngrams")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op8_scaled_sketches")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        sketches.as_text(F.col("kept")).alias("fingerprint"),
+                        sketches.as_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
