@@ -165,9 +165,10 @@ def little_endian_udf():
     return little_endian
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded texts."""
+def digests(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded texts, and
+    the ids themselves if asked for."""
     spark = encoded.sparkSession
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *["ids"] * keep_ids,
                           F.sha2(little_endian_udf()(F.col("ids")), 256).alias("ids_sha256"),
                           F.sha2(decode_udf(spark, path)(F.col("ids")), 256).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, class_lm, mixing, pii, quality_model, quality_rules, simhash, sketches, toxicity
+from binscore.llm import bpe, class_lm, licences, mixing, pii, quality_model, quality_rules, simhash, sketches, toxicity
 from binscore.llm.common import documents
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from binscore.sources.tables import read_table
@@ -99,3 +99,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                         sketches.as_text(F.col("kept")).alias("fingerprint"),
                         sketches.as_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op7_licence_scan", licences.sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.document_paths(documents(spark, sf_dir, "doc_id", "source", "text")))
