@@ -67,22 +67,44 @@ def sequence(units: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarra
 
 # --- counts -------------------------------------------------------------------
 
+def _most_frequent(distinct: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Places of the ``TOP`` most frequent words, ties by the word."""
+    if len(counts) <= TOP:
+        return np.flatnonzero(counts)
+    least = max(np.partition(counts, -TOP)[-TOP], 1)
+    sure, tied = np.flatnonzero(counts > least), np.flatnonzero(counts == least)
+    by_word = sorted(zip(distinct.take(pa.array(tied)).to_pylist(), tied.tolist()))[:TOP - len(sure)]
+    return np.concatenate([sure, np.array([i for _, i in by_word], np.int64)])
+
+
 def _summary(distinct: pa.Array, counts: np.ndarray) -> pa.Table:
-    """A bucket's most frequent words, and the words and counts of each group
-    of endings."""
+    """A bucket's most frequent words, and the counts and distinct words of
+    each group of endings, as one packed row."""
     seen = np.flatnonzero(counts)
-    top = seen[np.argsort(-counts[seen], kind="stable")]
-    if len(top) > TOP:  # all that tie with the last
-        top = top[counts[top] >= counts[top[TOP - 1]]]
     group = np.array([ending(w) for w in distinct.take(pa.array(seen)).to_pylist()], np.int64)
-    n = np.bincount(group, counts[seen], ENDINGS).astype(np.int64)
-    v = np.bincount(group, minlength=ENDINGS)
-    some = np.flatnonzero(v)
-    word = pa.concat_arrays([distinct.take(pa.array(top)), pa.nulls(len(some), pa.binary())])
-    return pa.table([word, pa.array(np.concatenate([counts[top], n[some]]), pa.int64()),
-                     pa.array(np.concatenate([np.full(len(top), -1), some]), pa.int32()),
-                     pa.array(np.concatenate([np.zeros(len(top)), v[some]]).astype(np.int64))],
-                    names=["word", "n", "ending", "distinct"])
+    top = _most_frequent(distinct, counts)
+    data, offs = dictionary.binary_parts(distinct.take(pa.array(top)))
+    return pa.table([pa.array([dictionary.pack(np.diff(offs), data, counts[top],
+                                               np.bincount(group, minlength=ENDINGS))], pa.binary())], names=["packed"])
+
+
+def _merge(batches):
+    """One partition's summaries merged: its most frequent words and the
+    distinct words of each group of endings."""
+    found, counts, groups = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], np.zeros(ENDINGS, np.int64)
+    for batch in batches:
+        for blob in batch.column("packed").to_pylist():
+            lengths, data, n, v = dictionary.unpack(blob, np.int64, np.uint8, np.int64, np.int64)
+            found.append(dictionary.binary_array(data, lengths))
+            counts.append(n)
+            groups += v
+    words_, counts_ = pa.concat_arrays(found), np.concatenate(counts)
+    top = _most_frequent(words_, counts_)
+    some = np.flatnonzero(groups)
+    yield pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([words_.take(pa.array(top)), pa.nulls(len(some), pa.binary())]),
+         pa.array(np.concatenate([counts_[top], groups[some]]), pa.int64()),
+         pa.array(np.concatenate([np.full(len(top), -1), some]), pa.int32())], names=["word", "n", "ending"])
 
 
 def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
@@ -191,9 +213,10 @@ class Model:
 
 def train(docs: DataFrame, dealt: DataFrame) -> Model:
     """The model of the texts whose ``weight`` is 1."""
-    summary = cut_lineage(dictionary.reduce_words(dealt, None, "word binary, n long, ending int, distinct long", _summary))
+    summary = cut_lineage(dictionary.reduce_words(dealt, None, "packed binary", _summary)
+                          .mapInArrow(_merge, "word binary, n long, ending int"))
     top = [bytes(r.word) for r in summary.where("ending = -1").orderBy(F.col("n").desc(), "word").limit(TOP).collect()]
-    groups = summary.where("ending >= 0").groupBy("ending").agg(F.sum("distinct").alias("v")).collect()
+    groups = summary.where("ending >= 0").groupBy("ending").agg(F.sum("n").alias("v")).collect()
     units = Units(top)
     n_train = docs.agg(F.sum("weight")).first()[0] or 0
     distinct = np.zeros(units.n)
