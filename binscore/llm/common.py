@@ -29,10 +29,20 @@ LOWER[65:91] += 32
 STEP_BYTES = 2 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The ``documents`` table with only the named columns; also makes the
-    package importable on the workers."""
+#: Rows of an Arrow batch: batches carry whole texts.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes the package importable on the workers and Arrow batches small."""
     ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The ``documents`` table with only the named columns."""
+    prepare(spark)
     return read_table(spark, sf_dir, "documents", list(columns))
 
 

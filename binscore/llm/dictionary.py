@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from binscore.llm.common import mix64, staged, steps, text_buffer
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: home: what the exchange deals by (a chunk's id, or a bucket number).
 SCHEMA = "home long, chunk long, bucket int, payload binary"
 BACK = "home long, bucket int, payload binary"
@@ -117,7 +117,7 @@ def _chunks(tokenise: Callable, buckets: int):
         for part in (offs, known, mask, counts):
             digest.update(part.tobytes())
         chunk = digest.intdigest() >> 1 | 1 << 62
-        heavy = np.bincount(codes, weights=np.repeat(weight, counts), minlength=size).astype(np.uint32)
+        heavy = np.bincount(codes[np.repeat(weight, counts) != 0], minlength=size).astype(np.uint32)
         bucket = (word_hash(data, offs) % np.uint64(buckets)).astype(np.int64)
         homes, numbers, payloads = [chunk], [DOCS], [pack(known, mask, counts.astype(np.uint32), weight, *_planes(codes),
                                                           bucket.astype(np.uint32))]

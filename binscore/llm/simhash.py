@@ -311,10 +311,10 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6
     smallest id; of rows that repeat this id, one.  Rows without an id are
     kept only if their component has no other, one of them."""
     found = near_duplicates(docs, shingle, radius, blocks)
+    # one text key for join and grouping, so that the rows are dealt once
     kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_llm_kept"), F.col("fp").alias("_llm_fp"), "component_id")
-            .groupBy("_llm_kept").agg(F.min("_llm_fp").alias("_llm_fp")))
+            .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_llm_key")).distinct())
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_llm_row"), F.col("doc_id").alias("_llm_id"))
-    return (rows.join(kept, F.col("_llm_id").eqNullSafe(F.col("_llm_kept")))
-            .groupBy("_llm_id").agg(F.first("_llm_row").alias("_llm_row")).select("_llm_row.*"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_llm_row"),
+                       F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("_llm_key"))
+    return rows.join(kept, "_llm_key").groupBy("_llm_key").agg(F.first("_llm_row").alias("_llm_row")).select("_llm_row.*")

@@ -15,39 +15,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from binscore.llm import bpe, mixing, pii, quality_model, simhash
-from binscore.llm.common import staged
-from binscore.session import ship_package
+from binscore.llm.common import prepare, staged
 from binscore.sources.tables import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    ship_package(spark)
+    prepare(spark)
     return quality_model.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by marks."""
-    ship_package(spark)
+    prepare(spark)
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out until sources have their target weights."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row of the mix, and the digests of
     the ids and of the text decoded from them."""
-    ship_package(spark)
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(docs, path)
     return bpe.digests(encoded, path, keep_ids=True)
