@@ -7,8 +7,9 @@ Word boundaries are spelled out with Unicode letter/number classes because
 """
 
 # ---- fixed values: must equal the reference behaviour ---------------------
-# Whitespace trimmed from both ends (str.strip()).
-R_TRIM = r"^\s+|\s+$"
+# Characters trimmed from both ends (str.strip() of Unicode text).
+TRIMMED = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+           "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Whole-word "yes" / "no" (re.search(r'\byes\b') / r'\bno\b').
 R_YES = r"(^|[^\p{L}\p{N}_])yes($|[^\p{L}\p{N}_])"
 R_NO = r"(^|[^\p{L}\p{N}_])no($|[^\p{L}\p{N}_])"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from binscore.functions.patterns import R_BUG, R_INST_END, R_NO, R_TRIM, R_WS_RUN, R_YES
+from binscore.functions.patterns import R_BUG, R_INST_END, R_NO, R_WS_RUN, R_YES, TRIMMED
 
 
 def _c(col) -> Column:
@@ -19,7 +19,7 @@ def _c(col) -> Column:
 def strip_ws(col) -> Column:
     """str.strip(): remove leading and trailing whitespace (``trim`` only
     removes spaces)."""
-    return F.regexp_replace(_c(col), R_TRIM, "")
+    return F.btrim(_c(col), F.lit(TRIMMED))
 
 
 def normalise_key(col) -> Column:

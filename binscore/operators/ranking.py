@@ -144,13 +144,17 @@ def row_index(df: DataFrame, order_cols, out: str = "row_index") -> DataFrame:
     """0-based position of every row in ``order_cols`` order (keys should be
     unique), without a global window: the range-partitioned sort numbers
     rows inside each partition, and each partition's offset is the running
-    count of the partitions before it (one row per partition)."""
+    count of the partitions before it (one row per partition).
+
+    The numbered copy is written to the shared folder once and read by both
+    the counts and the join: planned twice, the two sorts could cut their
+    partitions differently and lose or misnumber rows."""
     order = [F.col(c) for c in order_cols]
     sorted_df = (df.orderBy(*order)
                    .withColumn("_pid", F.spark_partition_id())
                    .withColumn("_local", F.monotonically_increasing_id()))
     local = F.col("_local") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    sorted_df = sorted_df.withColumn("_local", local)
+    sorted_df = cut_lineage(sorted_df.withColumn("_local", local))
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -77,7 +77,9 @@ def _score_frames(factory: Callable, text_col: str, keys: list[str]):
             err = [None] * len(pdf)
             size = [None] * len(pdf)
             try:
-                outs = predictor([texts.iloc[i] for i in todo])
+                outs = list(predictor([texts.iloc[i] for i in todo]))
+                if len(outs) != len(todo):
+                    raise ValueError(f"{len(outs)} answers to {len(todo)} prompts")
                 for i, (r, n) in zip(todo, outs):
                     resp[i], size[i] = r, n
             except Exception:  # noqa: BLE001 - retried row by row below

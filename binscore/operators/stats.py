@@ -21,11 +21,16 @@ from binscore.operators.ranking import average_rank
 CORR_THRESHOLD = 0.7
 
 
-def correlation_matrix(df: DataFrame, group_cols, columns, digits: int = 9) -> DataFrame:
+def _rounded(expr: str, digits: int | None) -> str:
+    return expr if digits is None else f"round({expr}, {digits})"
+
+
+def correlation_matrix(df: DataFrame, group_cols, columns, digits: int | None = None) -> DataFrame:
     """Pearson r for every column pair (a before b in ``columns``) per
     group, pairwise-complete, in one aggregation pass.  A constant column
     gives NULL (guarded division) instead of failing under ANSI mode.
-    ``r`` is rounded to ``digits`` decimals.
+    ``r`` is rounded to ``digits`` decimals if given: only for output, never
+    before a threshold.
 
     The d(d-1)/2 pair expressions are handed to Spark as SQL text, parsed
     once in the JVM, instead of being assembled call by call from Python
@@ -45,7 +50,7 @@ def correlation_matrix(df: DataFrame, group_cols, columns, digits: int = 9) -> D
                      f"stddev_pop({xb}) AS _sb_{t}"]
             entries.append(
                 f"named_struct('col_a', '{a}', 'pos_a', {i}, 'col_b', '{b}', 'pos_b', {j}, "
-                f"'r', round(try_divide(_cov_{t}, _sa_{t} * _sb_{t}), {digits}))")
+                f"'r', {_rounded(f'try_divide(_cov_{t}, _sa_{t} * _sb_{t})', digits)})")
     wide = df.groupBy(*g).agg(*[F.expr(x) for x in aggs])
     return (wide.select(*g, F.expr(f"explode(array({', '.join(entries)}))").alias("e"))
                 .select(*g, "e.*"))

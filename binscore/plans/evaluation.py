@@ -57,13 +57,13 @@ def ml_inputs(spark, sf_dir: str, ablation: str = "strict") -> MLInputs:
                     learn.minmax_apply(test, mm, G, FEATURES), corr, used)
 
 
-def cnb_predictions(spark, sf_dir: str, digits: int = 9) -> DataFrame:
+def cnb_predictions(spark, sf_dir: str, digits: int | None = None) -> DataFrame:
     """I2 for every kept project and both arms in one plan."""
     inp = ml_inputs(spark, sf_dir)
     flags = learn.used_flags(inp.used, G, FEATURES)
     out = learn.cnb_train_score(inp.train, inp.test, flags, G, FEATURES, ["github_path", "label"])
-    return out.select("project", "arm", "github_path", "label", F.round("score", digits).alias("score"),
-                      "prediction")
+    return out.select("project", "arm", "github_path", "label",
+                      (F.col("score") if digits is None else F.round("score", digits)).alias("score"), "prediction")
 
 
 def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: dict | None = None,

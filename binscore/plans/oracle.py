@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 
-R_TRIM = r"^\s+|\s+$"
+TRIMMED = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+           "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 R_YES = r"(^|[^\p{L}\p{N}_])yes($|[^\p{L}\p{N}_])"
 R_NO = r"(^|[^\p{L}\p{N}_])no($|[^\p{L}\p{N}_])"
 R_BUG = ("potential|contains|possible|has a few|several|small performance|minor issues|"
@@ -17,7 +18,7 @@ R_BUG = ("potential|contains|possible|has a few|several|small performance|minor
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{R_TRIM}', '', 'g')"
+    return f"trim({x}, '{TRIMMED}')"
 
 
 def norm(x: str) -> str:

@@ -65,7 +65,7 @@ def q_feature_label_split(spark, sf_dir):
 
 @register("correlation_matrix", sql("SELECT * FROM corr"))
 def q_correlation_matrix(spark, sf_dir):
-    return evaluation.ml_inputs(spark, sf_dir).corr
+    return evaluation.ml_inputs(spark, sf_dir).corr.withColumn("r", F.round("r", 9))
 
 
 @register("correlated_features", sql(
@@ -101,7 +101,7 @@ def q_class_weights(spark, sf_dir):
 
 @register("cnb_train_score", sql("SELECT * FROM cnb"))
 def q_cnb_train_score(spark, sf_dir):
-    return evaluation.cnb_predictions(spark, sf_dir)
+    return evaluation.cnb_predictions(spark, sf_dir, digits=9)
 
 
 @register("cnb_metrics", sql(f"""
