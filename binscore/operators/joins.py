@@ -2,38 +2,46 @@
 
 Join strategy: the planner and AQE pick the physical join.  A side is
 broadcast explicitly only through ``bounded_broadcast``, which first proves
-the row bound with a LIMIT-ed count; beyond the bound the join stays a
+the row and byte bounds with a LIMIT-ed aggregate; beyond the bound the join stays a
 shuffle (sort-merge) join, which AQE may still convert at runtime from
 measured shuffle sizes, and whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from binscore.functions.text import has_error, normalise_key
 from binscore.session import cut_lineage
 
 RUN_KEY = ("project_name", "github_path")
 
-# Upper bound on rows broadcast to every executor by ``bounded_broadcast``.
+# Upper bounds on what ``bounded_broadcast`` sends to every executor.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      materialize: bool = False) -> DataFrame:
-    """``broadcast(df)`` when it provably has at most ``max_rows`` rows,
-    else ``df`` unchanged (shuffle join, where AQE still splits skewed
-    partitions).  The check reads at most ``max_rows + 1`` rows.
+                      materialize: bool = False, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when it provably has at most ``max_rows`` rows and
+    ``max_bytes`` bytes (text bytes, 16 for any other value), else ``df``
+    unchanged (shuffle join, where AQE still splits skewed partitions).  The
+    check reads at most ``max_rows + 1`` rows.
 
     ``materialize`` first checkpoints ``df`` to the shared folder, so that
     a small side computed from a large table (distinct error keys, skipped
     projects) is computed once for both the check and the join."""
     if materialize:
         df = cut_lineage(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = reduce(lambda a, b: a + b, [
+        F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, StringType) else F.lit(16)
+        for f in df.schema.fields])
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def error_keys(runs: DataFrame, keys=RUN_KEY) -> DataFrame:
@@ -91,19 +99,6 @@ def join_exemplars(test: DataFrame, exemplars: DataFrame, project="project_name"
     return test.join(bounded_broadcast(exemplars, materialize=True), project, "inner")
 
 
-def join_source_text(df: DataFrame, files: DataFrame, path_col: str, out: str,
-                     project="project_name") -> DataFrame:
-    """C4: left lookup of a file's text by (project, normalised path).
-
-    ``files`` has (project, path, text) of one variant; ``out`` receives the
-    text (NULL when missing)."""
-    right = files.select(F.col("project").alias("_proj"), F.col("path").alias("_path"),
-                         F.col("text").alias(out))
-    key = F.regexp_replace(F.col(path_col), r"^/+", "")
-    joined = df.join(right, (F.col(project) == F.col("_proj")) & (key == F.col("_path")), "left")
-    return joined.drop("_proj", "_path")
-
-
 def outer_join_f1(llm_wide: DataFrame, ml_wide: DataFrame) -> DataFrame:
     """Align the LLM and ML pivots on project, keeping both sides."""
     return llm_wide.join(ml_wide, "project", "full_outer")
@@ -124,16 +119,7 @@ def pairwise_complete(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("llm_f1").isNotNull() & F.col("ml_f1").isNotNull())
 
 
-def anti_join_zero_f1(metrics: DataFrame) -> DataFrame:
+def anti_join_zero_f1(metrics: DataFrame, keys=("project",)) -> DataFrame:
     """Drop projects whose F1 sums to 0 in the selected configuration."""
-    zero = metrics.groupBy("project").agg(F.sum("f1").alias("_s")).where(F.col("_s") == 0)
-    return metrics.join(zero.select("project"), "project", "left_anti")
-
-
-def with_status(df: DataFrame, text_cols: list[str]) -> Column:
-    """B16 helper: 1 when every looked-up text is present, else -1."""
-    ok = None
-    for c in text_cols:
-        cond = F.col(c).isNotNull()
-        ok = cond if ok is None else ok & cond
-    return F.when(ok, F.lit(1)).otherwise(F.lit(-1))
+    zero = metrics.groupBy(*keys).agg(F.sum("f1").alias("_s")).where(F.col("_s") == 0)
+    return metrics.join(zero.select(*keys), list(keys), "left_anti")

@@ -2,13 +2,13 @@
 I1-I10).
 
 Scaling and the complement naive Bayes model are closed forms, so they run
-for all projects at once as aggregations over a long (project, file,
-feature, value) table: a project with a third of all rows is just more
-partial-aggregation input.  The iterative learners (logistic regression,
-tree, forest, perceptron, linear SVM) are Spark ML estimators fitted per
-(project, arm, algorithm): each fit is itself a distributed job, so a huge
-project is spread over the cluster, while many small projects are fitted
-concurrently from a bounded driver thread pool.  Fitted predictions are
+for all projects at once as aggregations: a project with a third of all rows is
+just more partial-aggregation input.  Logistic regression and the linear SVM
+run one aggregation per step for all projects (``linear.py``).  Tree, forest
+and perceptron are Spark ML estimators fitted per (project, arm, algorithm):
+each fit is itself a distributed job, so a huge project is spread over the
+cluster, while many small projects are fitted concurrently from a bounded
+driver thread pool.  Fitted predictions are
 appended to a table in the shared checkpoint folder and read back, so the
 result does not hold hundreds of plans in its lineage.
 """
@@ -20,12 +20,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.operators.metrics import count_when
+from binscore.operators.joins import bounded_broadcast
 
 NON_FEATURES = ("Project_name", "project_name", "File", "file", "github_path", "token_size",
                 "file_available", "token_size_codellama", "doc_id")
 CNB_ALPHA = 0.001
-# stopping tolerance of the reference's learners (their library default)
+# fits that the driver submits at a time
+FITS_AT_A_TIME = 4
+# stopping tolerance of the iterative learners (their library default)
 TOLERANCE = 1e-4
 
 
@@ -59,7 +61,7 @@ def minmax_apply(df: DataFrame, stats: DataFrame, group, columns) -> DataFrame:
     """I1 (apply): (x - min) / (max - min) with the train statistics, not
     clipped; a constant train column is only shifted (range treated as 1),
     so train rows map to 0."""
-    joined = df.join(stats, list(group), "inner")
+    joined = df.join(bounded_broadcast(stats), list(group), "inner")
     scaled = {}
     for c in columns:
         lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")
@@ -117,7 +119,7 @@ def cnb_train_score(train: DataFrame, test: DataFrame, flags: DataFrame, group,
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats}
     jll0 = sum((x[c] * F.col(f"w0_{c}") for c in feats), F.lit(0.0))
     jll1 = sum((x[c] * F.col(f"w1_{c}") for c in feats), F.lit(0.0))
-    scored = test.join(weights, g, "inner").select(*g, "arm", *keys, jll0.alias("jll0"), jll1.alias("jll1"))
+    scored = test.join(bounded_broadcast(weights, materialize=True), g, "inner").select(*g, "arm", *keys, jll0.alias("jll0"), jll1.alias("jll1"))
     return scored.select(
         *g, "arm", *keys,
         (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("jll0") - F.col("jll1")))).alias("score"),
@@ -157,22 +159,16 @@ def class_weight_col(train: DataFrame, group, label: str = "label", out: str = "
     per = train.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = train.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     w = per.join(tot, g).select(*g, label, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias(out))
-    return train.join(w, [*g, label], "inner")
+    return train.join(bounded_broadcast(w, materialize=True), [*g, label], "inner")
 
 
-# ---- Spark ML learners (I3-I8) ---------------------------------------------------
+# ---- Spark ML learners (I4, I5, I7, I8) ---------------------------------------------------
 
-def make_estimator(algorithm: str, n_features: int, weight_sum: float, params: dict | None = None):
-    """The Spark ML counterpart of each learner, with its parameters
-    (C = 1 rescaled to Spark's mean-loss objective: regParam = 1 / sum(w))."""
-    from pyspark.ml.classification import (LinearSVC, LogisticRegression,
-                                           MultilayerPerceptronClassifier,
-                                           RandomForestClassifier)
+def make_estimator(algorithm: str, n_features: int, params: dict | None = None):
+    """The Spark ML counterpart of each learner, with its parameters.  The
+    forest's depth is bounded by the library (30)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
     p = dict(params or {})
-    reg = 1.0 / max(weight_sum, 1.0)
-    if algorithm == "LR":
-        return LogisticRegression(maxIter=p.get("maxIter", 100), regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, weightCol="weight", tol=TOLERANCE)
     if algorithm == "DT":
         return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="0.3",
                                       impurity="entropy", maxDepth=6, seed=0, weightCol="weight")
@@ -183,18 +179,13 @@ def make_estimator(algorithm: str, n_features: int, weight_sum: float, params: d
     if algorithm == "MLP":
         return MultilayerPerceptronClassifier(layers=[n_features, 7, 2], maxIter=p.get("maxIter", 200),
                                               seed=0, tol=TOLERANCE)
-    if algorithm == "SVM":
-        return LinearSVC(maxIter=p.get("maxIter", 1000), regParam=reg, standardization=False,
-                         weightCol="weight", tol=TOLERANCE)
     raise ValueError(f"unknown algorithm {algorithm}")
 
 
-def positive_score(pred: DataFrame, algorithm: str) -> DataFrame:
-    """I8: probability of class 1, else the raw decision value (min-max
-    scaled later, per group, by E4)."""
+def positive_score(pred: DataFrame) -> DataFrame:
+    """I8: probability of class 1."""
     from pyspark.ml.functions import vector_to_array
-    col = "rawPrediction" if algorithm == "SVM" else "probability"
-    return pred.withColumn("score", vector_to_array(F.col(col)).getItem(1))
+    return pred.withColumn("score", vector_to_array(F.col("probability")).getItem(1))
 
 
 def fit_predict(train: DataFrame, test: DataFrame, feature_cols, algorithm: str,
@@ -204,17 +195,13 @@ def fit_predict(train: DataFrame, test: DataFrame, feature_cols, algorithm: str,
     feats = list(feature_cols)
     tr = assemble(train, feats)
     te = assemble(test, feats)
-    wsum = train.agg(F.sum("weight")).first()[0] or 1.0
-    model = make_estimator(algorithm, len(feats), float(wsum), params).fit(tr)
-    out = positive_score(model.transform(te), algorithm)
+    model = make_estimator(algorithm, len(feats), params).fit(tr)
+    out = positive_score(model.transform(te))
     return out.withColumn("prediction", F.col("prediction").cast("int"))
 
 
-def fit_grid(tasks, run, parallelism: int = 4):
+def fit_grid(tasks, run, parallelism: int = FITS_AT_A_TIME):
     """Run ``run(task)`` for every task on a bounded driver thread pool
     (each call submits its own distributed Spark jobs)."""
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return list(pool.map(run, tasks))
-
-
-_ = count_when

@@ -59,14 +59,6 @@ def accuracy_col(tp="tp", tn="tn", n="n") -> Column:
     return safe_ratio(_c(tp) + _c(tn), _c(n))
 
 
-def with_scores(df: DataFrame, f1_name: str = "f1") -> DataFrame:
-    return df.withColumns({
-        "precision": precision_col(),
-        "recall": recall_col(),
-        f1_name: f1_col(),
-    })
-
-
 def coverage_aggs(response="response", prediction="prediction",
                   heuristic="interpreted") -> list[Column]:
     """D3: total rows, answers, predictions (heuristic ones included) and
@@ -175,15 +167,15 @@ def mean_scores(summary: DataFrame, keys=("model", "comments_included")) -> Data
         F.avg("f1").alias("f1"))
 
 
-def zero_f1_projects(metrics: DataFrame) -> DataFrame:
+def zero_f1_projects(metrics: DataFrame, keys=("project",)) -> DataFrame:
     """Projects whose F1 sums to 0."""
-    return (metrics.groupBy("project").agg(F.sum("f1").alias("f1_sum"))
-                   .where(F.col("f1_sum") == 0).select("project"))
+    return (metrics.groupBy(*keys).agg(F.sum("f1").alias("f1_sum"))
+                   .where(F.col("f1_sum") == 0).select(*keys))
 
 
-def bar_means(metrics: DataFrame) -> DataFrame:
+def bar_means(metrics: DataFrame, keys=("project",)) -> DataFrame:
     """Mean F1 per (project, model), the plotted bar height."""
-    return metrics.groupBy("project", "model").agg(F.avg("f1").alias("mean_f1"))
+    return metrics.groupBy(*keys, "model").agg(F.avg("f1").alias("mean_f1"))
 
 
 def mean_or_default(df: DataFrame, auc="auc") -> DataFrame:

@@ -27,31 +27,42 @@ from binscore.operators.metrics import count_when
 from binscore.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
 from binscore.session import cut_lineage
 
-DEFAULT_BUCKETS = 32
+# distinct values that one task sorts
+ROWS_PER_RANGE = 100_000
 
 
-def bucket_bounds(hist: DataFrame, group_cols, value: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def range_count(hist: DataFrame, group_cols, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges that keep the largest group's ranges near ``rows_per_range``
+    distinct values."""
+    largest = hist.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-largest // rows_per_range))
+
+
+def bucket_bounds(hist: DataFrame, group_cols, value: str, n_buckets: int) -> DataFrame:
     """Per group, ``n_buckets - 1`` approximate quantiles of the distinct
     values (checkpointed: fixed for the rest of the plan)."""
-    qs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = [i / n_buckets for i in range(1, n_buckets)] or [0.0]
     bounds = hist.groupBy(*group_cols).agg(
-        F.percentile_approx(F.col(value), qs).alias("_bounds"))
+        F.percentile_approx(F.col(value), qs, max(10_000, 20 * n_buckets)).alias("_bounds"))
     return cut_lineage(bounds)
 
 
-def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: int = DEFAULT_BUCKETS,
+def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: int | None = None,
                  suffix: str = "_below", totals_suffix: str | None = None) -> DataFrame:
     """For each row of ``hist`` (unique per (group, value)), add
     ``<c><suffix>`` = sum of ``c`` over the group's rows with a smaller
     value, for every ``c`` in ``sum_cols`` (and ``<c><totals_suffix>`` =
     the group's total when ``totals_suffix`` is given).
 
-    The per-group tables joined back (bounds, bucket offsets, totals) have
+    The number of value ranges per group follows the largest group's distinct
+    values unless ``n_buckets`` sets it.  The per-group tables joined back (bounds, bucket offsets, totals) have
     at most groups x buckets rows; the group count is read from the
     checkpointed bounds, so they are broadcast on a proven bound and no
     group's rows are shuffled on the group key."""
     g = list(group_cols)
     sum_cols = list(sum_cols)
+    hist = cut_lineage(hist)  # read for the count, the bounds, the offsets and the ranks
+    n_buckets = n_buckets or range_count(hist, g)
     bounds = bucket_bounds(hist, g, value, n_buckets)
     small = bounds.count() * n_buckets <= BROADCAST_MAX_ROWS
     bc = F.broadcast if small else (lambda d: d)
@@ -74,7 +85,7 @@ def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: i
 
 
 def average_rank(df: DataFrame, group_cols, value: str, out: str = "avg_rank",
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """Mid-rank of ``value`` within its group (ties share the mean of
     their positions); NULL values get a NULL rank."""
     g = list(group_cols)
@@ -92,7 +103,7 @@ def score_histogram(df: DataFrame, group_cols, score: str = "score", label: str
 
 
 def running_counts(df: DataFrame, group_cols, score: str = "score", label: str = "label",
-                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Per distinct score (taken as the threshold, descending order),
     the cumulative true and false positives at score >= threshold."""
     g = list(group_cols)
@@ -107,7 +118,7 @@ def running_counts(df: DataFrame, group_cols, score: str = "score", label: str =
 
 
 def roc_curve(df: DataFrame, group_cols, score: str = "score", label: str = "label",
-              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              n_buckets: int | None = None) -> DataFrame:
     """One ROC point per distinct score: fpr, tpr at score >= threshold
     (no points are dropped; an undefined rate is NULL)."""
     rc = running_counts(df, group_cols, score, label, n_buckets)
@@ -118,7 +129,7 @@ def roc_curve(df: DataFrame, group_cols, score: str = "score", label: str = "lab
 
 
 def roc_auc(df: DataFrame, group_cols, score: str = "score", label: str = "label",
-            n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+            n_buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney U / (P N)), ties
     counted one half; NULL when a group lacks positives or negatives."""
     g = list(group_cols)

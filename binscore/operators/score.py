@@ -29,6 +29,9 @@ from binscore.functions.text import clean_response, parse_yes_no
 KEYWORDS = ("while", "for", "loop")
 ANSWER_YES = "performance bug: YES"
 ANSWER_NO = "performance bug: NO"
+# ---- limits of the limited predictor ----------------------------------------
+MIN_TOKENS, MAX_TOKENS = 150, 600
+TOO_LONG = "Prompt too long"
 # ---------------------------------------------------------------------------
 
 SCORE_FIELDS = [StructField("response", StringType()), StructField("score_error", StringType()),
@@ -57,6 +60,18 @@ class KeywordPredictor:
         return [(ANSWER_YES if self._re.search(p) else ANSWER_NO, self.token_size(p)) for p in prompts]
 
 
+class LimitedPredictor(KeywordPredictor):
+    """A keyword predictor with limits: a batch with a prompt above
+    ``MAX_TOKENS`` fails as a whole, prompts below ``MIN_TOKENS`` get no
+    answer, so a batch may come back with too few."""
+
+    def __call__(self, prompts: list[str]) -> list[tuple[str, int]]:
+        sizes = [self.token_size(p) for p in prompts]
+        if max(sizes, default=0) > MAX_TOKENS:
+            raise ValueError(TOO_LONG)
+        return super().__call__([p for p, n in zip(prompts, sizes) if n >= MIN_TOKENS])
+
+
 _PREDICTORS: dict = {}
 
 
@@ -85,8 +100,10 @@ def _score_frames(factory: Callable, text_col: str, keys: list[str]):
             except Exception:  # noqa: BLE001 - retried row by row below
                 for i in todo:
                     try:
-                        (r, n), = predictor([texts.iloc[i]])
-                        resp[i], size[i] = r, n
+                        outs = list(predictor([texts.iloc[i]]))
+                        if len(outs) != 1:
+                            raise ValueError(f"{len(outs)} answers to 1 prompt")
+                        resp[i], size[i] = outs[0]
                     except Exception as e:  # noqa: BLE001 - a failed row keeps its error text
                         err[i] = str(e) or type(e).__name__
             out = pdf[keys].copy()

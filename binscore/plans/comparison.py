@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.functions.text import algorithm_short_name, format_cell, mask_significance
+from binscore.functions.text import algorithm_short_name, format_cell, mask_significance, normalise_key
 from binscore.operators import metrics, ranking, reshape, stats
 from binscore.operators.joins import cross_compare, outer_join_f1, pairwise_complete
 from binscore.plans import analysis
@@ -62,9 +62,10 @@ def llm_best_f1(spark, sf_dir: str) -> DataFrame:
 
 
 def ml_with_f1(ml: DataFrame) -> DataFrame:
-    """B20 + B24: valid 'with' arms, algorithm renamed to its short name."""
+    """B20 + B24: valid 'with' arms, algorithm renamed to its short name,
+    project normalised as on the LLM side."""
     return (ml.where(F.col("algorithm_metric").isin(*VALID_ALGORITHMS))
-              .select("project", algorithm_short_name("algorithm_metric").alias("algorithm"), "f1"))
+              .select(normalise_key("project").alias("project"), algorithm_short_name("algorithm_metric").alias("algorithm"), "f1"))
 
 
 def f1_wide(spark, sf_dir: str) -> DataFrame:

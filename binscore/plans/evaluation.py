@@ -1,21 +1,22 @@
 """ML evaluation: per-project learners on the feature matrix (entry 3).
 
 skip rule (D9) -> split semi-joins (C1) -> correlation screening per arm
-(D16/D17) -> train-fitted scaling (I1) -> learners (I2 closed form for all
-projects at once; I3-I7 Spark ML per project) -> one predictions table ->
-metrics (I9).
+(D16/D17) -> train-fitted scaling (I1) -> learners (I2 closed form, I3 and I6
+one aggregation per step, for all projects at once; I4, I5, I7 Spark ML per
+project) -> one predictions table -> metrics (I9).
 """
 
 from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import normalise_key
-from binscore.operators import joins, learn, metrics, ranking, stats
+from binscore.operators import joins, learn, linear, metrics, ranking, stats
 from binscore.session import cut_lineage, scratch_dir
 from binscore.sources import testbed
 
@@ -46,40 +47,53 @@ def ml_inputs(spark, sf_dir: str, ablation: str = "strict") -> MLInputs:
     # the feature matrix (one numeric row per file) feeds the split
     # semi-joins, the correlations and the scaling: derive it from the texts
     # once and read the written copy back
-    feats = cut_lineage(feats.join(kept, "project", "left_semi"))
+    kept = cut_lineage(kept)
+    feats = cut_lineage(feats.join(joins.bounded_broadcast(kept), "project", "left_semi"))
     train = joins.semi_join_split(feats, train_split)
     test = joins.semi_join_split(feats, test_split)
     corr = stats.correlation_matrix(feats, G, ["label", *FEATURES])
     dropped = learn.dropped_features(corr, G, ABLATABLE)
     used = learn.arm_features(kept, dropped, G, FEATURES, ABLATABLE, ablation)
-    mm = learn.minmax_fit(train, G, FEATURES)
+    mm = cut_lineage(learn.minmax_fit(train, G, FEATURES))
     return MLInputs(kept, feats, learn.minmax_apply(train, mm, G, FEATURES),
                     learn.minmax_apply(test, mm, G, FEATURES), corr, used)
 
 
-def cnb_predictions(spark, sf_dir: str, digits: int | None = None) -> DataFrame:
+PREDICTIONS = ("project", "algorithm", "arm", "github_path", "label", "score", "prediction")
+
+
+def cnb_predictions(spark, sf_dir: str, digits: int | None = None, inp: MLInputs | None = None) -> DataFrame:
     """I2 for every kept project and both arms in one plan."""
-    inp = ml_inputs(spark, sf_dir)
+    inp = inp or ml_inputs(spark, sf_dir)
     flags = learn.used_flags(inp.used, G, FEATURES)
     out = learn.cnb_train_score(inp.train, inp.test, flags, G, FEATURES, ["github_path", "label"])
     return out.select("project", "arm", "github_path", "label",
                       (F.col("score") if digits is None else F.round("score", digits)).alias("score"), "prediction")
 
 
-def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: dict | None = None,
-                         parallelism: int | None = None) -> DataFrame:
-    """I3-I8 for every kept project, both arms and the given algorithms.
+def linear_predictions(inp: MLInputs, algorithm: str) -> DataFrame:
+    """I3, I6 for every kept project and both arms, one aggregation a step."""
+    flags = learn.used_flags(inp.used, G, FEATURES)
+    models = linear.fit_linear(learn.class_weight_col(inp.train, G), flags, G, FEATURES, algorithm)
+    return (linear.score_linear(inp.test, models, G, FEATURES, algorithm, ["github_path", "label"])
+            .withColumn("algorithm", F.lit(algorithm)).select(*PREDICTIONS))
+
+
+def fitted_predictions(spark, inp: MLInputs, algorithms, params: dict | None = None,
+                       parallelism: int = learn.FITS_AT_A_TIME) -> DataFrame:
+    """I4, I5, I7 for every kept project and both arms: one Spark ML fit each,
+    ``parallelism`` of them at a time.
 
     The list of (project, arm, features) tasks is small metadata (bounded
     by projects x 2); the rows themselves never leave the executors."""
-    inp = ml_inputs(spark, sf_dir)
     # train/test are written once, partitioned by project, to the shared
     # folder: each fit reads only its project's partition (partition
     # pruning) and a lost executor never forces a recomputation from texts
     staged = scratch_dir(spark, "ml-inputs")
     weighted = learn.class_weight_col(inp.train, G)
-    weighted.write.partitionBy("project").parquet(os.path.join(staged, "train"))
-    inp.test.write.partitionBy("project").parquet(os.path.join(staged, "test"))
+    # few files a project; AQE splits a large project's partition by its size
+    weighted.hint("rebalance", "project").write.partitionBy("project").parquet(os.path.join(staged, "train"))
+    inp.test.hint("rebalance", "project").write.partitionBy("project").parquet(os.path.join(staged, "test"))
     # read back with the written schema: project names stay strings even
     # when a directory value looks numeric
     train = spark.read.schema(weighted.schema).parquet(os.path.join(staged, "train"))
@@ -102,12 +116,23 @@ def spark_ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: d
              .write.mode("overwrite").parquet(os.path.join(out_dir, f"task={i}")))
         return task
 
-    learn.fit_grid(tasks, run, parallelism or max(4, spark.sparkContext.defaultParallelism))
+    learn.fit_grid(tasks, run, parallelism)
     if not tasks:
         return spark.createDataFrame(
             [], "project string, algorithm string, arm int, github_path string, label int, "
                 "score double, prediction int")
-    preds = spark.read.parquet(out_dir).drop("task")
+    return spark.read.parquet(out_dir).select(*PREDICTIONS)
+
+
+def ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: dict | None = None,
+                   inp: MLInputs | None = None) -> DataFrame:
+    """I3-I8 for every kept project, both arms and the given algorithms."""
+    inp = inp or ml_inputs(spark, sf_dir)
+    parts = [linear_predictions(inp, a) for a in algorithms if a in linear.LOSSES]
+    fitted = [a for a in algorithms if a not in linear.LOSSES]
+    if fitted:
+        parts.append(fitted_predictions(spark, inp, fitted, params))
+    preds = reduce(DataFrame.unionByName, parts)
     # decision values (SVM) are min-max scaled within their group
     scaled = ranking.score_minmax(preds, ["project", "algorithm", "arm"], "score", "scaled")
     return scaled.select("project", "algorithm", "arm", "github_path", "label",

@@ -19,6 +19,7 @@ from binscore.sources import testbed
 
 SAMPLE_COLS = ("project_name", "file", "github_path", "label")
 BATCH_SIZE = 5
+EXEMPLAR_KINDS = ("positive", "negative")
 
 
 def filter_available(df: DataFrame) -> DataFrame:
@@ -47,13 +48,18 @@ def zero_shot_inputs(spark, sf_dir: str, variant: str = "with") -> DataFrame:
 
 def exemplar_texts(spark, sf_dir: str, variant: str = "with", samples_df=None) -> DataFrame:
     """D12 + C4: per project the exemplar paths and their texts (one row per
-    project with both exemplars)."""
+    project with both exemplars).  Both kinds are looked up in one pass over
+    the files."""
     s = samples_df if samples_df is not None else testbed.samples(spark, sf_dir)
     ex = joins.pick_exemplars(testbed.split_of(s, "train"))
     files = testbed.source_files(spark, sf_dir, variant)
-    dirs = files.select("project")
-    ex = lookup.lookup_text(ex, files, "positive_example", "positive_text", dirs=dirs)
-    return lookup.lookup_text(ex, files, "negative_example", "negative_text", dirs=dirs)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_example").alias("example"))
+                                for k in EXEMPLAR_KINDS]))
+    paths = [f"{k}_example" for k in EXEMPLAR_KINDS]
+    long = ex.select("project_name", *paths, kinds.alias("_k")).select("project_name", *paths, "_k.*")
+    found = lookup.lookup_text(long, files, "example", "text", dirs=files.select("project"), few=True)
+    return found.groupBy("project_name", *paths).agg(*[
+        F.max(F.when(F.col("kind") == k, F.col("text"))).alias(f"{k}_text") for k in EXEMPLAR_KINDS])
 
 
 def few_shot_inputs(spark, sf_dir: str, variant: str = "with") -> DataFrame:

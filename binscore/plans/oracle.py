@@ -253,6 +253,34 @@ cte("cles", ("pairs",), """
   FROM pairs GROUP BY ALL""")
 
 
+# subsets of the ranks 1..n by their sum (exact signed-rank distribution)
+cte("rank_counts", (), """
+  SELECT * FROM (WITH RECURSIVE counts(n, s, c) AS (
+    SELECT 0, 0, 1.0::DOUBLE
+    UNION ALL
+    SELECT n + 1, s + take * (n + 1), sum(c) FROM counts, (VALUES (0), (1)) t(take) WHERE n < 50
+    GROUP BY n + 1, s + take * (n + 1))
+  SELECT n, s, c FROM counts)""")
+
+# normal tail: erf(x) = 2/sqrt(pi) exp(-x^2) sum_k 2^k x^(2k+1) / (1 3 .. (2k+1))
+_X = "(abs(z) / sqrt(2.0))"
+_TAIL = (f"CASE WHEN z = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - 2.0 / sqrt(pi()) * exp(-{_X} * {_X}) * list_sum(list_transform("
+         f"range(0, 300), lambda k: exp((2 * k + 1) * ln({_X}) + 2 * k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2))))) END")
+cte("paired_tests", ("signed_rank", "rank_counts", "cles"), f"""
+  SELECT llm, ml, n_pairs, n, z, p AS p_value, round_even(p, 3) AS p_rounded, cles, round_even(cles, 2) AS cles_rounded,
+    CASE WHEN round_even(p, 3) > 0.05 THEN '--'
+         ELSE coalesce(CAST(round_even(cles, 2) AS VARCHAR), 'nan') END AS cles_shown
+  FROM (SELECT s.llm, s.ml, s.n_pairs, s.n, s.z, c.cles,
+    CASE WHEN s.n_pairs < 2 OR s.n = 0 THEN NULL
+         WHEN s.n_pairs <= 50 AND s.n = s.n_pairs THEN
+           CASE WHEN floor(s.r_plus) = (s.n * (s.n + 1) // 2) // 2 THEN 1.0
+                ELSE least(1.0, 2.0 * least(
+                  (SELECT sum(k.c) FROM rank_counts k WHERE k.n = s.n AND k.s <= floor(s.r_plus)),
+                  (SELECT sum(k.c) FROM rank_counts k WHERE k.n = s.n AND k.s >= floor(s.r_plus))) / pow(2.0, s.n)) END
+         ELSE {_TAIL} END AS p
+    FROM signed_rank s JOIN cles c ON s.llm = c.llm AND s.ml = c.ml)""")
+
+
 # ---- feature matrix and the closed-form learners ----------------------------------
 
 FEATS = ("f_chars", "f_words", "f_lines", "f_commas", "f_periods", "f_upper_the", "f_no", "f_const", "f_dup")

@@ -8,8 +8,7 @@ from binscore.functions import text as T
 from binscore.operators import joins, metrics
 from binscore.plans import analysis
 from binscore.plans.catalog import register
-from binscore.plans.oracle import (CONFUSION, clean, cnt, has_err, interp, norm, parse, sql,
-                                   strip)
+from binscore.plans.oracle import (CONFUSION, clean, cnt, has_err, interp, norm, parse, sql)
 from binscore.sources import testbed
 from binscore.sources.tables import read_table
 
@@ -175,5 +174,3 @@ def q_normalise_key(spark, sf_dir):
 def q_as_bool(spark, sf_dir):
     return testbed.samples(spark, sf_dir).select("doc_id", T.as_bool("file_available").alias("available"))
 
-
-_ = strip  # re-exported helper used by other query modules

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import algorithm_short_name, map_with_default
@@ -127,10 +130,13 @@ def q_config_struct(spark, sf_dir):
                                 "cfg.prompting").alias("config"), "f1")
 
 
+STYLES = ("fewShot", "zeroShot")
+
+
 @register("filter_config_contains", sql("SELECT * FROM summary WHERE contains(lower(prompting), 'zeroshot')"))
-def q_filter_config_contains(spark, sf_dir):
+def q_filter_config_contains(spark, sf_dir, style: str = "zeroShot"):
     s = analysis.config_summary(spark, sf_dir)
-    return s.where(F.lower("prompting").contains("zeroshot"))
+    return s.where(F.lower("prompting").contains(style.lower()))
 
 
 @register("mean_scores", sql("""
@@ -147,11 +153,13 @@ def q_mean_scores(spark, sf_dir):
 
 
 @register("sort_model_f1", sql("""
-  SELECT model, comments_included, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1
-  FROM summary WHERE contains(lower(prompting), 'fewshot') GROUP BY ALL ORDER BY model, f1 DESC"""))
+  SELECT prompting, model, comments_included, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1
+  FROM summary GROUP BY ALL ORDER BY prompting, model, f1 DESC"""))
 def q_sort_model_f1(spark, sf_dir):
-    s = analysis.config_summary(spark, sf_dir).where(F.lower("prompting").contains("fewshot"))
-    return metrics.mean_scores(s).orderBy(F.col("model").asc(), F.col("f1").desc())
+    """both tables, few-shot and zero-shot, each by model and F1."""
+    parts = [metrics.mean_scores(q_filter_config_contains(spark, sf_dir, style)).withColumn("prompting", F.lit(style))
+             for style in STYLES]
+    return reduce(DataFrame.unionByName, parts).orderBy("prompting", F.col("model").asc(), F.col("f1").desc())
 
 
 @register("pivot_llm_f1", sql("SELECT project, artigenz, codellama, qwen FROM f1_wide WHERE artigenz IS NOT NULL "
@@ -201,15 +209,14 @@ def q_wilcoxon(spark, sf_dir):
     return stats.signed_rank_stats(comparison.paired_scores(spark, sf_dir))
 
 
-@register("wilcoxon_pvalue")
+@register("wilcoxon_pvalue", sql(
+    "SELECT llm, ml, n_pairs, n, z, round(p_value, 9) AS p_value, p_rounded, cles, cles_rounded FROM paired_tests"))
 def q_wilcoxon_pvalue(spark, sf_dir):
-    """p-values need erfc / the exact distribution: rows-only check here,
-    golden-checked in the unit tests."""
     return comparison.comparison(spark, sf_dir).select(
-        "llm", "ml", "n_pairs", "n", "z", "p_value", "p_rounded", "cles", "cles_rounded")
+        "llm", "ml", "n_pairs", "n", "z", F.round("p_value", 9).alias("p_value"), "p_rounded", "cles", "cles_rounded")
 
 
-@register("mask_significance")
+@register("mask_significance", sql("SELECT llm, ml, p_rounded, cles_rounded, cles_shown FROM paired_tests"))
 def q_mask_significance(spark, sf_dir):
     return comparison.comparison(spark, sf_dir).select("llm", "ml", "p_rounded", "cles_rounded", "cles_shown")
 
@@ -223,62 +230,75 @@ def q_pivot_cles(spark, sf_dir):
     return reshape.pivot_unique(c, "ml", "llm", "cles_rounded", list(comparison.LLM_NAMES))
 
 
-@register("pivot_pvalues")
+_P_TEXT = "CASE WHEN p_rounded = 0 THEN '0' ELSE coalesce(CAST(p_rounded AS VARCHAR), 'nan') END"
+
+
+def _by_llm(value: str) -> str:
+    return ("SELECT ml, " + ", ".join(f"max(CASE WHEN llm = '{x}' THEN {value} END) AS {x}" for x in comparison.LLM_NAMES)
+            + " FROM paired_tests GROUP BY ml")
+
+
+@register("pivot_pvalues", sql(_by_llm("p_rounded")))
 def q_pivot_pvalues(spark, sf_dir):
     c = comparison.comparison(spark, sf_dir)
     return reshape.pivot_unique(c, "ml", "llm", "p_rounded", list(comparison.LLM_NAMES))
 
 
-@register("combined_matrix")
+@register("combined_matrix", sql(_by_llm(f"{_P_TEXT} || ' (' || cles_shown || ')'")))
 def q_combined_matrix(spark, sf_dir):
     return comparison.combined_matrix(spark, sf_dir)
 
 
 # ---- chart data (C9, D14, D15, E3, B25) --------------------------------------------
 
-def _chart_base(spark, sf_dir, prompting="zeroShot"):
+def _chart_base(spark, sf_dir):
+    """F1 with comments; one chart for each prompting style."""
     pm = analysis.project_metrics(spark, sf_dir)
-    return analysis.best_config(pm, True, prompting).select("project", "model", "f1")
+    return pm.where("comments_included").select("prompting", "project", "model", "f1")
 
 
-_CHART = "(SELECT project, model, f1 FROM project_metrics WHERE comments_included AND prompting = 'zeroShot')"
+_CHART = "(SELECT prompting, project, model, f1 FROM project_metrics WHERE comments_included)"
+_BARS = f"""(SELECT * FROM {_CHART} c WHERE (prompting, project) NOT IN (
+    SELECT (prompting, project) FROM {_CHART} GROUP BY prompting, project HAVING sum(f1) = 0))"""
+CHART_KEY = ("prompting", "project")
 
 
-@register("zero_f1_projects", sql(f"SELECT project FROM {_CHART} GROUP BY project HAVING sum(f1) = 0"))
+@register("zero_f1_projects", sql(
+    f"SELECT prompting, project FROM {_CHART} GROUP BY prompting, project HAVING sum(f1) = 0"))
 def q_zero_f1_projects(spark, sf_dir):
-    return metrics.zero_f1_projects(_chart_base(spark, sf_dir))
+    return metrics.zero_f1_projects(_chart_base(spark, sf_dir), CHART_KEY)
 
 
-@register("anti_join_zero_f1", sql(f"""
-  SELECT * FROM {_CHART} c WHERE project NOT IN (SELECT project FROM {_CHART} GROUP BY project HAVING sum(f1) = 0)"""))
+@register("anti_join_zero_f1", sql(f"SELECT * FROM {_BARS}"))
 def q_anti_join_zero_f1(spark, sf_dir):
-    return joins.anti_join_zero_f1(_chart_base(spark, sf_dir))
+    return joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY)
 
 
-@register("bar_means", sql(f"""
-  SELECT project, model, avg(f1) AS mean_f1 FROM {_CHART} c
-  WHERE project NOT IN (SELECT project FROM {_CHART} GROUP BY project HAVING sum(f1) = 0) GROUP BY ALL"""))
+@register("bar_means", sql(
+    f"SELECT prompting, project, model, avg(f1) AS mean_f1 FROM {_BARS} GROUP BY prompting, project, model"))
 def q_bar_means(spark, sf_dir):
-    return metrics.bar_means(joins.anti_join_zero_f1(_chart_base(spark, sf_dir)))
+    return metrics.bar_means(joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY), CHART_KEY)
 
 
 @register("project_order", sql(f"""
-  SELECT project, max_f1, row_number() OVER (ORDER BY max_f1 DESC, project) AS position FROM (
-    SELECT project, max(f1) AS max_f1 FROM {_CHART} c
-    WHERE project NOT IN (SELECT project FROM {_CHART} GROUP BY project HAVING sum(f1) = 0) GROUP BY project)"""))
+  SELECT prompting, project, max_f1,
+    CAST(row_number() OVER (PARTITION BY prompting ORDER BY max_f1 DESC, project) AS INTEGER) AS position
+  FROM (SELECT prompting, project, max(f1) AS max_f1 FROM {_BARS} GROUP BY prompting, project)"""))
 def q_project_order(spark, sf_dir):
-    kept = joins.anti_join_zero_f1(_chart_base(spark, sf_dir))
-    best = kept.groupBy("project").agg(F.max("f1").alias("max_f1"))
-    # position by best F1 descending, project as tie-break, numbered by
-    # partition offsets (no single-task global window)
-    ordered = ranking.row_index(best.withColumn("_neg", -F.col("max_f1")), ["_neg", "project"], "_i")
-    return ordered.select("project", "max_f1", (F.col("_i") + 1).cast("int").alias("position"))
+    kept = joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY)
+    best = kept.groupBy(*CHART_KEY).agg(F.max("f1").alias("max_f1"))
+    # position within its chart by best F1 descending, project as tie-break,
+    # numbered by partition offsets (no single-task global window)
+    ordered = ranking.row_index(best.withColumn("_neg", -F.col("max_f1")), ["prompting", "_neg", "project"], "_i")
+    first = F.broadcast(ordered.groupBy("prompting").agg(F.min("_i").alias("_first")))  # one row per chart
+    return ordered.join(first, "prompting").select("prompting", "project", "max_f1",
+                                                   (F.col("_i") - F.col("_first") + 1).cast("int").alias("position"))
 
 
 @register("map_labels", sql("""
-  SELECT project, model, CASE model WHEN 'artigenz' THEN 'Artigenz Coder 6.7b'
+  SELECT prompting, project, model, CASE model WHEN 'artigenz' THEN 'Artigenz Coder 6.7b'
     WHEN 'codellama' THEN 'CodeLlama 7b instruct' WHEN 'qwen' THEN 'Qwen Coder 7b instruct' ELSE model END AS label
-  FROM project_metrics WHERE comments_included AND prompting = 'zeroShot'"""))
+  FROM project_metrics WHERE comments_included"""))
 def q_map_labels(spark, sf_dir):
-    return _chart_base(spark, sf_dir).select("project", "model",
+    return _chart_base(spark, sf_dir).select("prompting", "project", "model",
                                              map_with_default("model", MODEL_DISPLAY).alias("label"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from binscore.functions import text as T
 from binscore.functions.prompts import render_prompt
-from binscore.operators import joins, lookup, metrics
+from binscore.operators import joins, lookup, metrics, score
 from binscore.plans import analysis, inference
 from binscore.plans.catalog import register
 from binscore.plans.oracle import has_err, sql, ws_tokens
@@ -89,8 +89,8 @@ def q_normalise_path(spark, sf_dir):
 
 @register("select_variant", sql("SELECT doc_id, project, path, md5(text) AS text_md5 FROM files_without"))
 def q_select_variant(spark, sf_dir):
-    f = testbed.source_files(spark, sf_dir)
-    return f.where(F.col("variant") == "without").select("doc_id", "project", "path",
+    f = testbed.source_files(spark, sf_dir, "without")
+    return f.select("doc_id", "project", "path",
                                                        _md5("text").alias("text_md5"))
 
 
@@ -185,6 +185,29 @@ def q_score_batch_udf(spark, sf_dir):
              .unionByName(f.select(F.lit("fewShot").alias("prompting"), *cols)))
 
 
+def _limited_sql(style: str, src: str) -> str:
+    n = ws_tokens("prompt_text")
+    ok = f"{n} BETWEEN {score.MIN_TOKENS} AND {score.MAX_TOKENS}"
+    return f"""
+  SELECT '{style}' AS prompting, doc_id, CASE WHEN {ok} THEN response END AS response,
+    CASE WHEN {ok} THEN prediction END AS prediction,
+    CASE WHEN failure IS NOT NULL THEN failure WHEN {n} > {score.MAX_TOKENS} THEN '{score.TOO_LONG}'
+         WHEN {n} < {score.MIN_TOKENS} THEN '0 answers to 1 prompt' END AS errors,
+    CASE WHEN {ok} THEN token_size END AS token_size
+  FROM (SELECT s.*, i.prompt_text, i.failure FROM {src}_scored s JOIN {src}_in i ON s.doc_id = i.doc_id)"""
+
+
+@register("score_batch_errors", sql(f"{_limited_sql('zeroShot', 'zs')} UNION ALL {_limited_sql('fewShot', 'fs')}"))
+def q_score_batch_errors(spark, sf_dir):
+    """K1 with a predictor that fails on some prompts and answers too few:
+    only those rows carry an error, every other row its answer."""
+    parts = []
+    for style, few, inputs in (("zeroShot", False, inference.zero_shot_inputs), ("fewShot", True, inference.few_shot_inputs)):
+        out = inference.score_inputs(inputs(spark, sf_dir, "with"), few, score.LimitedPredictor)
+        parts.append(out.select(F.lit(style).alias("prompting"), "doc_id", "response", "prediction", "errors", "token_size"))
+    return parts[0].unionByName(parts[1])
+
+
 @register("union_runs", sql(f"""
   SELECT 'zeroShot' AS prompting, {_RAW}, NULL AS positive_example, NULL AS negative_example FROM zs_scored
   UNION ALL SELECT 'fewShot', {_RAW}, positive_example, negative_example FROM fs_scored"""))
@@ -263,7 +286,9 @@ def q_scan_runs_with_file_meta(spark, sf_dir):
     return files.scan_runs_dir(spark, folder, RUN_SCHEMA)
 
 
-@register("read_source_text", sql("SELECT project, path, md5(text) AS text_md5 FROM files_with"))
+@register("read_source_text", sql(
+    "SELECT project, path, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5 "
+    "FROM files_with"))
 def q_read_source_text(spark, sf_dir):
     root = scratch_dir(spark, "source-tree")
     tree = testbed.source_files(spark, sf_dir, "with").select("project", "path", "text")
@@ -308,7 +333,7 @@ def q_score_incremental(spark, sf_dir):
     keys = ["doc_id", "project_name", "github_path", "label", "failure"]
     staged = inference.zero_shot_inputs(spark, sf_dir, "with").select(
         *keys, render_prompt("prompt").alias("prompt_text"))
-    staged.repartition(4, "doc_id").write.mode("overwrite").parquet(prompts_dir)
+    staged.write.mode("overwrite").parquet(prompts_dir)
     schema = spark.read.parquet(prompts_dir).schema
     out = incremental.run_incremental(spark, prompts_dir, out_dir, ckpt, schema, "prompt_text", keys)
     return out.select("doc_id", "project_name", "github_path", "label", "response", "prediction",

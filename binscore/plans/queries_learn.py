@@ -33,14 +33,16 @@ def q_sort_projects(spark, sf_dir):
 
 @register("semi_join_split", sql(f"""
   SELECT project, github_path, label, split, {_F} FROM features
-  WHERE split = 'train' AND project IN (SELECT project FROM skip_rule WHERE skip_reason IS NULL)"""))
+  WHERE project IN (SELECT project FROM skip_rule WHERE skip_reason IS NULL)"""))
 def q_semi_join_split(spark, sf_dir):
     s = testbed.samples(spark, sf_dir)
     f = testbed.features(spark, sf_dir, s).withColumn("project", normalise_key("project_name"))
     skip = metrics.ml_skip_rule(testbed.split_of(s, "train"), testbed.split_of(s, "test"))
-    f = f.join(skip.where("skip_reason is null").select("project"), "project", "left_semi")
-    return joins.semi_join_split(f, testbed.split_of(s, "train")).select(
-        "project", "github_path", "label", F.lit("train").alias("split"), *FEATS)
+    kept = joins.bounded_broadcast(skip.where("skip_reason is null").select("project"), materialize=True)
+    f = f.join(kept, "project", "left_semi")
+    train, test = (joins.semi_join_split(f, testbed.split_of(s, split)).select(
+        "project", "github_path", "label", F.lit(split).alias("split"), *FEATS) for split in ("train", "test"))
+    return train.unionByName(test)
 
 
 @register("drop_non_features", sql(f"SELECT project_name, github_path, label, {_F} FROM features"))
@@ -56,11 +58,15 @@ def q_ablate_features(spark, sf_dir):
     return learn.ablate_features(f, testbed.ABLATABLE_FEATURES)
 
 
-@register("feature_label_split")
+@register("feature_label_split", sql("SELECT project_name, github_path, label, " + ", ".join(
+    f"{c} AS x{i}" for i, c in enumerate(FEATS)) + " FROM features"))
 def q_feature_label_split(spark, sf_dir):
-    """(features vector, label) rows for Spark ML."""
-    f = q_drop_non_features(spark, sf_dir)
-    return learn.assemble(f, FEATS).select("project_name", "github_path", "features", "label")
+    """(features vector, label) rows for Spark ML, the vector's places
+    as columns."""
+    from pyspark.ml.functions import vector_to_array
+    rows = learn.assemble(q_drop_non_features(spark, sf_dir), FEATS)
+    x = rows.select("project_name", "github_path", "label", vector_to_array("features").alias("x"))
+    return x.select("project_name", "github_path", "label", *[F.col("x")[i].alias(f"x{i}") for i in range(len(FEATS))])
 
 
 @register("correlation_matrix", sql("SELECT * FROM corr"))
@@ -115,7 +121,7 @@ def q_cnb_metrics(spark, sf_dir):
 
 def _learner(algorithm, params=None):
     def q(spark, sf_dir):
-        preds = evaluation.spark_ml_predictions(spark, sf_dir, [algorithm], {algorithm: params or {}})
+        preds = evaluation.ml_predictions(spark, sf_dir, [algorithm], {algorithm: params or {}})
         return comparison.evaluate_predictions(preds).select(
             "project", "algorithm", "arm", "auc", "accuracy", "precision", "recall", "f1",
             "tp", "fp", "tn", "fn")
@@ -132,8 +138,9 @@ register("rf_train_score")(_learner("RF"))
 @register("evaluation_grid")
 def q_evaluation_grid(spark, sf_dir):
     """Every kept project x 6 algorithms x 2 arms -> ML metrics table."""
-    cnb = evaluation.cnb_predictions(spark, sf_dir).withColumn("algorithm", F.lit("CNB"))
-    others = evaluation.spark_ml_predictions(spark, sf_dir)
+    inp = evaluation.ml_inputs(spark, sf_dir)
+    cnb = evaluation.cnb_predictions(spark, sf_dir, inp=inp).withColumn("algorithm", F.lit("CNB"))
+    others = evaluation.ml_predictions(spark, sf_dir, inp=inp)
     preds = cnb.unionByName(others)
     ev = comparison.evaluate_predictions(preds)
     return ev.select("project", comparison.algorithm_metric().alias("algorithm_metric"), "auc", "accuracy",

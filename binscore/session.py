@@ -1,8 +1,8 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the scratch folder is the shared directory named by
-``spark.checkpoint.dir``; it is only invented (under the local temp dir)
-when the session has none, which is the case for local tests.
+``spark.checkpoint.dir``; without one only a local session goes on, with a
+folder under the temp dir.
 """
 
 from __future__ import annotations
@@ -46,13 +46,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set one up only when it is unset."""
+    """The session's checkpoint folder.  Where it is unset, a local session
+    gets a temporary one; on a cluster this is an error, as no folder of one
+    machine reaches the others."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="binscore-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

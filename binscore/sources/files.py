@@ -125,9 +125,11 @@ def scan_runs_dir(spark: SparkSession, folder: str, schema: StructType | str) ->
 
 
 def decode_text(content: Column) -> Column:
-    """A4: bytes -> text, UTF-8 when valid, else Latin-1 (never fails)."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(
+    """A4: bytes -> text, UTF-8 when valid, else Latin-1 (never fails); line
+    ends ``\\r\\n`` and ``\\r`` become ``\\n``, as in a file opened as text."""
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(
         F.decode(content, "ISO-8859-1"))
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:

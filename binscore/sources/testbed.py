@@ -49,7 +49,7 @@ RUN_COLUMNS = ("project_name", "file", "github_path", "label", "model", "comment
 
 
 def _k(doc_id: Column) -> Column:
-    return F.floor(doc_id / F.lit(20)).cast("bigint")
+    return F.call_function("div", doc_id.cast("bigint"), F.lit(20)).cast("bigint")
 
 
 def _path(prefix: str, doc_id: Column) -> Column:
@@ -149,22 +149,25 @@ def _occurrences(text: Column, needle: str) -> Column:
 
 
 def features(spark: SparkSession, sf_dir: str, samples_df: DataFrame | None = None) -> DataFrame:
-    """Per-file numeric features (feature matrix) for every sample."""
+    """Per-file numeric features (feature matrix) for every sample.  The text
+    is counted where it is read, so only numbers meet the samples."""
     s = samples_df if samples_df is not None else samples(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     t = F.col("text")
-    words = _occurrences(t, " ") + F.lit(1.0)
-    return s.join(docs, "doc_id").select(
-        "doc_id", "project_name", "file", "github_path", "token_size", "file_available", "label",
-        F.col("token_size").cast("double").alias("f_chars"),
-        words.alias("f_words"),
+    counted = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        "doc_id",
+        (_occurrences(t, " ") + F.lit(1.0)).alias("f_words"),
         (_occurrences(t, "\n") + F.lit(1.0)).alias("f_lines"),
         _occurrences(t, ",").alias("f_commas"),
         _occurrences(t, ".").alias("f_periods"),
         _occurrences(t, "The").alias("f_upper_the"),
         _occurrences(t, "no").alias("f_no"),
+    )
+    return s.join(counted, "doc_id").select(
+        "doc_id", "project_name", "file", "github_path", "token_size", "file_available", "label",
+        F.col("token_size").cast("double").alias("f_chars"),
+        "f_words", "f_lines", "f_commas", "f_periods", "f_upper_the", "f_no",
         F.lit(1.0).alias("f_const"),
-        (words * F.lit(2.0)).alias("f_dup"),
+        (F.col("f_words") * F.lit(2.0)).alias("f_dup"),
     )
 
 
