@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.operators.joins import bounded_broadcast
+from binscore.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
 from binscore.session import cut_lineage
 
 MAX_STEPS = 40
@@ -130,9 +130,11 @@ def fit_linear(train: DataFrame, flags: DataFrame, group, feature_cols, algorith
                                       F.lit(False).alias("done")))
     rows = cut_lineage(train.select(*g, _vector(feature_cols).alias("_x"), F.col("label").cast("double").alias("y"),
                                     F.col("weight").cast("double").alias("weight")))
+    # the models keep their number and size, so one check holds for all steps
+    small = models.count() * (2 * d + 8) * 8 <= BROADCAST_MAX_BYTES
     for _ in range(max_steps):
         open_models = models.where(~F.col("done")).select(*g, "model", "used", "w")
-        sums = (rows.join(bounded_broadcast(open_models), g)
+        sums = (rows.join(F.broadcast(open_models) if small else open_models, g)
                 .select("model", F.zip_with("_x", "used", lambda a, b: a * b).alias("x"), "y", "weight", "w")
                 .mapInArrow(_partial_sums(loss, d), "model long, sums array<double>")
                 .select("model", F.posexplode("sums").alias("pos", "part"))
