@@ -27,11 +27,14 @@ from binscore.functions.text import clean_response, parse_yes_no
 
 # ---- fixed values of the keyword predictor ---------------------------------
 KEYWORDS = ("while", "for", "loop")
+SECOND_KEYWORDS = ("then", "thing", "loop")
+THIRD_KEYWORDS = ("des", "thin", "un")
 ANSWER_YES = "performance bug: YES"
 ANSWER_NO = "performance bug: NO"
-# ---- limits of the limited predictor ----------------------------------------
+# ---- limits of the predictors that have one -----------------------------------
 MIN_TOKENS, MAX_TOKENS = 150, 600
 TOO_LONG = "Prompt too long"
+CONTEXT_TOKENS = 2000
 # ---------------------------------------------------------------------------
 
 SCORE_FIELDS = [StructField("response", StringType()), StructField("score_error", StringType()),
@@ -72,6 +75,23 @@ class LimitedPredictor(KeywordPredictor):
         return super().__call__([p for p, n in zip(prompts, sizes) if n >= MIN_TOKENS])
 
 
+class SecondPredictor(KeywordPredictor):
+    def __init__(self):
+        super().__init__(SECOND_KEYWORDS)
+
+
+class ThirdPredictor(KeywordPredictor):
+    """Refuses a batch with a prompt above ``CONTEXT_TOKENS``."""
+
+    def __init__(self):
+        super().__init__(THIRD_KEYWORDS)
+
+    def __call__(self, prompts: list[str]) -> list[tuple[str, int]]:
+        if any(self.token_size(p) > CONTEXT_TOKENS for p in prompts):
+            raise ValueError(TOO_LONG)
+        return super().__call__(prompts)
+
+
 _PREDICTORS: dict = {}
 
 
@@ -82,35 +102,40 @@ def _predictor(factory: Callable):
     return p
 
 
-def _score_frames(factory: Callable, text_col: str, keys: list[str]):
+def _answers(predictor: Callable, texts: pd.Series) -> tuple[list, list, list]:
+    """Response, error and token size of each text (all None without one)."""
+    todo = [i for i, t in enumerate(texts) if isinstance(t, str)]
+    resp, err, size = ([None] * len(texts) for _ in range(3))
+    try:
+        outs = list(predictor([texts.iloc[i] for i in todo]))
+        if len(outs) != len(todo):
+            raise ValueError(f"{len(outs)} answers to {len(todo)} prompts")
+        for i, (r, n) in zip(todo, outs):
+            resp[i], size[i] = r, n
+    except Exception:  # noqa: BLE001 - retried row by row below
+        for i in todo:
+            try:
+                outs = list(predictor([texts.iloc[i]]))
+                if len(outs) != 1:
+                    raise ValueError(f"{len(outs)} answers to 1 prompt")
+                resp[i], size[i] = outs[0]
+            except Exception as e:  # noqa: BLE001 - a failed row keeps its error text
+                err[i] = str(e) or type(e).__name__
+    return resp, err, size
+
+
+def _score_frames(factories: dict[str | None, Callable], text_col: str, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predictor = _predictor(factory)
         for pdf in batches:
-            texts = pdf[text_col]
-            todo = [i for i, t in enumerate(texts) if isinstance(t, str)]
-            resp = [None] * len(pdf)
-            err = [None] * len(pdf)
-            size = [None] * len(pdf)
-            try:
-                outs = list(predictor([texts.iloc[i] for i in todo]))
-                if len(outs) != len(todo):
-                    raise ValueError(f"{len(outs)} answers to {len(todo)} prompts")
-                for i, (r, n) in zip(todo, outs):
-                    resp[i], size[i] = r, n
-            except Exception:  # noqa: BLE001 - retried row by row below
-                for i in todo:
-                    try:
-                        outs = list(predictor([texts.iloc[i]]))
-                        if len(outs) != 1:
-                            raise ValueError(f"{len(outs)} answers to 1 prompt")
-                        resp[i], size[i] = outs[0]
-                    except Exception as e:  # noqa: BLE001 - a failed row keeps its error text
-                        err[i] = str(e) or type(e).__name__
-            out = pdf[keys].copy()
-            out["response"] = pd.Series(resp, dtype="object")
-            out["score_error"] = pd.Series(err, dtype="object")
-            out["token_size"] = pd.Series(size, dtype="Int64")
-            yield out
+            for model, factory in factories.items():
+                resp, err, size = _answers(_predictor(factory), pdf[text_col])
+                out = pdf[keys].copy()
+                if model is not None:
+                    out["model"] = model
+                out["response"] = pd.Series(resp, dtype="object")
+                out["score_error"] = pd.Series(err, dtype="object")
+                out["token_size"] = pd.Series(size, dtype="Int64")
+                yield out
     return run
 
 
@@ -122,7 +147,18 @@ def score_prompts(df: DataFrame, text_col: str = "prompt_text", factory: Callabl
     keys = list(keys or [c for c in df.columns if c != text_col])
     in_schema = df.select(*keys).schema
     schema = StructType(list(in_schema.fields) + SCORE_FIELDS)
-    scored = df.select(*keys, text_col).mapInPandas(_score_frames(factory, text_col, keys), schema)
+    scored = df.select(*keys, text_col).mapInPandas(_score_frames({None: factory}, text_col, keys), schema)
+    return scored.withColumn("prediction", parse_yes_no(clean_response("response")))
+
+
+def score_models(df: DataFrame, factories: dict[str, Callable], text_col: str = "prompt_text",
+                 keys: list[str] | None = None) -> DataFrame:
+    """``score_prompts`` for several models: one row per prompt and model,
+    with its ``model``.  A prompt goes to Python once, whatever the number of
+    models."""
+    keys = list(keys or [c for c in df.columns if c != text_col])
+    schema = StructType([*df.select(*keys).schema.fields, StructField("model", StringType()), *SCORE_FIELDS])
+    scored = df.select(*keys, text_col).mapInPandas(_score_frames(dict(factories), text_col, keys), schema)
     return scored.withColumn("prediction", parse_yes_no(clean_response("response")))
 
 

@@ -34,9 +34,10 @@ def prepare_for_metrics(clean: DataFrame, test_split: DataFrame) -> DataFrame:
     return joins.anti_join_projects(filled, skipped)
 
 
-def evaluated_runs(spark, sf_dir: str) -> DataFrame:
+def evaluated_runs(spark, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    """``runs``: the run table (default: the fixture's)."""
     s = testbed.samples(spark, sf_dir)
-    runs = testbed.runs(spark, sf_dir, s)
+    runs = testbed.runs(spark, sf_dir, s) if runs is None else runs
     return prepare_for_metrics(clean_runs(runs), testbed.split_of(s, "test"))
 
 

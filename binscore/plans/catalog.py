@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from binscore.plans import (queries_analysis, queries_compare, queries_infer,  # noqa: F401
-                                queries_learn)
+                                queries_learn, queries_pipeline)

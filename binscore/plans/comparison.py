@@ -48,9 +48,10 @@ def evaluate_predictions(preds: DataFrame, group=GROUP) -> DataFrame:
     return metrics.mean_or_default(out)
 
 
-def ml_metrics(spark, sf_dir: str) -> DataFrame:
-    """The ML results table: project, algorithm_metric, metrics."""
-    ev = evaluate_predictions(testbed.predictions(spark, sf_dir))
+def ml_metrics(spark, sf_dir: str, preds: DataFrame | None = None) -> DataFrame:
+    """The ML results table of ``preds`` (default: the fixture's scores):
+    project, algorithm_metric, metrics."""
+    ev = evaluate_predictions(testbed.predictions(spark, sf_dir) if preds is None else preds)
     return ev.select("project", algorithm_metric().alias("algorithm_metric"), "auc", "accuracy",
                      "precision", "recall", "f1", "tp", "fp", "tn", "fn")
 
@@ -68,12 +69,16 @@ def ml_with_f1(ml: DataFrame) -> DataFrame:
               .select(normalise_key("project").alias("project"), algorithm_short_name("algorithm_metric").alias("algorithm"), "f1"))
 
 
+def wide_f1(llm: DataFrame, ml: DataFrame, llm_names=LLM_NAMES, ml_names=ML_NAMES) -> DataFrame:
+    """H1 + H2 + C6 on any two result tables: (project, model, f1) and the ML
+    results table."""
+    return outer_join_f1(reshape.pivot_unique(llm, "project", "model", "f1", list(llm_names)),
+                         reshape.pivot_unique(ml_with_f1(ml), "project", "algorithm", "f1", list(ml_names)))
+
+
 def f1_wide(spark, sf_dir: str) -> DataFrame:
     """H1 + H2 + C6: project x (3 LLMs, 6 algorithms) F1 table."""
-    llm = reshape.pivot_unique(llm_best_f1(spark, sf_dir), "project", "model", "f1", list(LLM_NAMES))
-    ml = reshape.pivot_unique(ml_with_f1(ml_metrics(spark, sf_dir)), "project", "algorithm", "f1",
-                              list(ML_NAMES))
-    return outer_join_f1(llm, ml)
+    return wide_f1(llm_best_f1(spark, sf_dir), ml_metrics(spark, sf_dir))
 
 
 def f1_long(spark, sf_dir: str) -> DataFrame:
@@ -92,10 +97,14 @@ def paired_scores(spark, sf_dir: str) -> DataFrame:
     return cut_lineage(pairwise_complete(cross_compare(wide, LLM_NAMES, ML_NAMES)))
 
 
-def comparison(spark, sf_dir: str) -> DataFrame:
+def masked_tests(pairs: DataFrame) -> DataFrame:
     """D22 + D23 + B26: per (LLM, ML) the test results and the masked CLES."""
-    res = stats.wilcoxon(paired_scores(spark, sf_dir))
-    return res.withColumn("cles_shown", mask_significance("p_rounded", "cles_rounded"))
+    return stats.wilcoxon(pairs).withColumn("cles_shown", mask_significance("p_rounded", "cles_rounded"))
+
+
+def comparison(spark, sf_dir: str) -> DataFrame:
+    """``masked_tests`` of the fixture's pairs."""
+    return masked_tests(paired_scores(spark, sf_dir))
 
 
 def combined_matrix(spark, sf_dir: str) -> DataFrame:

@@ -9,13 +9,17 @@ Exemplar texts are looked up once per project, not once per test row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binscore.functions.prompts import render_prompt, two_shot_prompt, zero_shot_prompt
 from binscore.functions.text import whitespace_token_count
 from binscore.operators import joins, lookup, ranking, score
+from binscore.session import scratch_dir
 from binscore.sources import testbed
+from binscore.sources.files import sink_table
 
 SAMPLE_COLS = ("project_name", "file", "github_path", "label")
 BATCH_SIZE = 5
@@ -96,14 +100,27 @@ def score_inputs(inputs: DataFrame, few_shot: bool, factory=score.KeywordPredict
                          score.merge_errors().alias("errors"), "token_size")
 
 
-def run_configuration(spark, sf_dir: str, model: str, comments: bool, few_shot: bool,
-                      factory=score.KeywordPredictor) -> DataFrame:
-    """One configuration's raw output, with its configuration columns."""
-    variant = "with" if comments else "without"
-    inputs = (few_shot_inputs if few_shot else zero_shot_inputs)(spark, sf_dir, variant)
-    out = score_inputs(inputs, few_shot, factory)
-    return out.select(F.lit(model).alias("model"), F.lit(comments).alias("comments_included"),
-                      F.lit("fewShot" if few_shot else "zeroShot").alias("prompting"), *out.columns)
+#: Shipped predictors, one per model name.
+PREDICTORS = {"artigenz": score.KeywordPredictor, "codellama": score.SecondPredictor, "qwen": score.ThirdPredictor}
+
+
+def scored_runs(spark, sf_dir: str, factories=PREDICTORS) -> DataFrame:
+    """The raw output table of all configurations (models x trees x prompting
+    styles), in the shape of the run table that the analysis reads.  Its rows
+    carry answers, not texts; they are written once and read back, as several
+    steps of the analysis read them."""
+    parts = []
+    for variant in ("with", "without"):
+        for style, inputs in (("zeroShot", zero_shot_inputs), ("fewShot", few_shot_inputs)):
+            rendered = inputs(spark, sf_dir, variant).withColumn("prompt_text", render_prompt("prompt"))
+            scored = score.score_models(rendered, factories, keys=["doc_id", *SAMPLE_COLS, "failure"])
+            parts.append(scored.select(
+                *SAMPLE_COLS, "model", F.lit(variant == "with").alias("comments_included"),
+                F.lit(style).alias("prompting"), "response", "prediction",
+                score.merge_errors().alias("errors"), "doc_id"))
+    path = scratch_dir(spark, "scored-runs")
+    sink_table(reduce(DataFrame.unionByName, parts), path)
+    return spark.read.parquet(path)
 
 
 def limit_batches(df: DataFrame, order_cols, max_batches: int | None, batch_size: int = BATCH_SIZE) -> DataFrame:

@@ -137,6 +137,16 @@ cte("project_metrics", ("runs_eval",), f"""
     GROUP BY project_name, model, comments_included, prompting)""")
 
 
+def clone(prefix: str, names: tuple[str, ...], sources: dict[str, str]) -> None:
+    """The CTEs ``names`` again as ``<prefix><name>``, reading ``sources``'
+    values for its keys (and each other's copies)."""
+    other = sources | {n: prefix + n for n in names}
+    for n in names:
+        deps, body = CTES[n]
+        body = re.sub(r"\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: m[1] + m[2] + other.get(m[3], m[3]), body)
+        cte(prefix + n, tuple(other.get(d, d) for d in deps), body)
+
+
 def _needed(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -11,7 +11,7 @@ from binscore.functions.text import algorithm_short_name, map_with_default
 from binscore.operators import joins, metrics, ranking, reshape, stats
 from binscore.plans import analysis, comparison
 from binscore.plans.catalog import register
-from binscore.plans.oracle import sql
+from binscore.plans.oracle import cte, sql
 from binscore.sources import testbed
 
 G = ("project", "algorithm", "arm")
@@ -263,15 +263,37 @@ _BARS = f"""(SELECT * FROM {_CHART} c WHERE (prompting, project) NOT IN (
 CHART_KEY = ("prompting", "project")
 
 
+MISSED = "-missed"
+
+
+def _with_missed(spark, sf_dir):
+    """The chart's rows, and those of a copy of every project in which each
+    positive file was answered with no, so that its F1 is 0."""
+    ev = analysis.evaluated_runs(spark, sf_dir).where("comments_included")
+    missed = ev.withColumns({"project_name": F.concat("project_name", F.lit(MISSED)),
+                             "prediction": F.when(F.col("label") == 1, F.lit(0)).otherwise(F.col("prediction"))})
+    pm = metrics.project_metrics(ev.unionByName(missed))
+    return pm.select("prompting", "project", "model", "f1")
+
+
+_MISSED = f"""(SELECT * FROM {_CHART} UNION ALL
+  SELECT prompting, project || '{MISSED}', model, 0.0 AS f1 FROM runs_eval_missed)"""
+cte("runs_eval_missed", ("runs_eval",), """
+  SELECT DISTINCT prompting, project_name AS project, model FROM runs_eval
+  WHERE comments_included AND (label = 1 OR prediction IS NOT NULL)""")
+
+
 @register("zero_f1_projects", sql(
-    f"SELECT prompting, project FROM {_CHART} GROUP BY prompting, project HAVING sum(f1) = 0"))
+    f"SELECT prompting, project FROM {_MISSED} GROUP BY prompting, project HAVING sum(f1) = 0"))
 def q_zero_f1_projects(spark, sf_dir):
-    return metrics.zero_f1_projects(_chart_base(spark, sf_dir), CHART_KEY)
+    return metrics.zero_f1_projects(_with_missed(spark, sf_dir), CHART_KEY)
 
 
-@register("anti_join_zero_f1", sql(f"SELECT * FROM {_BARS}"))
+@register("anti_join_zero_f1", sql(f"""
+  SELECT * FROM {_MISSED} c WHERE (prompting, project) NOT IN (
+    SELECT (prompting, project) FROM {_MISSED} GROUP BY prompting, project HAVING sum(f1) = 0)"""))
 def q_anti_join_zero_f1(spark, sf_dir):
-    return joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY)
+    return joins.anti_join_zero_f1(_with_missed(spark, sf_dir), CHART_KEY)
 
 
 @register("bar_means", sql(

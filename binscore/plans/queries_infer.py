@@ -41,9 +41,14 @@ def q_project_sample_cols(spark, sf_dir):
 
 @register("alias_project", sql("""
   SELECT doc_id, project_name, CASE project_name WHEN 'Openolat' THEN 'OpenOLAT' WHEN 'Exoplayer' THEN 'ExoPlayer'
-    ELSE project_name END AS project FROM samples"""))
+    ELSE project_name END AS project
+  FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Openolat' WHEN 1 THEN 'Exoplayer' WHEN 2 THEN 'OpenOLAT'
+          ELSE project_name END AS project_name FROM samples)"""))
 def q_alias_project(spark, sf_dir):
-    s = testbed.samples(spark, sf_dir)
+    """Every sample; three in five carry one of the spellings concerned."""
+    names = F.array(F.lit("Openolat"), F.lit("Exoplayer"), F.lit("OpenOLAT"))
+    s = testbed.samples(spark, sf_dir).withColumn(
+        "project_name", F.coalesce(F.get(names, (F.col("doc_id") % 5).cast("int")), "project_name"))
     return s.select("doc_id", "project_name", lookup.alias_project("project_name").alias("project"))
 
 
