@@ -255,6 +255,14 @@ def q_all_batches(spark, sf_dir):
 
 # ---- A1, A3, A4, A6, A7, A8, A9 ------------------------------------------------------
 
+def _staged_runs(spark, sf_dir, by):
+    """The run table, derived once and written with a folder per ``by``, so
+    that each part written from it reads its own rows only."""
+    path = scratch_dir(spark, "runs")
+    files.sink_table(testbed.runs(spark, sf_dir).hint("rebalance", *by), path, partition_by=by)
+    return spark.read.parquet(path)
+
+
 RUN_SCHEMA = ("project_name string, file string, github_path string, label int, response string, "
               "prediction int, errors string")
 _RUN_COLS = "project_name, file, github_path, label, response, prediction, errors"
@@ -276,7 +284,7 @@ def q_scan_runs_with_file_meta(spark, sf_dir):
     """One CSV entry per configuration, as the inference writes them, plus a
     file of another model, a non-run file and a name without prompting."""
     folder = scratch_dir(spark, "runs-dir")
-    runs = testbed.runs(spark, sf_dir)
+    runs = _staged_runs(spark, sf_dir, ["model", "comments_included", "prompting"])
     cols = [c.strip() for c in _RUN_COLS.split(",")]
     for m in testbed.MODELS:
         for ci in (False, True):
@@ -319,8 +327,8 @@ def q_sink_skip_list(spark, sf_dir):
 @register("combine_batches", sql(f"SELECT model, comments_included, prompting, {_RUN_COLS} FROM runs"))
 def q_combine_batches(spark, sf_dir):
     root = scratch_dir(spark, "batches")
-    runs = testbed.runs(spark, sf_dir).select("model", "comments_included", "prompting",
-                                               *[c.strip() for c in _RUN_COLS.split(",")])
+    runs = _staged_runs(spark, sf_dir, ["model"]).select("model", "comments_included", "prompting",
+                                                         *[c.strip() for c in _RUN_COLS.split(",")])
     paths = []
     for i, m in enumerate(testbed.MODELS):
         p = os.path.join(root, f"batch_{i}")

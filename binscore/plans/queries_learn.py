@@ -119,20 +119,36 @@ def q_cnb_metrics(spark, sf_dir):
     return p.groupBy("project", "arm").agg(*metrics.confusion_aggs())
 
 
-def _learner(algorithm, params=None):
+def _learner(algorithm):
+    """A fitted learner's results, as far as SQL can state them without its
+    optimiser: every (project, arm) is there with all its test files, AUC is a
+    probability and the scores agree with the confusion counts.  The figures
+    themselves are rows of ``evaluation_grid``."""
+    def near(a, b):
+        return F.abs(a - F.coalesce(F.try_divide(b[0].cast("double"), b[1].cast("double")), F.lit(0.0))) < 1e-12
+
     def q(spark, sf_dir):
-        preds = evaluation.ml_predictions(spark, sf_dir, [algorithm], {algorithm: params or {}})
-        return comparison.evaluate_predictions(preds).select(
-            "project", "algorithm", "arm", "auc", "accuracy", "precision", "recall", "f1",
-            "tp", "fp", "tn", "fn")
+        ev = comparison.evaluate_predictions(evaluation.ml_predictions(spark, sf_dir, [algorithm]))
+        tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+        return ev.select(
+            "project", "algorithm", "arm", (tp + fp + tn + fn).alias("n"), (tp + fn).alias("positives"),
+            (tn + fp).alias("negatives"), F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("auc_valid"),
+            (near(F.col("accuracy"), (tp + tn, tp + fp + tn + fn)) & near(F.col("precision"), (tp, tp + fp))
+             & near(F.col("recall"), (tp, tp + fn)) & near(F.col("f1"), (2 * tp, 2 * tp + fp + fn))).alias("scores_valid"))
     return q
 
 
-register("lr_train_score")(_learner("LR"))
-register("dt_train_score")(_learner("DT"))
-register("mlp_train_score")(_learner("MLP"))
-register("svm_train_score")(_learner("SVM"))
-register("rf_train_score")(_learner("RF"))
+def _learner_sql(algorithm):
+    return sql(f"""
+  SELECT f.project, '{algorithm}' AS algorithm, u.arm, count(*) AS n, {cnt('f.label = 1')} AS positives,
+    {cnt('f.label = 0')} AS negatives, true AS auc_valid, true AS scores_valid
+  FROM ml_features f JOIN (SELECT DISTINCT project, arm FROM used_features) u ON f.project = u.project
+  WHERE f.split = 'test' GROUP BY f.project, u.arm""")
+
+
+for _key, _algorithm in (("lr_train_score", "LR"), ("dt_train_score", "DT"), ("mlp_train_score", "MLP"),
+                         ("svm_train_score", "SVM"), ("rf_train_score", "RF")):
+    register(_key, _learner_sql(_algorithm))(_learner(_algorithm))
 
 
 @register("evaluation_grid")

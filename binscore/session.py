@@ -70,6 +70,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "binscore", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this session's staged folders (all ``scratch_dir`` gave out), by
+    the engine's file API.  For the end of a job: DataFrames that read them no
+    longer work afterwards.  True if there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "binscore"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder and return a
     DataFrame that reads it back: later consumers (and recomputation after

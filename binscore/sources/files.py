@@ -12,7 +12,8 @@
 
 from __future__ import annotations
 
-import os
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,19 +133,52 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+def _store(root: str):
+    """Arrow's file system for a path or URI, and the path in it."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "/", root))
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(project, path) of the files of length 0, which Spark's file sources
+    leave out.  The projects are listed here, their trees in the tasks."""
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, base = _store(root)
+        cut = len(base.rstrip("/")) + 1
+        for batch in batches:
+            for project in batch["project"].to_pylist():
+                infos = store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{project}", recursive=True))
+                names = [i.path[cut + len(project) + 1:] for i in infos if i.type == fs.FileType.File and i.size == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([project] * len(names), pa.string()), pa.array(names, pa.string())],
+                                                 names=["project", "path"])
+
+    from pyarrow import fs
+    store, base = _store(root)
+    projects = [(i.base_name,) for i in store.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+    return (spark.createDataFrame(projects, "project string").repartition("project")
+            .mapInArrow(listed, "project string, path string"))
+
+
+def read_source_tree(spark: SparkSession, root: str, empty_files: bool = True) -> DataFrame:
     """A4: every file under ``root/<project>/<path>`` as (project, path,
     text).  Files are read by the ``binaryFile`` source, split across
-    tasks; nothing passes through the driver."""
+    tasks; nothing passes through the driver.  That source skips empty files;
+    they are listed beside it, through Arrow, unless ``empty_files`` is off (for
+    file systems that only Spark knows)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .select("path", "content"))
+           .where("length > 0").select("path", "content"))
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:(//)?", ""),
                            "^" + _regex_quote(base.replace("file:", "")), "")
-    return raw.select(
+    found = raw.select(
         F.regexp_extract(rel, r"^([^/]+)/", 1).alias("project"),
         F.regexp_replace(rel, r"^[^/]+/", "").alias("path"),
         decode_text(F.col("content")).alias("text"))
+    if not empty_files:
+        return found
+    return found.unionByName(_empty_files(spark, root).withColumn("text", F.lit("")))
 
 
 def _regex_quote(s: str) -> str:
@@ -153,23 +187,27 @@ def _regex_quote(s: str) -> str:
 
 def write_source_tree(df: DataFrame, root: str, encoding_col: str | None = None) -> DataFrame:
     """Lay out (project, path, text[, encoding]) as files ``root/project/path``
-    (a staging step, the inverse of A4).  Each task writes its own rows; the
-    returned DataFrame has one row per written file."""
+    (a staging step, the inverse of A4).  ``root`` is a path or a URI of any
+    file system that Arrow knows (``file:``, ``hdfs:``, object stores) and that
+    all executors reach.  Each task writes its own rows, every file under a
+    passing name first, so a repeated task replaces whole files; the returned
+    DataFrame has one row per written file."""
     cols = ["project", "path", "text"] + ([encoding_col] if encoding_col else [])
 
     def write(batches):
         import pandas as pd
+        store, base = _store(root)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 project, path, text = row[0], row[1], row[2]
                 enc = row[3] if encoding_col else "utf-8"
-                target = os.path.join(root, project, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                tmp = target + ".tmp"
-                with open(tmp, "wb") as fh:
+                target = f"{base.rstrip('/')}/{project}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                passing = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(passing) as fh:
                     fh.write(text.encode(enc or "utf-8", errors="replace"))
-                os.replace(tmp, target)
+                store.move(passing, target)
                 out.append((project, path))
             yield pd.DataFrame(out, columns=["project", "path"])
 

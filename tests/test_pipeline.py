@@ -32,3 +32,16 @@ def test_scored_runs_have_every_configuration(spark):
     # the trees differ in text only, so both have the same prompts
     for (model, comments, style), n in per.items():
         assert n == per[model, not comments, style]
+
+
+def test_source_tree_round_trip_and_clean_up(spark):
+    from binscore import session
+    from binscore.sources import files
+    rows = [("p", "a/b.txt", "one"), ("p", "c.txt", ""), ("q r", "a/b.txt", "é\n")]
+    df = spark.createDataFrame(rows, "project string, path string, text string")
+    root = session.scratch_dir(spark, "tree")
+    for _ in range(2):  # a repeated task replaces its files
+        assert files.write_source_tree(df, root).count() == 3
+    assert sorted(map(tuple, files.read_source_tree(spark, root).collect())) == sorted(rows)
+    assert files.read_source_tree(spark, root, empty_files=False).count() == 2
+    assert session.clear_scratch(spark) and not session.clear_scratch(spark)
