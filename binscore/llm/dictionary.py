@@ -11,8 +11,9 @@ A hot token is one row part per chunk, not one row per occurrence, and a text
 never leaves its chunk.  Chunk and dictionaries travel in one exchange that
 both readers use.
 
-The chunk's id is a digest of its contents: should a lost executor's chunk be
-cut differently when it is computed anew, its answers are missing and
+The chunk's id is a digest of its place (partition, running number) and its
+contents: chunks of equal rows stay apart, and should a lost executor's chunk
+be cut differently when it is computed anew, its answers are missing and
 ``assemble`` fails instead of mixing two versions.
 """
 
@@ -97,7 +98,7 @@ def word_hash(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _chunks(tokenise: Callable, buckets: int):
     """mapInArrow over ``doc_id, text, weight``: rows of ``SCHEMA``."""
-    def emit(tokens, doc_ids, firsts, weights):
+    def emit(number, tokens, doc_ids, firsts, weights):
         ids = pa.concat_arrays(doc_ids)
         counts = np.concatenate(firsts)
         weight = np.concatenate(weights)
@@ -114,7 +115,7 @@ def _chunks(tokenise: Callable, buckets: int):
         mask = np.asarray(ids.is_null()).astype(np.uint8)
         from pyspark import TaskContext
         digest = xxhash.xxh64(data.tobytes(), seed=TaskContext.get().partitionId())
-        for part in (offs, known, mask, counts):
+        for part in (np.array([number]), offs, known, mask, counts, weight, codes):
             digest.update(part.tobytes())
         chunk = digest.intdigest() >> 1 | 1 << 62
         heavy = np.bincount(codes[np.repeat(weight, counts) != 0], minlength=size).astype(np.uint32)
@@ -134,7 +135,7 @@ def _chunks(tokenise: Callable, buckets: int):
                                           names=["home", "chunk", "bucket", "payload"])
 
     def run(batches):
-        held, size = ([], [], [], []), 0
+        held, size, number = ([], [], [], []), 0, 0
         for batch in batches:
             at = 0
             for part in steps(batch.column("text")):
@@ -147,10 +148,10 @@ def _chunks(tokenise: Callable, buckets: int):
                     where.append(what)
                 size += len(data) + 16 * len(part)
                 if size >= CHUNK_BYTES:
-                    yield emit(*held)
-                    held, size = ([], [], [], []), 0
+                    yield emit(number, *held)
+                    held, size, number = ([], [], [], []), 0, number + 1
         if held[0]:
-            yield emit(*held)
+            yield emit(number, *held)
     return run
 
 
@@ -208,15 +209,17 @@ def assemble(dealt: DataFrame, back: DataFrame, kinds: tuple, build: Callable, s
     It returns a table of ``schema``."""
     def run(key, chunk, answers):
         rows = [p for b, p in zip(chunk["bucket"].to_pylist(), chunk["payload"].to_pylist()) if b == DOCS]
-        if not rows:
+        if not rows and not len(answers):
             return empty
+        if len(rows) != 1:
+            raise RuntimeError(f"{len(rows)} chunks under one id; run the query again")
         known, mask, counts, weight, low, mid, high, bucket = unpack(
             rows[0], np.int64, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8, np.uint16, np.uint32)
         codes = low.astype(np.int64) | mid.astype(np.int64) << 8 | high.astype(np.int64) << 16
         got = dict(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist()))
         by_bucket = np.argsort(bucket, kind="stable")
         needed = np.unique(bucket)
-        if set(got) != set(needed.tolist()):
+        if len(got) != len(answers) or set(got) != set(needed.tolist()):
             raise RuntimeError("a chunk's answers do not match it; run the query again")
         parts = [unpack(got[b], np.uint32, *kinds) for b in needed.tolist()]
         lengths = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
