@@ -284,6 +284,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _rooted(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``fp, least, root`` of the distinct fingerprints (``fp, least``)."""
+    roots = components(fingerprint_links(classes.select("fp"), radius, blocks))
+    return (classes.join(roots, F.col("fp") == F.col("node"), "left")
+            .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over
     links of ``radius`` or fewer differing bits.
@@ -292,11 +299,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     that repeat an id each follow their own fingerprint; a null id is never
     the smallest unless the whole component has no other, then it is null."""
     prints = cut_lineage(docs.select("doc_id", fingerprint_udf(shingle)(F.col("text")).alias("fp")))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(fingerprint_links(classes.select("fp"), radius, blocks))
-    rooted = (classes.join(roots, F.col("fp") == F.col("node"), "left")
-              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = _rooted(cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius, blocks)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
@@ -307,14 +311,20 @@ def fingerprint_hex(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """Rows of ``docs``, all columns kept: of each component the row with the
-    smallest id; of rows that repeat this id, one.  Rows without an id are
-    kept only if their component has no other, one of them."""
-    found = near_duplicates(docs, shingle, radius, blocks)
-    # one text key for join and grouping, so that the rows are dealt once
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_llm_key")).distinct())
+    """Rows of ``docs``, all columns kept: one of each component, the row with
+    the smallest id; of rows that share this id, the one with the smallest text
+    digest, then the smallest other columns.  A row without an id is kept only
+    if its component has no row with one."""
+    # the key: equal texts have equal fingerprints, so no key is in two components
+    text_key = F.concat_ws(" ", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")),
+                           F.coalesce(F.md5(docs["text"].cast("binary")), F.lit("null")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_llm_key")
+    prints = docs.select("doc_id", text_key.alias("_llm_key"), fingerprint_udf(shingle)(docs["text"]).alias("fp"))
+    rooted = _rooted(cut_lineage(prints.groupBy("fp").agg(F.min(order).alias("least"))), radius, blocks)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._llm_key").alias("_llm_key"))
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_llm_row"),
-                       F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("_llm_key"))
-    return rows.join(kept, "_llm_key").groupBy("_llm_key").agg(F.first("_llm_row").alias("_llm_row")).select("_llm_row.*")
+    rest = F.to_json(F.struct(F.lit(0).alias("_llm"), *[docs[c] for c in names if c not in ("doc_id", "text")]))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_llm_row"), rest.alias("_llm_rest"),
+                       text_key.alias("_llm_key"))
+    return (rows.join(kept, "_llm_key").groupBy("_llm_key").agg(F.min_by("_llm_row", "_llm_rest").alias("_llm_row"))
+            .select("_llm_row.*"))

@@ -1,10 +1,12 @@
 """What the second round's review found missing: each test failed before."""
 
+import collections
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, class_lm
+from binscore.llm import bpe, class_lm, simhash
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -42,3 +44,20 @@ def test_a_chunk_group_with_two_texts_fails(ready):
     out = dictionary.assemble(twice, back, (np.int64,), lambda ids, *_: pa.table([ids], names=["doc_id"]), "doc_id long")
     with pytest.raises(Exception, match="2 chunks under one id"):
         out.collect()
+
+
+def plain(i, n=60):
+    return " ".join(f"w{i * 1000 + k}" for k in range(n))
+
+
+def test_keep_one_keeps_one_row_of_every_component(ready):
+    rows = [(None, plain(i), "s") for i in range(30)]  # unrelated, without id
+    rows += [(5, plain(100), "s"), (None, plain(100), "s")]  # a named row stands for the unnamed one
+    rows += [(6, plain(200), "s"), (6, plain(201), "s"), (2, plain(201), "s")]  # two texts under one id
+    rows += [(9, plain(300), "b"), (9, plain(300), "a"), (9, plain(300), None)]  # equal but for another column
+    want = collections.Counter(rows[:30] + [(5, plain(100), "s"), (6, plain(200), "s"), (2, plain(201), "s"),
+                                            (9, plain(300), "a")])
+    for docs in (rows, rows[::-1]):
+        docs = ready.createDataFrame(docs, "doc_id long, text string, source string")
+        for parts in (1, 5):
+            assert collections.Counter(map(tuple, simhash.keep_one(docs.repartition(parts)).collect())) == want
