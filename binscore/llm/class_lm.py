@@ -2,12 +2,17 @@
 
 * words are counted by the global distinct-word shuffle (``dictionary.py``):
   every word of the training texts, whatever its frequency;
-* the units of clustering are the ``TOP`` most frequent words, one unit for
-  each of ``ENDINGS`` groups of word endings (all other words, seen or not)
-  and the end of a text; Spark counts unit bigrams over all training texts
-  into at most units squared cells;
-* the exchange algorithm moves one unit at a time to the class with which the
-  class bigram likelihood grows most; a word has the class of its unit;
+* word bigrams of all training texts are counted in Spark, words as 64-bit
+  hashes;
+* first classes come from a small table: its units are the ``TOP`` most
+  frequent words, one unit for each of ``ENDINGS`` groups of word endings (all
+  other words) and the end of a text; the exchange algorithm moves one unit at
+  a time to the class with which the class bigram likelihood grows most;
+* then every training word, whatever its frequency, is exchanged by its own
+  bigrams: a pass counts (word, neighbouring class) in Spark and moves the words
+  of one half (by a bit of the hash, the halves take turns) to their best class,
+  the others held; the classes with the largest likelihood are the model's;
+* a word that no training text has takes the class of most words of its ending;
 * P(word | previous) = P(class | previous class) P(word | class), the first
   smoothed with class unigrams, the second with 0.5 added to each count and to
   one unseen word per class; a text's score is the log10 of the product over
@@ -28,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscore.llm import dictionary
-from binscore.llm.common import fold, steps, text_buffer, words
-from binscore.session import cut_lineage
+from binscore.llm.common import broadcast_if_small, fold, staged, steps, text_buffer, words
 
 TOP, ENDINGS, CLASSES, PASSES = 1000, 256, 64, 6
 BETA, ADD = 10.0, 0.5
@@ -44,19 +48,6 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-class Units:
-    """Unit numbers: the frequent words, the groups of endings, the end."""
-
-    def __init__(self, frequent: list[bytes]):
-        self.frequent = {w: i for i, w in enumerate(frequent)}
-        self.n = len(frequent) + ENDINGS + 1
-        self.end = self.n - 1
-
-    def of(self, distinct: pa.Array) -> np.ndarray:
-        known, base = self.frequent, len(self.frequent)
-        return np.array([known[w] if w in known else base + ending(w) for w in distinct.to_pylist()], np.int64)
-
-
 def sequence(units: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' units one after another, each text closed by ``end``, and
     the unit before each (``end`` before a text)."""
@@ -67,68 +58,53 @@ def sequence(units: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarra
 
 # --- counts -------------------------------------------------------------------
 
-def _most_frequent(distinct: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Places of the ``TOP`` most frequent words, ties by the word."""
-    if len(counts) <= TOP:
-        return np.flatnonzero(counts)
-    least = max(np.partition(counts, -TOP)[-TOP], 1)
-    sure, tied = np.flatnonzero(counts > least), np.flatnonzero(counts == least)
-    by_word = sorted(zip(distinct.take(pa.array(tied)).to_pylist(), tied.tolist()))[:TOP - len(sure)]
-    return np.concatenate([sure, np.array([i for _, i in by_word], np.int64)])
-
-
-def _summary(distinct: pa.Array, counts: np.ndarray) -> pa.Table:
-    """A bucket's most frequent words, and the counts and distinct words of
-    each group of endings, as one packed row."""
-    seen = np.flatnonzero(counts)
-    group = np.array([ending(w) for w in distinct.take(pa.array(seen)).to_pylist()], np.int64)
-    top = _most_frequent(distinct, counts)
-    data, offs = dictionary.binary_parts(distinct.take(pa.array(top)))
-    return pa.table([pa.array([dictionary.pack(np.diff(offs), data, counts[top],
-                                               np.bincount(group, minlength=ENDINGS))], pa.binary())], names=["packed"])
-
-
-def _merge(batches):
-    """One partition's summaries merged: its most frequent words and the
-    distinct words of each group of endings."""
-    found, counts, groups = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], np.zeros(ENDINGS, np.int64)
-    for batch in batches:
-        for blob in batch.column("packed").to_pylist():
-            lengths, data, n, v = dictionary.unpack(blob, np.int64, np.uint8, np.int64, np.int64)
-            found.append(dictionary.binary_array(data, lengths))
-            counts.append(n)
-            groups += v
-    words_, counts_ = pa.concat_arrays(found), np.concatenate(counts)
-    top = _most_frequent(words_, counts_)
-    some = np.flatnonzero(groups)
-    yield pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([words_.take(pa.array(top)), pa.nulls(len(some), pa.binary())]),
-         pa.array(np.concatenate([counts_[top], groups[some]]), pa.int64()),
-         pa.array(np.concatenate([np.full(len(top), -1), some]), pa.int32())], names=["word", "n", "ending"])
-
-
-def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts of (unit before, unit) over the training texts, units x units."""
-    sent = docs.sparkSession.sparkContext.broadcast(units)
+#: Hash of the end of a text: a word has no space.
+END = int(dictionary.word_hash(np.array([0x20], np.uint8), np.array([0, 1])).view(np.int64)[0])
+
+
+def hashes(distinct: pa.Array) -> np.ndarray:
+    return dictionary.word_hash(*dictionary.binary_parts(distinct))
+
+
+def vocabulary(dealt: DataFrame) -> DataFrame:
+    """``home, word, n, ending`` of every training word; ``home`` is its bucket."""
+    buckets = dictionary.buckets(dealt.sparkSession)
+
+    def summary(distinct: pa.Array, counts: np.ndarray) -> pa.Table:
+        seen = np.flatnonzero(counts)
+        found = distinct.take(pa.array(seen))
+        h = hashes(found)
+        return pa.table([pa.array((h % np.uint64(buckets)).astype(np.int64)), pa.array(h.view(np.int64)),
+                         pa.array(counts[seen]), pa.array([ending(w) for w in found.to_pylist()], pa.int32())],
+                        names=["home", "word", "n", "ending"])
+
+    return dictionary.reduce_words(dealt, None, "home long, word long, n long, ending int", summary)
 
+
+def word_bigrams(docs: DataFrame) -> DataFrame:
+    """``a, b, n``: how often word ``b`` follows word ``a`` in the training texts."""
     def count(batches):
-        u = sent.value
-        total = np.zeros(u.n * u.n, np.int64)
         for batch in batches:
             for part in steps(batch.column("text")):
                 found, first = lower_words(*text_buffer(part))
                 coded = found.dictionary_encode()
-                own = u.of(coded.dictionary)[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
-                now, before = sequence(own, np.diff(first), u.end)
-                total += np.bincount(before * u.n + now, minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+                size = len(coded.dictionary)
+                h = np.append(hashes(coded.dictionary).view(np.int64), END)
+                now, before = sequence(coded.indices.to_numpy().astype(np.int64), np.diff(first), size)
+                cell, n = np.unique(before * (size + 1) + now, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[cell // (size + 1)]), pa.array(h[cell % (size + 1)]),
+                                                  pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return (docs.where(F.col("weight") == 1).select("text").mapInArrow(count, "a long, b long, n long")
+            .groupBy("a", "b").agg(F.sum("n").alias("n")))
+
 
-    table = (docs.where(F.col("weight") == 1).select("text").mapInArrow(count, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(units.n * units.n, np.int64)
-    out[table["cell"].to_numpy()] = table["n"].to_numpy()
-    return out.reshape(units.n, units.n)
+def classed_bigrams(bigrams: DataFrame, named: DataFrame, column: str) -> DataFrame:
+    """``bigrams`` with the ``column`` of both words: ``a, b, n, ca, cb``."""
+    named = broadcast_if_small(named.select("word", column))
+    one = named.select(F.col("word").alias("a"), F.col(column).alias("ca"))
+    two = named.select(F.col("word").alias("b"), F.col(column).alias("cb"))
+    return bigrams.join(one, "a").join(two, "b")
 
 
 # --- exchange clustering --------------------------------------------------------
@@ -193,41 +169,142 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, passes: in
     return cls
 
 
+def best_classes(table: np.ndarray, cls: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray,
+                 free: int) -> np.ndarray:
+    """For each word, the other words held, the class below ``free`` with which
+    the likelihood is largest: a word of class ``cls`` has ``right`` (``left``)
+    of each class after (before) it, ``own`` of them itself."""
+    every = np.arange(len(cls))
+    right, left = right.astype(np.float64), left.astype(np.float64)
+    right[every, cls] -= own
+    left[every, cls] -= own
+    corner = np.tile(np.diag(table), (len(cls), 1))  # word, class: without the word
+    corner[every, cls] -= right[every, cls] + left[every, cls] + own
+    value = _xlogx(corner + right + left + own[:, None]) - _xlogx(corner)
+    for side, n, other in ((table.T, right, left), (table, left, right)):
+        size = n.sum(axis=1) + own
+        total = np.tile(side.sum(axis=0), (len(cls), 1))
+        total[every, cls] -= size
+        value -= _xlogx(total + size[:, None]) - _xlogx(total)
+        word, near = np.nonzero(n)
+        many, mine = n[word, near], cls[word]
+        cell = side[near]  # word's neighbouring class, class
+        same = np.flatnonzero(near == mine)
+        cell[same] -= other[word[same]]
+        cell[same, mine[same]] -= own[word[same]]
+        cell[np.arange(len(word)), mine] -= many
+        gain = _xlogx(cell + many[:, None]) - _xlogx(cell)
+        gain[np.arange(len(word)), near] = 0
+        some, begin = np.unique(word, return_index=True)
+        if len(some):
+            value[some] += np.add.reduceat(gain, begin, axis=0)
+    best = value[:, :free].argmax(axis=1)
+    return np.where(value[every, best] > value[every, cls] + 1e-9, best, cls)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams, but for what no exchange changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def neighbours(bigrams: DataFrame, classes: DataFrame) -> DataFrame:
+    """``word, cls, near``: for each word a sorted list of ``side, c, n``, the
+    class bigrams it is the first (side 0) or second (1) word of; with itself 2."""
+    def one(word, cls, side, c):
+        return F.struct(word.alias("word"), cls.alias("cls"), F.lit(side).alias("side"), c.alias("c"))
+
+    a, b, ca, cb = (F.col(x) for x in ("a", "b", "ca", "cb"))
+    side = F.inline(F.array(one(a, ca, 0, cb), one(b, cb, 1, ca), one(F.when(a == b, a), ca, 2, F.lit(0))))
+    return (classed_bigrams(bigrams, classes, "cls").select("n", side).where("word is not null")
+            .groupBy("word", "cls", "side", "c").agg(F.sum("n").alias("n"))
+            .groupBy("word", "cls").agg(F.sort_array(F.collect_list(F.struct("side", "c", "n"))).alias("near")))
+
+
+def moved(near: DataFrame, table: np.ndarray, half: int) -> DataFrame:
+    """``word, cls`` of all words, those of one ``half`` in their best class."""
+    free = len(table) - 1
+
+    def move(batches):
+        for batch in batches:
+            lists = batch.column("near")
+            side, c, n = (x.to_numpy() for x in lists.flatten().flatten())
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            word, cls = batch.column("word").to_numpy(), batch.column("cls").to_numpy().astype(np.int64)
+            turn = np.flatnonzero((word & 1 == half) & (word != END))
+            of = np.repeat(np.arange(len(word)), np.diff(ends))
+            for at in range(0, len(turn), 256):
+                now = turn[at:at + 256]
+                place = np.full(len(word), -1)
+                place[now] = np.arange(len(now))
+                own = np.flatnonzero(place[of] >= 0)
+                counts = np.zeros((3, len(now), free + 1))
+                counts[side[own], place[of[own]], c[own]] = n[own]
+                cls[now] = best_classes(table, cls[now], counts[0], counts[1], counts[2, :, 0], free)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cls, pa.int32())], names=["word", "cls"])
+
+    return near.mapInArrow(move, "word long, cls int")
+
+
+def exchange_words(bigrams: DataFrame, classes: DataFrame, width: int, passes: int = PASSES) -> tuple[DataFrame, np.ndarray]:
+    """The best classes found from ``classes`` on, and their bigram table."""
+    best = None
+    for k in range(passes + 1):
+        near = staged(neighbours(bigrams, classes), "class-neighbours")
+        table = np.zeros((width, width))
+        after = F.inline(F.filter("near", lambda x: x.side == 0))
+        for r in near.select("cls", after).groupBy("cls", "c").agg(F.sum("n").alias("n")).collect():
+            table[r.cls, r.c] = r.n
+        if best is None or likelihood(table) > likelihood(best[1]):
+            best = classes, table
+        if k < passes:
+            classes = staged(moved(near, table, k % 2), "class-words")
+    return best
+
+
 class Model:
-    """Classes, transitions and what emissions need; bounded by the numbers of
-    units and classes."""
+    """Classes' transitions and sizes, and the class of each group of endings;
+    bounded by the numbers of classes and endings."""
 
-    def __init__(self, units: Units, cls: np.ndarray, bigrams: np.ndarray, distinct: np.ndarray, n_train: int):
-        self.units, self.cls = units, cls
-        width = int(cls.max()) + 1
-        table = np.zeros((width, width))
-        np.add.at(table, (cls[:, None], cls[None, :]), bigrams)
+    def __init__(self, table: np.ndarray, distinct: np.ndarray, endings: np.ndarray, n_train: int):
+        width = len(table)
+        self.end, self.endings = width - 1, endings
         self.size = table.sum(axis=0)
-        self.total = int(bigrams.sum())
+        self.total = int(table.sum())
         share = (self.size + 1) / (self.size.sum() + width)
         self.step = np.log10((table + BETA * share) / (table.sum(axis=1, keepdims=True) + BETA))
-        self.distinct = np.bincount(cls, distinct, width)
+        self.distinct = distinct
         self.vocabulary = int(distinct.sum())
         self.n_train = n_train
 
 
-def train(docs: DataFrame, dealt: DataFrame) -> Model:
-    """The model of the texts whose ``weight`` is 1."""
-    summary = cut_lineage(dictionary.reduce_words(dealt, None, "packed binary", _summary)
-                          .mapInArrow(_merge, "word binary, n long, ending int"))
-    top = [bytes(r.word) for r in summary.where("ending = -1").orderBy(F.col("n").desc(), "word").limit(TOP).collect()]
-    groups = summary.where("ending >= 0").groupBy("ending").agg(F.sum("n").alias("v")).collect()
-    units = Units(top)
-    n_train = docs.agg(F.sum("weight")).first()[0] or 0
-    distinct = np.zeros(units.n)
-    distinct[:len(top)] = 1
-    for r in groups:
-        distinct[len(top) + r.ending] = r.v
-    for w in top:
-        distinct[len(top) + ending(w)] -= 1
-    distinct[units.end] = 1 if n_train else 0
-    bigrams = unit_bigrams(docs, units)
-    return Model(units, exchange(bigrams, units.end), bigrams, distinct, int(n_train))
+def train(docs: DataFrame, dealt: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the texts whose ``weight`` is 1, and ``home, word, cls`` of
+    all their words."""
+    spark = docs.sparkSession
+    known = staged(vocabulary(dealt), "class-vocabulary")
+    bigrams = staged(word_bigrams(docs), "class-bigrams")
+    n_train = int(docs.agg(F.sum("weight")).first()[0] or 0)
+    top = [r.word for r in known.orderBy(F.col("n").desc(), "word").limit(TOP).collect()]
+    frequent = F.broadcast(spark.createDataFrame(list(zip(top, range(len(top)))), "word long, place int"))
+    last = len(top) + ENDINGS
+    units = staged(known.join(frequent, "word", "left")
+                   .select("word", F.coalesce("place", F.col("ending") + len(top)).alias("unit"))
+                   .union(spark.createDataFrame([(END, last)], "word long, unit int")), "class-units")
+    cells = classed_bigrams(bigrams, units, "unit").groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((last + 1, last + 1), np.int64)
+    table[cells["ca"].to_numpy(), cells["cb"].to_numpy()] = cells["n"].to_numpy()
+    first = exchange(table, last)
+    of_unit = F.broadcast(spark.createDataFrame(list(enumerate(first.tolist())), "unit int, cls int"))
+    classes, table = exchange_words(bigrams, staged(units.join(of_unit, "unit").select("word", "cls"), "class-words"),
+                                    int(first[last]) + 1)
+    found = staged(known.join(classes, "word").select("home", "word", "ending", "cls"), "class-found")
+    share = np.zeros((ENDINGS, len(table)))
+    for r in found.groupBy("ending", "cls").count().collect():
+        share[r.ending, r.cls] = r["count"]
+    distinct = share.sum(axis=0)
+    distinct[-1] = 1 if n_train else 0
+    endings = np.where(share.any(axis=1), share.argmax(axis=1), first[len(top):last])
+    return Model(table, distinct, endings, n_train), found.select("home", "word", "cls")
 
 
 def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
@@ -235,18 +312,24 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     of every row; the texts of fold ``held`` are not learnt from."""
     rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) != held).cast("byte").alias("weight"))
     dealt = dictionary.deal(rows, lower_words, stage=True)
-    sent = docs.sparkSession.sparkContext.broadcast(train(rows, dealt))
-
-    def answer(distinct: pa.Array, counts: np.ndarray):
-        m = sent.value
-        return np.arange(len(distinct) + 1), counts, m.cls[m.units.of(distinct)].astype(np.uint16)
+    model, classes = train(rows, dealt)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def answer(distinct: pa.Array, counts: np.ndarray, side: pa.Table):
+        order = np.argsort(side["word"].to_numpy())
+        word, cls = side["word"].to_numpy()[order], side["cls"].to_numpy()[order]
+        seen = np.flatnonzero(counts)
+        out = np.empty(len(distinct), np.uint16)
+        out[seen] = cls[np.searchsorted(word, hashes(distinct)[seen].view(np.int64))]
+        new = np.flatnonzero(counts == 0)
+        out[new] = [sent.value.endings[ending(w)] for w in distinct.take(pa.array(new)).to_pylist()]
+        return np.arange(len(distinct) + 1), counts, out
 
     def build(ids, counts, weight, codes, ends, n, cls):
         m = sent.value
         c = n[codes].astype(np.float64)
         k = cls[codes].astype(np.int64)
-        end = int(m.cls[m.units.end])
-        now, before = sequence(k, counts, end)
+        now, before = sequence(k, counts, m.end)
         seen = np.insert(c, np.cumsum(counts), m.n_train)
         base = np.log10((seen + ADD) / (m.total + ADD * (m.vocabulary + 1)))
         score = np.log10((seen + ADD) / (m.size[now] + ADD * (m.distinct[now] + 1))) + m.step[before, now]
@@ -261,7 +344,7 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
                          pa.array(per_text(score), pa.float64())],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = dictionary.reduce_words(dealt, answer)
+    back = dictionary.reduce_words(dealt, answer, side=classes)
     return dictionary.assemble(dealt, back, (np.int64, np.uint16), build,
                                "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double")

@@ -24,7 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from binscore.llm.common import mix64, staged, steps, text_buffer
 
@@ -155,26 +155,33 @@ def _chunks(tokenise: Callable, buckets: int):
     return run
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets that words are dealt to: twice as many as shuffle partitions."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def deal(docs: DataFrame, tokenise: Callable, stage: bool = False) -> DataFrame:
     """The exchange's rows for ``docs`` (``doc_id`` long, ``text`` string,
     ``weight`` byte 0 or 1): chunks at home, dictionaries dealt by token.
 
-    There are twice as many buckets as shuffle partitions.  ``stage`` writes
-    the rows to the shared folder first, for use by more than one job."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", "weight").mapInArrow(_chunks(tokenise, 2 * parts), SCHEMA)
-    return (staged(rows, "chunks") if stage else rows).repartition(parts, "home")
+    ``stage`` writes the rows to the shared folder first, for use by more than
+    one job."""
+    n = buckets(docs.sparkSession)
+    rows = docs.select("doc_id", "text", "weight").mapInArrow(_chunks(tokenise, n), SCHEMA)
+    return (staged(rows, "chunks") if stage else rows).repartition(n // 2, "home")
 
 
-def reduce_words(dealt: DataFrame, answer: Callable, schema: str = BACK, summary: Callable | None = None) -> DataFrame:
+def reduce_words(dealt: DataFrame, answer: Callable, schema: str = BACK, summary: Callable | None = None,
+                 side: DataFrame | None = None) -> DataFrame:
     """Calls ``answer(words, counts)`` once for each bucket with its distinct
     words (a binary array) and the sum of their weighted counts; it returns a
     list of arrays, n+1 list ends first, that holds for each word a list of values.  Each
     chunk gets back the lists of its own words, in their order.
 
     With ``summary`` the buckets' ``summary(words, counts)`` batches are
-    returned instead."""
-    def run(key, table):
+    returned instead; with ``side``, a table with the bucket number as ``home``,
+    ``answer`` also gets the bucket's rows of it."""
+    def run(key, table, *more):
         rows = [(c, b, p) for c, b, p in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(),
                                              table["payload"].to_pylist()) if b != DOCS]
         if not rows:
@@ -186,7 +193,7 @@ def reduce_words(dealt: DataFrame, answer: Callable, schema: str = BACK, summary
                              minlength=len(coded.dictionary)).astype(np.int64)
         if summary:
             return summary(coded.dictionary, counts)
-        ends, *values = answer(coded.dictionary, counts)
+        ends, *values = answer(coded.dictionary, counts, *more)
         out, at = [], 0
         for n, _, _ in parts:
             own = codes[at:at + len(n)]
@@ -199,7 +206,9 @@ def reduce_words(dealt: DataFrame, answer: Callable, schema: str = BACK, summary
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    return dealt.groupBy("home").applyInArrow(run, schema)
+    if side is not None:
+        return dealt.groupBy("home").cogroup(side.groupBy("home")).applyInArrow(lambda k, t, more: run(k, t, more), schema)
+    return dealt.groupBy("home").applyInArrow(lambda k, t: run(k, t), schema)
 
 
 def assemble(dealt: DataFrame, back: DataFrame, kinds: tuple, build: Callable, schema: str) -> DataFrame:

@@ -61,3 +61,47 @@ def test_keep_one_keeps_one_row_of_every_component(ready):
         docs = ready.createDataFrame(docs, "doc_id long, text string, source string")
         for parts in (1, 5):
             assert collections.Counter(map(tuple, simhash.keep_one(docs.repartition(parts)).collect())) == want
+
+
+def test_rare_words_have_classes_of_their_own_bigrams(ready):
+    """1,200 frequent words fill the table of first classes; rare words that
+    share an ending but not their neighbours must not share a class."""
+    common = " ".join(f"c{i}x " * 9 for i in range(1200))
+    rows = [(0, common)]
+    rows += [(5 * i, f"left ra{i}zzz right " * 3 + f"up rb{i}zzz down " * 3) for i in range(1, 60)]
+    docs = ready.createDataFrame(rows, "doc_id long, text string").withColumn("weight", F.lit(1).cast("byte"))
+    from binscore.llm import dictionary
+    dealt = dictionary.deal(docs, class_lm.lower_words, stage=True)
+    _, found = class_lm.train(docs, dealt)
+    cls = {r.word: r.cls for r in found.collect()}
+    import numpy as np
+    import pyarrow as pa
+
+    def of(kind):
+        names = pa.array([f"r{kind}{i}zzz".encode() for i in range(1, 60)], pa.binary())
+        return collections.Counter(cls[w] for w in class_lm.hashes(names).view(np.int64).tolist())
+    assert len(cls) == 1200 + 4 + 2 * 59
+    assert not set(of("a")) & set(of("b"))
+
+
+def test_best_classes_are_the_likeliest():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 4, (12, 12)) * rng.integers(0, 2, (12, 12)).astype(float)
+    cls = np.array([i % 4 for i in range(11)] + [4])
+
+    def table(c):
+        out = np.zeros((5, 5))
+        np.add.at(out, (c[:, None], c[None, :]), b)
+        return out
+    n = np.arange(11)
+    right = np.array([np.bincount(cls, b[u], 5) for u in n])
+    left = np.array([np.bincount(cls, b[:, u], 5) for u in n])
+    best = class_lm.best_classes(table(cls), cls[:11], right, left, b[n, n], 4)
+    for u in range(11):
+        every = []
+        for k in range(4):
+            other = cls.copy()
+            other[u] = k
+            every.append(class_lm.likelihood(table(other)))
+        assert abs(every[best[u]] - max(every)) < 1e-6
