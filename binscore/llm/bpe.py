@@ -16,7 +16,6 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +30,14 @@ STEP_IDS = 1 << 18
 @functools.cache
 def classes() -> np.ndarray:
     """Class of every code point under the pattern: letter, number, white
-    space or other."""
+    space or other.  The tokenizer library itself says which match, as its
+    Unicode version counts."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[ord(m[0][0]):ord(m[0][-1]) + 1] = kind
-    out[0xD800:0xE000] = OTHER
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        matched = bytes(only.encode_ordinary(every)).decode()  # what does not match is left out
+        out[np.frombuffer(matched.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
