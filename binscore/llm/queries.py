@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscore.llm import bpe, class_lm, licences, mixing, pii, quality_model, quality_rules, simhash, sketches, toxicity
-from binscore.llm.common import documents
+from binscore.llm import (bpe, centroids, class_lm, licences, mixing, periodic, pii, quality_model, quality_rules, simhash,
+                          sketches, token_counts, toxicity)
+from binscore.llm.common import documents, prepare
 from binscore.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from binscore.sources.tables import read_table
 
@@ -104,3 +105,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licence_scan", licences.sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(licences.document_paths(documents(spark, sf_dir, "doc_id", "source", "text")))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_periods(documents(spark, sf_dir, "doc_id", "text"))))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_centroid_clusters", centroids.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rows, facts, _ = centroids.ns_cluster(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), k=40, rounds=5)
+    return centroids.with_inertia(rows, facts)
