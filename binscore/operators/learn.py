@@ -3,20 +3,13 @@ I1-I10).
 
 Scaling and the complement naive Bayes model are closed forms, so they run
 for all projects at once as aggregations: a project with a third of all rows is
-just more partial-aggregation input.  Logistic regression and the linear SVM
-run one aggregation per step for all projects (``linear.py``).  Tree, forest
-and perceptron are Spark ML estimators fitted per (project, arm, algorithm):
-each fit is itself a distributed job, so a huge project is spread over the
-cluster, while many small projects are fitted concurrently from a bounded
-driver thread pool.  Fitted predictions are
-appended to a table in the shared checkpoint folder and read back, so the
-result does not hold hundreds of plans in its lineage.
+just more partial-aggregation input.  The iterative learners run an aggregation
+a step or a tree level for all projects (``linear.py``, ``trees.py``,
+``perceptron.py``).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +18,6 @@ from binscore.operators.joins import bounded_broadcast
 NON_FEATURES = ("Project_name", "project_name", "File", "file", "github_path", "token_size",
                 "file_available", "token_size_codellama", "doc_id")
 CNB_ALPHA = 0.001
-# fits that the driver submits at a time
-FITS_AT_A_TIME = 4
-# stopping tolerance of the iterative learners (their library default)
-TOLERANCE = 1e-4
 
 
 def drop_non_features(df: DataFrame, names=NON_FEATURES) -> DataFrame:
@@ -160,48 +149,3 @@ def class_weight_col(train: DataFrame, group, label: str = "label", out: str = "
     tot = train.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     w = per.join(tot, g).select(*g, label, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias(out))
     return train.join(bounded_broadcast(w, materialize=True), [*g, label], "inner")
-
-
-# ---- Spark ML learners (I4, I5, I7, I8) ---------------------------------------------------
-
-def make_estimator(algorithm: str, n_features: int, params: dict | None = None):
-    """The Spark ML counterpart of each learner, with its parameters.  The
-    forest's depth is bounded by the library (30)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-    p = dict(params or {})
-    if algorithm == "DT":
-        return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="0.3",
-                                      impurity="entropy", maxDepth=6, seed=0, weightCol="weight")
-    if algorithm == "RF":
-        return RandomForestClassifier(numTrees=p.get("numTrees", 500), subsamplingRate=0.2,
-                                      featureSubsetStrategy="0.2", impurity="entropy",
-                                      maxDepth=p.get("maxDepth", 30), seed=0, weightCol="weight")
-    if algorithm == "MLP":
-        return MultilayerPerceptronClassifier(layers=[n_features, 7, 2], maxIter=p.get("maxIter", 200),
-                                              seed=0, tol=TOLERANCE)
-    raise ValueError(f"unknown algorithm {algorithm}")
-
-
-def positive_score(pred: DataFrame) -> DataFrame:
-    """I8: probability of class 1."""
-    from pyspark.ml.functions import vector_to_array
-    return pred.withColumn("score", vector_to_array(F.col("probability")).getItem(1))
-
-
-def fit_predict(train: DataFrame, test: DataFrame, feature_cols, algorithm: str,
-                params: dict | None = None) -> DataFrame:
-    """Fit one learner on ``train`` and score ``test`` (both already
-    scaled and weighted)."""
-    feats = list(feature_cols)
-    tr = assemble(train, feats)
-    te = assemble(test, feats)
-    model = make_estimator(algorithm, len(feats), params).fit(tr)
-    out = positive_score(model.transform(te))
-    return out.withColumn("prediction", F.col("prediction").cast("int"))
-
-
-def fit_grid(tasks, run, parallelism: int = FITS_AT_A_TIME):
-    """Run ``run(task)`` for every task on a bounded driver thread pool
-    (each call submits its own distributed Spark jobs)."""
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(run, tasks))

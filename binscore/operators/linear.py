@@ -9,7 +9,9 @@ A step joins the train rows with the models of unfinished groups (one row per
 group and arm), sums loss, gradient and Hessian inside the tasks, adds the
 sums up per position and solves the small systems where those rows lie.  A
 step that raises the loss is halved.  Models are checkpointed after each step;
-the driver only counts unfinished ones.
+the driver only counts unfinished ones.  A model that is unfinished after the
+last step is marked (``converged`` false); logistic regression of rows of one
+class has no optimum and is always so.
 """
 
 from __future__ import annotations
@@ -116,8 +118,8 @@ def _vector(columns) -> F.Column:
 
 def fit_linear(train: DataFrame, flags: DataFrame, group, feature_cols, algorithm: str, c: float = 1.0,
                max_steps: int = MAX_STEPS) -> DataFrame:
-    """``group..., arm, w`` (weights of ``feature_cols``, then the intercept)
-    of every row of ``flags`` (``used_flags``) whose group has train rows.
+    """``group..., arm, w, converged`` (weights of ``feature_cols``, then the
+    intercept) of every row of ``flags`` (``used_flags``) whose group has train rows.
     ``train``: features, ``label`` and ``weight``.  Columns an arm does not use
     get weight zero."""
     g, d = list(group), len(feature_cols) + 1
@@ -151,7 +153,7 @@ def fit_linear(train: DataFrame, flags: DataFrame, group, feature_cols, algorith
             F.coalesce("s.done", F.lit(True)).alias("done")))
         if models.where(~F.col("done")).isEmpty():
             break
-    return models.where(F.col("loss").isNotNull()).select(*g, "arm", F.col("base").alias("w"))
+    return models.where(F.col("loss").isNotNull()).select(*g, "arm", F.col("base").alias("w"), F.col("done").alias("converged"))
 
 
 def score_linear(test: DataFrame, models: DataFrame, group, feature_cols, algorithm: str, keys) -> DataFrame:

@@ -1,14 +1,13 @@
 """ML evaluation: per-project learners on the feature matrix (entry 3).
 
 skip rule (D9) -> split semi-joins (C1) -> correlation screening per arm
-(D16/D17) -> train-fitted scaling (I1) -> learners (I2 closed form, I3 and I6
-one aggregation per step, for all projects at once; I4, I5, I7 Spark ML per
-project) -> one predictions table -> metrics (I9).
+(D16/D17) -> train-fitted scaling (I1) -> learners, each for all projects at
+once (I2 closed form; I3, I5, I6 an aggregation a step; I4, I7 an aggregation a
+tree level) -> one predictions table -> metrics (I9).
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import normalise_key
-from binscore.operators import joins, learn, linear, metrics, ranking, stats
-from binscore.session import cut_lineage, scratch_dir
+from binscore.operators import joins, learn, linear, metrics, perceptron, ranking, stats, trees
+from binscore.session import cut_lineage
 from binscore.sources import testbed
 
 G = ["project"]
@@ -72,69 +71,59 @@ def cnb_predictions(spark, sf_dir: str, digits: int | None = None, inp: MLInputs
 
 
 def linear_predictions(inp: MLInputs, algorithm: str) -> DataFrame:
-    """I3, I6 for every kept project and both arms, one aggregation a step."""
+    """I3, I6 for every kept project and both arms, one aggregation a step.  A
+    model of two classes without an optimum is an error, not a result."""
     flags = learn.used_flags(inp.used, G, FEATURES)
     models = linear.fit_linear(learn.class_weight_col(inp.train, G), flags, G, FEATURES, algorithm)
-    return (linear.score_linear(inp.test, models, G, FEATURES, algorithm, ["github_path", "label"])
+    classes = inp.train.groupBy(*G).agg(F.count_distinct("label").alias("_classes"))
+    if not models.where("NOT converged").join(classes.where("_classes > 1"), G, "left_semi").isEmpty():
+        raise RuntimeError(f"{algorithm}: models without an optimum after {linear.MAX_STEPS} steps")
+    return (linear.score_linear(inp.test, models.drop("converged"), G, FEATURES, algorithm, ["github_path", "label"])
             .withColumn("algorithm", F.lit(algorithm)).select(*PREDICTIONS))
 
 
-def fitted_predictions(spark, inp: MLInputs, algorithms, params: dict | None = None,
-                       parallelism: int = learn.FITS_AT_A_TIME) -> DataFrame:
-    """I4, I5, I7 for every kept project and both arms: one Spark ML fit each,
-    ``parallelism`` of them at a time.
-
-    The list of (project, arm, features) tasks is small metadata (bounded
-    by projects x 2); the rows themselves never leave the executors."""
-    # train/test are written once, partitioned by project, to the shared
-    # folder: each fit reads only its project's partition (partition
-    # pruning) and a lost executor never forces a recomputation from texts
-    staged = scratch_dir(spark, "ml-inputs")
-    weighted = learn.class_weight_col(inp.train, G)
-    # few files a project; AQE splits a large project's partition by its size
-    weighted.hint("rebalance", "project").write.partitionBy("project").parquet(os.path.join(staged, "train"))
-    inp.test.hint("rebalance", "project").write.partitionBy("project").parquet(os.path.join(staged, "test"))
-    # read back with the written schema: project names stay strings even
-    # when a directory value looks numeric
-    train = spark.read.schema(weighted.schema).parquet(os.path.join(staged, "train"))
-    test = spark.read.schema(inp.test.schema).parquet(os.path.join(staged, "test"))
-    tasks_meta = (inp.used.groupBy("project", "arm")
-                  .agg(F.sort_array(F.collect_list("feature")).alias("features")).collect())
-    tasks = [(i, r["project"], r["arm"], list(r["features"]), a)
-             for i, (r, a) in enumerate((r, a) for r in tasks_meta for a in algorithms)]
-    out_dir = scratch_dir(spark, "ml-predictions")
-
-    def run(task):
-        # every fit writes its own folder: concurrent jobs never share a
-        # commit directory, and a retried fit simply overwrites its folder
-        i, project, arm, feats, algorithm = task
-        tr = train.where(F.col("project") == project)
-        te = test.where(F.col("project") == project)
-        pred = learn.fit_predict(tr, te, feats, algorithm, (params or {}).get(algorithm))
-        (pred.select(F.lit(project).alias("project"), F.lit(algorithm).alias("algorithm"),
-                     F.lit(arm).alias("arm"), "github_path", "label", "score", "prediction")
-             .write.mode("overwrite").parquet(os.path.join(out_dir, f"task={i}")))
-        return task
-
-    learn.fit_grid(tasks, run, parallelism)
-    if not tasks:
-        return spark.createDataFrame(
-            [], "project string, algorithm string, arm int, github_path string, label int, "
-                "score double, prediction int")
-    return spark.read.parquet(out_dir).select(*PREDICTIONS)
-
-
-def ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, params: dict | None = None,
-                   inp: MLInputs | None = None) -> DataFrame:
+FORESTS = {"DT": trees.DECISION_TREE, "RF": trees.RANDOM_FOREST}
+
+
+def forest_model(inp: MLInputs, forest: trees.Forest) -> DataFrame:
+    """I4, I7 for every kept project and both arms."""
+    return trees.fit_forest(inp.train, learn.used_flags(inp.used, G, FEATURES), G, FEATURES, forest, ["project", "github_path"])
+
+
+def tree_predictions(inp: MLInputs, algorithm: str, forest: trees.Forest | None = None) -> DataFrame:
+    """Scores of the trees, one aggregation a level for all projects."""
+    models = forest_model(inp, forest or FORESTS[algorithm])
+    return (trees.score_forest(inp.test, models, G, FEATURES, ["github_path", "label"])
+            .withColumn("algorithm", F.lit(algorithm)).select(*PREDICTIONS))
+
+
+def perceptron_predictions(inp: MLInputs) -> DataFrame:
+    """I5 for every kept project and both arms."""
+    models = perceptron.fit_perceptrons(inp.train, learn.used_flags(inp.used, G, FEATURES), G, FEATURES)
+    return (perceptron.score_perceptrons(inp.test, models, G, FEATURES, ["github_path", "label"])
+            .withColumn("algorithm", F.lit("MLP")).select(*PREDICTIONS))
+
+
+def ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, inp: MLInputs | None = None) -> DataFrame:
     """I3-I8 for every kept project, both arms and the given algorithms."""
     inp = inp or ml_inputs(spark, sf_dir)
-    parts = [linear_predictions(inp, a) for a in algorithms if a in linear.LOSSES]
-    fitted = [a for a in algorithms if a not in linear.LOSSES]
-    if fitted:
-        parts.append(fitted_predictions(spark, inp, fitted, params))
-    preds = reduce(DataFrame.unionByName, parts)
+
+    def one(algorithm: str) -> DataFrame:
+        if algorithm in linear.LOSSES:
+            return linear_predictions(inp, algorithm)
+        return perceptron_predictions(inp) if algorithm == "MLP" else tree_predictions(inp, algorithm)
+
+    preds = reduce(DataFrame.unionByName, [one(a) for a in algorithms])
     # decision values (SVM) are min-max scaled within their group
     scaled = ranking.score_minmax(preds, ["project", "algorithm", "arm"], "score", "scaled")
     return scaled.select("project", "algorithm", "arm", "github_path", "label",
                          F.when(F.col("algorithm") == "SVM", F.col("scaled")).otherwise(F.col("score"))
                           .alias("score"), "prediction")
+
+
+def all_predictions(spark, sf_dir: str, inp: MLInputs | None = None) -> DataFrame:
+    """The six learners' scores of every test file of the kept projects,
+    both arms."""
+    inp = inp or ml_inputs(spark, sf_dir)
+    cnb = cnb_predictions(spark, sf_dir, inp=inp).withColumn("algorithm", F.lit("CNB"))
+    return cnb.select(*PREDICTIONS).unionByName(ml_predictions(spark, sf_dir, inp=inp).select(*PREDICTIONS))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binscore.functions.text import normalise_key
-from binscore.operators import joins, learn, metrics, stats
+from binscore.operators import joins, learn, metrics, stats, trees
 from binscore.plans import comparison, evaluation
 from binscore.plans.catalog import register
-from binscore.plans.oracle import FEATS, cnt, norm, sql
+from binscore.plans.oracle import CONFUSION, FEATS, cnt, norm, ratio, sql
+from binscore.plans.oracle_learners import DT_NODES
+from binscore.session import cut_lineage
 from binscore.sources import testbed
 
 _F = ", ".join(FEATS)
@@ -119,45 +121,53 @@ def q_cnb_metrics(spark, sf_dir):
     return p.groupBy("project", "arm").agg(*metrics.confusion_aggs())
 
 
-def _learner(algorithm):
-    """A fitted learner's results, as far as SQL can state them without its
-    optimiser: every (project, arm) is there with all its test files, AUC is a
-    probability and the scores agree with the confusion counts.  The figures
-    themselves are rows of ``evaluation_grid``."""
-    def near(a, b):
-        return F.abs(a - F.coalesce(F.try_divide(b[0].cast("double"), b[1].cast("double")), F.lit(0.0))) < 1e-12
-
+def _learner(algorithm, digits):
+    """A learner's scores of every test file of the kept projects, both arms."""
     def q(spark, sf_dir):
-        ev = comparison.evaluate_predictions(evaluation.ml_predictions(spark, sf_dir, [algorithm]))
-        tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-        return ev.select(
-            "project", "algorithm", "arm", (tp + fp + tn + fn).alias("n"), (tp + fn).alias("positives"),
-            (tn + fp).alias("negatives"), F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("auc_valid"),
-            (near(F.col("accuracy"), (tp + tn, tp + fp + tn + fn)) & near(F.col("precision"), (tp, tp + fp))
-             & near(F.col("recall"), (tp, tp + fn)) & near(F.col("f1"), (2 * tp, 2 * tp + fp + fn))).alias("scores_valid"))
+        preds = evaluation.ml_predictions(spark, sf_dir, [algorithm])
+        return preds.select("project", "arm", "github_path", "label", F.round("score", digits).alias("score"), "prediction")
     return q
 
 
-def _learner_sql(algorithm):
-    return sql(f"""
-  SELECT f.project, '{algorithm}' AS algorithm, u.arm, count(*) AS n, {cnt('f.label = 1')} AS positives,
-    {cnt('f.label = 0')} AS negatives, true AS auc_valid, true AS scores_valid
-  FROM ml_features f JOIN (SELECT DISTINCT project, arm FROM used_features) u ON f.project = u.project
-  WHERE f.split = 'test' GROUP BY f.project, u.arm""")
-
-
-for _key, _algorithm in (("lr_train_score", "LR"), ("dt_train_score", "DT"), ("mlp_train_score", "MLP"),
-                         ("svm_train_score", "SVM"), ("rf_train_score", "RF")):
-    register(_key, _learner_sql(_algorithm))(_learner(_algorithm))
+for _key, _algorithm, _digits in (("lr_train_score", "LR", 6), ("dt_train_score", "DT", 9), ("mlp_train_score", "MLP", 6),
+                                  ("svm_train_score", "SVM", 6), ("rf_train_score", "RF", 9)):
+    register(_key, sql(f"SELECT * FROM {_algorithm.lower()}_scores"))(_learner(_algorithm, _digits))
 
 
-@register("evaluation_grid")
-def q_evaluation_grid(spark, sf_dir):
-    """Every kept project x 6 algorithms x 2 arms -> ML metrics table."""
+@register("dt_nodes", sql(DT_NODES))
+def q_dt_nodes(spark, sf_dir):
+    """I4: the decision trees as a relation, one row per node."""
     inp = evaluation.ml_inputs(spark, sf_dir)
-    cnb = evaluation.cnb_predictions(spark, sf_dir, inp=inp).withColumn("algorithm", F.lit("CNB"))
-    others = evaluation.ml_predictions(spark, sf_dir, inp=inp)
-    preds = cnb.unionByName(others)
-    ev = comparison.evaluate_predictions(preds)
+    nodes = trees.forest_nodes(evaluation.forest_model(inp, trees.DECISION_TREE), ["project"], FEATS, inp.train)
+    return nodes.select("project", "arm", "depth", "feature", F.round("threshold", 12).alias("threshold"), "n0", "n1")
+
+
+@register("positive_score", sql("SELECT project, algorithm, arm, github_path, label, score, prediction FROM all_scores"))
+def q_positive_score(spark, sf_dir):
+    """I8: the probability of class 1, or the scaled decision value, of all six
+    learners, arms and test files."""
+    preds = evaluation.all_predictions(spark, sf_dir)
+    return preds.withColumn("score", F.round("score", 6))
+
+
+@register("evaluation_grid", sql(f"""
+  SELECT c.project, c.algorithm || CASE WHEN c.arm = 0 THEN ' with anti-pattern metrics'
+                                        ELSE ' without_anti-pattern_metrics' END AS algorithm_metric,
+    CASE WHEN a.auc = 0 THEN NULL ELSE a.auc END AS auc, {ratio('c.tp + c.tn', 'c.n')} AS accuracy,
+    {ratio('c.tp', 'c.tp + c.fp')} AS precision, {ratio('c.tp', 'c.tp + c.fn')} AS recall,
+    {ratio('2 * c.tp', '2 * c.tp + c.fp + c.fn')} AS f1, c.tp, c.fp, c.tn, c.fn
+  FROM (SELECT project, algorithm, arm, count(*) AS n, {CONFUSION} FROM all_scores GROUP BY ALL) c
+  LEFT JOIN (
+    SELECT project, algorithm, arm, (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - p * (p + 1) / 2.0) / nullif(p * (count(*) - p), 0) AS auc
+    FROM (SELECT *, rank() OVER (PARTITION BY project, algorithm, arm ORDER BY score)
+            + (count(*) OVER (PARTITION BY project, algorithm, arm, score) - 1) / 2.0::DOUBLE AS r,
+            CAST(sum(label) OVER (PARTITION BY project, algorithm, arm) AS DOUBLE) AS p
+          FROM all_scores) GROUP BY project, algorithm, arm, p) a
+    ON c.project = a.project AND c.algorithm = a.algorithm AND c.arm = a.arm"""))
+def q_evaluation_grid(spark, sf_dir):
+    """Every kept project x 6 algorithms x 2 arms -> ML metrics table (AUC
+    over scores rounded to 6 digits, within the solvers' tolerance)."""
+    preds = evaluation.all_predictions(spark, sf_dir)
+    ev = comparison.evaluate_predictions(cut_lineage(preds.withColumn("score", F.round("score", 6))))
     return ev.select("project", comparison.algorithm_metric().alias("algorithm_metric"), "auc", "accuracy",
                      "precision", "recall", "f1", "tp", "fp", "tn", "fn")

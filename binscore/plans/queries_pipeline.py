@@ -2,7 +2,7 @@
 
 Prompts of both source trees and both styles are scored by the shipped
 predictors, the raw output is cleaned and measured, and the best configuration
-is compared with the closed-form learner's scores on the same test files.
+is compared with the six learners' scores on the same test files.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from binscore.operators.joins import cross_compare, pairwise_complete
 from binscore.operators.score import CONTEXT_TOKENS, KEYWORDS, SECOND_KEYWORDS, THIRD_KEYWORDS, TOO_LONG, keyword_pattern
 from binscore.plans import analysis, comparison, evaluation, inference
 from binscore.plans.catalog import register
+from binscore.plans import oracle_learners  # noqa: F401  (the learners' CTEs)
 from binscore.plans.oracle import CONFUSION, clean, clone, cte, parse, ratio, sql, ws_tokens
 from binscore.session import cut_lineage
 
-ML_NAMES = ("CNB",)
-
 # ---- the same steps in SQL, over the scored answers -----------------------------------
 
 clone("nc_", ("zs_in", "fs_in"), {"files_with": "files_without"})
@@ -47,11 +46,11 @@ _ANSWERS = " UNION ALL ".join([_answer("artigenz", KEYWORDS, None), _answer("cod
 cte("pipe_runs", ("pipe_prompts",),
     f"SELECT *, {parse(clean('response'))} AS prediction FROM ({_ANSWERS})")
 clone("pipe_", ("error_keys", "runs_clean", "runs_eval", "summary", "project_metrics", "llm_best"), {"runs": "pipe_runs"})
-cte("pipe_pairs", ("pipe_llm_best", "cnb"), f"""
-  SELECT l.project, l.model AS llm, 'CNB' AS ml, l.f1 AS llm_f1, m.f1 AS ml_f1
+cte("pipe_pairs", ("pipe_llm_best", "all_scores"), f"""
+  SELECT l.project, l.model AS llm, m.algorithm AS ml, l.f1 AS llm_f1, m.f1 AS ml_f1
   FROM pipe_llm_best l JOIN (
-    SELECT project, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1
-    FROM (SELECT project, {CONFUSION} FROM cnb WHERE arm = 0 GROUP BY project)) m ON l.project = m.project
+    SELECT project, algorithm, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1
+    FROM (SELECT project, algorithm, {CONFUSION} FROM all_scores WHERE arm = 0 GROUP BY ALL)) m ON l.project = m.project
   WHERE l.f1 IS NOT NULL AND m.f1 IS NOT NULL""")
 clone("pipe_", ("pair_d", "signed_rank", "cles", "paired_tests"), {"pairs": "pipe_pairs"})
 
@@ -96,13 +95,13 @@ def q_pipeline_projects(spark, sf_dir):
   SELECT llm, ml, n_pairs, n, z, round(p_value, 9) AS p_value, p_rounded, cles, cles_rounded, cles_shown
   FROM pipe_paired_tests"""))
 def q_pipeline_comparison(spark, sf_dir):
-    """Scored answers (best configuration) against the trained learner (CNB)
+    """Scored answers (best configuration) against the six trained learners
     per project: H1/H2 -> C6 -> C7/C8 -> D22/D23 -> B26."""
     runs = analysis.evaluated_runs(spark, sf_dir, inference.scored_runs(spark, sf_dir))
     llm = analysis.best_config(metrics.project_metrics(runs)).select("project", "model", "f1")
-    preds = evaluation.cnb_predictions(spark, sf_dir).withColumn("algorithm", F.lit("CNB"))
-    wide = comparison.wide_f1(llm, comparison.ml_metrics(spark, sf_dir, preds), ml_names=ML_NAMES)
-    pairs = cut_lineage(pairwise_complete(cross_compare(wide, comparison.LLM_NAMES, ML_NAMES)))
+    preds = cut_lineage(evaluation.all_predictions(spark, sf_dir))
+    wide = comparison.wide_f1(llm, comparison.ml_metrics(spark, sf_dir, preds))
+    pairs = cut_lineage(pairwise_complete(cross_compare(wide, comparison.LLM_NAMES, comparison.ML_NAMES)))
     return comparison.masked_tests(pairs).select(
         "llm", "ml", "n_pairs", "n", "z", F.round("p_value", 9).alias("p_value"), "p_rounded", "cles",
         "cles_rounded", "cles_shown")
