@@ -9,10 +9,14 @@ that holds a third of all rows costs no more than any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binscore.functions.text import normalise_key
+from binscore.operators.draws import poisson_limits, row_number_of, scramble_col
+from binscore.session import cut_lineage
 
 CONFIG_KEYS = ("model", "comments_included", "prompting")
 
@@ -86,13 +90,17 @@ def config_summary(df: DataFrame, keys=CONFIG_KEYS) -> DataFrame:
     """Per configuration coverage, value counts, P/R/F1 and the
     confusion matrix.  Rows with a NULL key are not grouped; scores and
     confusion are NULL when a group has no prediction at all."""
-    not_null = None
-    for k in keys:
-        cond = F.col(k).isNotNull()
-        not_null = cond if not_null is None else not_null & cond
-    agg = df.where(not_null).groupBy(*keys).agg(
+    agg = df.where(_all_there(keys)).groupBy(*keys).agg(
         *coverage_aggs(), *value_count_aggs(), *confusion_aggs(),
         F.count("prediction").alias("_n_pred"))
+    return _summary_rows(agg, keys)
+
+
+def _all_there(keys) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def _summary_rows(agg: DataFrame, keys) -> DataFrame:
     has_pred = F.col("_n_pred") > 0
     null_d = F.lit(None).cast("double")
     null_l = F.lit(None).cast("bigint")
@@ -120,6 +128,22 @@ def project_metrics(df: DataFrame, keys=CONFIG_KEYS, project="project_name") ->
         f1_col().alias("f1"), "tp", "fp", "tn", "fn")
 
 
+def summary_and_projects(df: DataFrame, keys=CONFIG_KEYS, project="project_name") -> tuple[DataFrame, DataFrame]:
+    """D1 and D2 from one scan and one exchange: grouping sets of the
+    configuration with and without the project, materialised for both tables."""
+    keys = list(keys)
+    whole = [F.col(k) for k in keys]
+    grouped = (df.where(_all_there(keys)).withColumnRenamed(project, "project")
+               .groupingSets([whole, [*whole, F.col("project")]], *whole, F.col("project"))
+               .agg(F.grouping_id().alias("_set"), *coverage_aggs(), *value_count_aggs(), *confusion_aggs(),
+                    F.count("prediction").alias("_n_pred")))
+    grouped = cut_lineage(grouped)
+    per_project = grouped.where((F.col("_set") == 0) & F.col("project").isNotNull() & (F.col("_n_pred") > 0))
+    return (_summary_rows(grouped.where(F.col("_set") == 1), keys),
+            per_project.select("project", *keys, precision_col().alias("precision"), recall_col().alias("recall"),
+                               f1_col().alias("f1"), "tp", "fp", "tn", "fn"))
+
+
 def zero_positive_projects(test_split: DataFrame, project="project_name") -> DataFrame:
     """Projects (grouped on the raw name, emitted normalised) whose test
     labels are all 0.  A NULL label counts as not 0."""
@@ -178,6 +202,28 @@ def bar_means(metrics: DataFrame, keys=("project",)) -> DataFrame:
     return metrics.groupBy(*keys, "model").agg(F.avg("f1").alias("mean_f1"))
 
 
+def bar_intervals(rows: DataFrame, keys, value: str, row_cols, replicates: int = 1000, level: float = 0.95) -> DataFrame:
+    """Mean of ``value`` in each cell of ``keys`` and the interval that a bar
+    chart draws around it: percentiles of the means of bootstrap replicates.
+
+    A replicate draws each row a Poisson(1) number of times, told by a hash of
+    the row (``row_cols``) and the replicate, so all replicates are sums of one
+    aggregation, a row is never copied to another task and reruns agree.  A
+    replicate that drew none of a cell's rows has no mean there; a cell of one
+    row has its value at both ends.  NULL values are left out."""
+    g = list(keys)
+    hashed = scramble_col(row_number_of(*row_cols), F.col("_b"))
+    times = reduce(lambda a, b: a + b, [(hashed >= x).cast("bigint") for x in poisson_limits(1.0)])
+    drawn = (rows.where(F.col(value).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+             .select(*g, "_b", F.col(value).alias("_v"), times.alias("_times")))
+    means = (drawn.groupBy(*g, "_b").agg(F.sum(F.col("_times") * F.col("_v")).alias("_sum"), F.sum("_times").alias("_n"),
+                                         F.avg("_v").alias("_mean"))
+             .select(*g, F.try_divide("_sum", F.col("_n")).alias("_m"), "_mean"))
+    ends = F.percentile("_m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return means.groupBy(*g).agg(F.first("_mean").alias("mean"), ends.alias("_e")).select(
+        *g, "mean", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
+
+
 def mean_or_default(df: DataFrame, auc="auc") -> DataFrame:
     """An AUC of 0.0 (falsy) is reported as NULL, other metrics as is."""
     return df.withColumn(auc, F.when(F.col(auc) == 0, F.lit(None).cast("double"))

@@ -7,15 +7,15 @@ the data.  Instead:
 
 1. aggregate to one row per (group, distinct value) with its counts
    (partial aggregation, skew-safe);
-2. cut every group into ``n_buckets`` value ranges at approximate
-   quantiles (the bounds table is checkpointed, so every task sees the same
-   cut even if a stage is recomputed);
-3. prefix sums = (totals of the lower buckets, a window over at most
-   ``n_buckets`` rows per group) + (running sum inside the bucket, a window
-   over ~1/n_buckets of the group's distinct values).
-
-The result is exact: a value falls into exactly one bucket, and ties never
-straddle buckets.
+2. sort those rows by (group, value) over all partitions and write them once
+   with the number of the partition, so that every later reader and every
+   repeated task sees the same cut;
+3. prefix sums = (running sum inside the partition) + (the group's total in the
+   partitions before).  Only a group that goes on from the partition before has
+   such a total, at most one in a partition.
+
+The result is exact: a row of (group, value) lies in one partition, so ties
+never straddle an edge.
 """
 
 from __future__ import annotations
@@ -24,27 +24,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binscore.operators.metrics import count_when
-from binscore.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast
+from binscore.operators.joins import bounded_broadcast
 from binscore.session import cut_lineage
 
-# distinct values that one task sorts
-ROWS_PER_RANGE = 100_000
+RANGE = "_range"
 
 
-def range_count(hist: DataFrame, group_cols, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    """Ranges that keep the largest group's ranges near ``rows_per_range``
-    distinct values."""
-    largest = hist.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-largest // rows_per_range))
+def in_ranges(hist: DataFrame, group_cols, value: str, n_ranges: int | None = None) -> DataFrame:
+    """``hist`` (unique per (group, value)) sorted by both and written to the
+    shared folder with the number of its partition, ``_range``.  Rows without a
+    group are left out.  ``n_ranges``: number of partitions, else the session's."""
+    g = list(group_cols)
+    for c in g:
+        hist = hist.where(F.col(c).isNotNull())
+    order = [*g, value]
+    ranged = hist.repartitionByRange(n_ranges, *order) if n_ranges else hist.repartitionByRange(*order)
+    return cut_lineage(ranged.withColumn(RANGE, F.spark_partition_id()))
 
 
-def bucket_bounds(hist: DataFrame, group_cols, value: str, n_buckets: int) -> DataFrame:
-    """Per group, ``n_buckets - 1`` approximate quantiles of the distinct
-    values (checkpointed: fixed for the rest of the plan)."""
-    qs = [i / n_buckets for i in range(1, n_buckets)] or [0.0]
-    bounds = hist.groupBy(*group_cols).agg(
-        F.percentile_approx(F.col(value), qs, max(10_000, 20 * n_buckets)).alias("_bounds"))
-    return cut_lineage(bounds)
+def _continued(per_range: DataFrame, group_cols, columns) -> DataFrame:
+    """``per_range`` (a row per group and range) where the group goes on from an
+    earlier range: at most one row a range, so small enough to broadcast."""
+    first = F.min(RANGE).over(Window.partitionBy(*group_cols))
+    return F.broadcast(per_range.withColumn("_first", first).where(F.col(RANGE) > F.col("_first"))
+                       .select(*group_cols, RANGE, *columns))
 
 
 def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: int | None = None,
@@ -52,36 +55,21 @@ def prefix_below(hist: DataFrame, group_cols, value: str, sum_cols, n_buckets: i
     """For each row of ``hist`` (unique per (group, value)), add
     ``<c><suffix>`` = sum of ``c`` over the group's rows with a smaller
     value, for every ``c`` in ``sum_cols`` (and ``<c><totals_suffix>`` =
-    the group's total when ``totals_suffix`` is given).
-
-    The number of value ranges per group follows the largest group's distinct
-    values unless ``n_buckets`` sets it.  The per-group tables joined back (bounds, bucket offsets, totals) have
-    at most groups x buckets rows; the group count is read from the
-    checkpointed bounds, so they are broadcast on a proven bound and no
-    group's rows are shuffled on the group key."""
-    g = list(group_cols)
-    sum_cols = list(sum_cols)
-    hist = cut_lineage(hist)  # read for the count, the bounds, the offsets and the ranks
-    n_buckets = n_buckets or range_count(hist, g)
-    bounds = bucket_bounds(hist, g, value, n_buckets)
-    small = bounds.count() * n_buckets <= BROADCAST_MAX_ROWS
-    bc = F.broadcast if small else (lambda d: d)
-    hb = (hist.join(bc(bounds), g, "inner")
-              .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-              .drop("_bounds"))
-    totals = hb.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    lower = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*g)
-    offsets = totals.select(*g, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{c}").over(lower), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
-        F.sum(f"_t_{c}").over(whole).alias(f"_g_{c}") for c in sum_cols])
-    before = Window.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = hb.select("*", *[
-        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
-    joined = inside.join(bc(offsets), [*g, "_bucket"], "inner")
-    extra = [F.col(f"_g_{c}").alias(f"{c}{totals_suffix}") for c in sum_cols] if totals_suffix else []
-    return joined.select(*hist.columns, *[
-        (F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}{suffix}") for c in sum_cols], *extra)
+    the group's total when ``totals_suffix`` is given)."""
+    g, sums = list(group_cols), list(sum_cols)
+    placed = in_ranges(hist, g, value, n_buckets)
+    per_range = placed.groupBy(*g, RANGE).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    lower = Window.partitionBy(*g).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _continued(per_range.select(*g, RANGE, *[F.sum(f"_t_{c}").over(lower).alias(f"_o_{c}") for c in sums]),
+                         g, [f"_o_{c}" for c in sums])
+    before = Window.partitionBy(RANGE, *g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_i_{c}") for c in sums])
+    joined = inside.join(offsets, [*g, RANGE], "left")
+    below = [(F.coalesce(F.col(f"_o_{c}"), F.lit(0)) + F.col(f"_i_{c}")).alias(f"{c}{suffix}") for c in sums]
+    if not totals_suffix:
+        return joined.select(*hist.columns, *below)
+    totals = bounded_broadcast(placed.groupBy(*g).agg(*[F.sum(c).alias(f"{c}{totals_suffix}") for c in sums]))
+    return joined.join(totals, g).select(*hist.columns, *below, *[f"{c}{totals_suffix}" for c in sums])
 
 
 def average_rank(df: DataFrame, group_cols, value: str, out: str = "avg_rank",
@@ -128,6 +116,42 @@ def roc_curve(df: DataFrame, group_cols, score: str = "score", label: str = "lab
         F.try_divide(F.col("tps").cast("double"), F.col("P").cast("double")).alias("tpr"))
 
 
+def roc_points(df: DataFrame, group_cols, score: str = "score", label: str = "label",
+               n_buckets: int | None = None) -> DataFrame:
+    """D18 as plotted: the curve of ``roc_curve`` without the points at which it
+    goes straight on with an equal step, and with its origin (NULL threshold).
+    The first and the last threshold always stay.
+
+    A point's next one, by descending score, is its lower neighbour; for the
+    lowest row of a group in a range that is the highest one of the group's
+    range before."""
+    g = list(group_cols)
+    placed = in_ranges(score_histogram(df, g, score, label), g, score, n_buckets)
+    step = F.struct("npos", "nneg")
+    per_range = placed.groupBy(*g, RANGE).agg(F.max_by(step, score).alias("_top"),
+                                              *[F.sum(c).alias(f"_t_{c}") for c in ("npos", "nneg")])
+    ranges = Window.partitionBy(*g).orderBy(RANGE)
+    lower = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    edges = _continued(per_range.select(*g, RANGE, F.lag("_top").over(ranges).alias("_edge"), *[
+        F.sum(f"_t_{c}").over(lower).alias(f"_o_{c}") for c in ("npos", "nneg")]), g, ["_edge", "_o_npos", "_o_nneg"])
+    totals = bounded_broadcast(placed.groupBy(*g).agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"), F.max(score).alias("_high")))
+    inside = Window.partitionBy(RANGE, *g).orderBy(score)
+    below = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.select("*", F.lag(step).over(inside).alias("_next"), *[
+        F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"_i_{c}") for c in ("npos", "nneg")])
+    rows = rows.join(edges, [*g, RANGE], "left").join(totals, g).withColumn("_next", F.coalesce("_next", "_edge"))
+    kept = rows.where(F.col("_next").isNull() | (F.col("_next") != step) | (F.col(score) == F.col("_high")))
+
+    def rate(total, c):
+        at = F.col(total) - F.coalesce(F.col(f"_o_{c}"), F.lit(0)) - F.col(f"_i_{c}")
+        return F.try_divide(at.cast("double"), F.col(total).cast("double"))
+
+    points = kept.select(*g, F.col(score).alias("threshold"), rate("N", "nneg").alias("fpr"), rate("P", "npos").alias("tpr"))
+    origin = [F.when(F.col(c) > 0, F.lit(0.0)) for c in ("N", "P")]
+    return points.unionByName(totals.select(*g, F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"),
+                                            origin[0].alias("fpr"), origin[1].alias("tpr")))
+
+
 def roc_auc(df: DataFrame, group_cols, score: str = "score", label: str = "label",
             n_buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney U / (P N)), ties

@@ -11,49 +11,95 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from binscore.operators.joins import BROADCAST_MAX_ROWS
 from binscore.operators.ranking import average_rank
+from binscore.session import cut_lineage
 
 CORR_THRESHOLD = 0.7
 
 
-def _rounded(expr: str, digits: int | None) -> str:
-    return expr if digits is None else f"round({expr}, {digits})"
+def _cross_products(d: int):
+    """mapInArrow over ``g, x, lo``: per group of a task and pair of columns i < j
+    the sums over the rows that have both: count, x_i, x_j, squares, product."""
+    i, j = np.triu_indices(d, 1)
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def out():
+            n = len(held)
+            sums = np.concatenate([s[:, i, j] for s in held.values()], axis=1)
+            columns = [pa.array(np.repeat(np.array(list(held), object), len(i)), pa.string()), pa.array(np.tile(i, n).astype(np.int32)),
+                       pa.array(np.tile(j, n).astype(np.int32)), *[pa.array(v) for v in sums]]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["gk", "i", "j", *SUMS])
+
+        for batch in batches:
+            keys = batch.column("gk").dictionary_encode()
+            if not len(keys):
+                continue
+            x = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
+            x -= np.array(batch.column("lo").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            codes = keys.indices.to_numpy()
+            for k, name in enumerate(keys.dictionary.to_pylist()):
+                v, m = x[codes == k], there[codes == k].astype(float)
+                part = np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
+                held[name] = held[name] + part if name in held else part
+            if len(held) * d * d > HELD:
+                yield out()
+        if held:
+            yield out()
+    return run
+
+
+SUMS = ("n", "si", "sj", "sii", "sjj", "sij")
+#: Sums that a task holds at most, by their number a kind.
+HELD = 1 << 20
 
 
 def correlation_matrix(df: DataFrame, group_cols, columns, digits: int | None = None) -> DataFrame:
     """Pearson r for every column pair (a before b in ``columns``) per
-    group, pairwise-complete, in one aggregation pass.  A constant column
-    gives NULL (guarded division) instead of failing under ANSI mode.
-    ``r`` is rounded to ``digits`` decimals if given: only for output, never
-    before a threshold.
-
-    The d(d-1)/2 pair expressions are handed to Spark as SQL text, parsed
-    once in the JVM, instead of being assembled call by call from Python
-    (which dominated planning time for wide matrices)."""
-    g = list(group_cols)
-    cols = list(columns)
-    aggs: list[str] = []
-    entries: list[str] = []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
-            xa = f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END"
-            xb = f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END"
-            t = f"{i}_{j}"
-            aggs += [f"covar_pop({xa}, {xb}) AS _cov_{t}", f"stddev_pop({xa}) AS _sa_{t}",
-                     f"stddev_pop({xb}) AS _sb_{t}"]
-            entries.append(
-                f"named_struct('col_a', '{a}', 'pos_a', {i}, 'col_b', '{b}', 'pos_b', {j}, "
-                f"'r', {_rounded(f'try_divide(_cov_{t}, _sa_{t} * _sb_{t})', digits)})")
-    wide = df.groupBy(*g).agg(*[F.expr(x) for x in aggs])
-    return (wide.select(*g, F.expr(f"explode(array({', '.join(entries)}))").alias("e"))
-                .select(*g, "e.*"))
+    group, pairwise-complete.  A constant column gives NULL.  ``r`` is rounded to
+    ``digits`` decimals if given: only for output, never before a threshold.
+
+    A task forms the cross products of its rows as matrices (values less the
+    group's minimum, so that a constant column is exactly zero); one aggregation
+    of six sums adds them up by (group, pair).  The plan does not grow with the
+    number of columns."""
+    g, cols = list(group_cols), list(columns)
+    d = len(cols)
+    x = F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols])
+    rows = df.select(F.to_json(F.struct(*g)).alias("gk"), x.alias("x"), *g)
+    low = rows.groupBy("gk").agg(F.array(*[F.min(F.col("x")[k]) for k in range(d)]).alias("lo"), *[F.first(c).alias(c) for c in g])
+    low = cut_lineage(low)
+    # a value a column and group: the bound is checked in values
+    small = low.count() * d <= BROADCAST_MAX_ROWS
+    near = F.broadcast(low.select("gk", "lo")) if small else low.select("gk", "lo")
+    parts = (rows.select("gk", "x").join(near, "gk").select("gk", "x", F.transform("lo", lambda v: F.coalesce(v, F.lit(0.0))).alias("lo"))
+             .mapInArrow(_cross_products(d), "gk string, i int, j int, " + ", ".join(f"{c} double" for c in SUMS)))
+    total = parts.groupBy("gk", "i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+    def spread(s, ss):
+        mean, square = F.try_divide(F.col(s), F.col("n")), F.try_divide(F.col(ss), F.col("n"))
+        # what rounding leaves of a constant column is no spread
+        return F.when(square - mean * mean > 1e-14 * square, square - mean * mean)
+
+    cov = F.try_divide(F.col("sij"), F.col("n")) - F.try_divide(F.col("si"), F.col("n")) * F.try_divide(F.col("sj"), F.col("n"))
+    r = cov / (F.sqrt(spread("si", "sii")) * F.sqrt(spread("sj", "sjj")))
+    names = F.array(*[F.lit(c) for c in cols])
+    shown = r if digits is None else F.round(r, digits)
+    groups = F.broadcast(low.select("gk", *g)) if small else low.select("gk", *g)
+    return total.join(groups, "gk").select(*g, names[F.col("i")].alias("col_a"), F.col("i").alias("pos_a"),
+                                           names[F.col("j")].alias("col_b"), F.col("j").alias("pos_b"), shown.alias("r"))
 
 
 def correlated_features(corr: DataFrame, group_cols, keep=("label",),

@@ -1,9 +1,9 @@
 """Response analysis: merged runs -> cleaned runs -> metric tables.
 
 One lazy DataFrame DAG replaces the reference's CSV hand-offs between
-processes.  ``clean_runs`` is shared by D1, D2 and D11; a caller that
-materialises several outputs should persist it (``prepare_for_metrics``
-does not, so that each registered query stays a single plan).
+processes.  Small sides of anti-joins are materialised while the plan is built
+(``bounded_broadcast``).  D1 and D2 alone are one plan each;
+``summary_and_projects`` makes both from one scan and one exchange.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ def project_metrics(spark, sf_dir: str) -> DataFrame:
     return metrics.project_metrics(evaluated_runs(spark, sf_dir))
 
 
+def summary_and_projects(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """D1 and D2 in one pass."""
+    return metrics.summary_and_projects(evaluated_runs(spark, sf_dir))
+
+
 def best_config(df: DataFrame, comments: bool = True, prompting: str = "fewShot") -> DataFrame:
     """Rows of the selected configuration."""
     return df.where((F.col("comments_included") == F.lit(comments))

@@ -27,6 +27,17 @@ def q_project_metrics(spark, sf_dir):
     return analysis.project_metrics(spark, sf_dir)
 
 
+@register("summary_and_projects", sql("""
+  SELECT model, comments_included, prompting, NULL AS project, total_inferences, precision, recall, f1, tp, fp, tn, fn FROM summary
+  UNION ALL SELECT model, comments_included, prompting, project, NULL, precision, recall, f1, tp, fp, tn, fn FROM project_metrics"""))
+def q_summary_and_projects(spark, sf_dir):
+    """D1 and D2 from one scan and one exchange (grouping sets)."""
+    summary, projects = analysis.summary_and_projects(spark, sf_dir)
+    cols = ["model", "comments_included", "prompting", "project", "total_inferences", "precision", "recall", "f1", "tp", "fp", "tn", "fn"]
+    return (summary.withColumn("project", F.lit(None).cast("string")).select(*cols)
+            .unionByName(projects.withColumn("total_inferences", F.lit(None).cast("bigint")).select(*cols)))
+
+
 @register("coverage_counts", sql("""
   SELECT model, comments_included, prompting, count(*) AS total_inferences, count(response) AS responses,
     count(prediction) AS yes_no, count(interpreted) AS heuristic

@@ -12,6 +12,8 @@ from binscore.operators import joins, metrics, ranking, reshape, stats
 from binscore.plans import analysis, comparison
 from binscore.plans.catalog import register
 from binscore.plans.oracle import cte, sql
+from binscore.plans.oracle_learners import draws, scr
+from binscore.session import cut_lineage
 from binscore.sources import testbed
 
 G = ("project", "algorithm", "arm")
@@ -56,6 +58,24 @@ def q_roc_curve(spark, sf_dir):
     return ranking.roc_curve(p, G).select(*G, "threshold", "fpr", "tpr")
 
 
+@register("roc_points", sql(f"""
+  SELECT {GS}, threshold, CAST(fps AS DOUBLE) / nullif(N, 0) AS fpr, CAST(tps AS DOUBLE) / nullif(P, 0) AS tpr
+  FROM (SELECT {GS}, score AS threshold, npos, nneg, sum(npos) OVER (PARTITION BY {GS} ORDER BY score DESC) AS tps,
+      sum(nneg) OVER (PARTITION BY {GS} ORDER BY score DESC) AS fps,
+      sum(npos) OVER (PARTITION BY {GS}) AS P, sum(nneg) OVER (PARTITION BY {GS}) AS N,
+      row_number() OVER (PARTITION BY {GS} ORDER BY score DESC) AS place,
+      lead(npos) OVER (PARTITION BY {GS} ORDER BY score DESC) AS npos2,
+      lead(nneg) OVER (PARTITION BY {GS} ORDER BY score DESC) AS nneg2
+    FROM (SELECT {GS}, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS npos,
+            sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS nneg FROM predictions GROUP BY ALL))
+  WHERE place = 1 OR npos2 IS NULL OR npos <> npos2 OR nneg <> nneg2
+  UNION ALL SELECT {GS}, NULL, CASE WHEN bool_or(label = 0) THEN 0.0 END, CASE WHEN bool_or(label = 1) THEN 0.0 END
+  FROM predictions GROUP BY {GS}"""))
+def q_roc_points(spark, sf_dir):
+    """D18 as plotted: without points on a straight, equally spaced stretch."""
+    return ranking.roc_points(testbed.predictions(spark, sf_dir), G)
+
+
 @register("roc_auc", sql(f"SELECT {GS}, auc FROM auc"))
 def q_roc_auc(spark, sf_dir):
     return ranking.roc_auc(testbed.predictions(spark, sf_dir), G)
@@ -302,6 +322,32 @@ def q_bar_means(spark, sf_dir):
     return metrics.bar_means(joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY), CHART_KEY)
 
 
+def _mean_interval(source: str, keys: str, row: str) -> str:
+    """Mean and 95 % bootstrap interval of ``f1`` in each cell of ``keys``."""
+    h = scr(f"('0x' || substr(md5({row}), 1, 8))::BIGINT % 2147483647", "b")
+    return f"""
+  SELECT {keys}, any_value(mean) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (
+    SELECT {keys}, b, avg(f1) AS mean, sum(t * f1) / nullif(sum(t), 0) AS m
+    FROM (SELECT *, {draws(1.0, 'h')} AS t FROM (SELECT *, {h} AS h FROM {source}, range(1000) r(b)))
+    GROUP BY {keys}, b) GROUP BY {keys}"""
+
+
+@register("bar_intervals", sql(f"""
+  SELECT prompting, model, project, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (
+    SELECT prompting, model, project, mean, low, high
+    FROM ({_mean_interval(_BARS, 'prompting, model, project', "prompting || '/' || project || '/' || model")})
+    UNION ALL SELECT prompting, model, NULL, mean, low, high
+    FROM ({_mean_interval(_BARS, 'prompting, model', "prompting || '/' || project || '/' || model")}))"""))
+def q_bar_intervals(spark, sf_dir):
+    """The charts' bars with their error bars, and those of each model
+    over all projects (no project)."""
+    rows = cut_lineage(joins.anti_join_zero_f1(_chart_base(spark, sf_dir), CHART_KEY))
+    key = ["prompting", "project", "model"]
+    bars = metrics.bar_intervals(rows, ["prompting", "model", "project"], "f1", key)
+    overall = metrics.bar_intervals(rows, ["prompting", "model"], "f1", key).withColumn("project", F.lit(None).cast("string"))
+    return bars.unionByName(overall).select("prompting", "model", "project", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
 @register("project_order", sql(f"""
   SELECT prompting, project, max_f1,
     CAST(row_number() OVER (PARTITION BY prompting ORDER BY max_f1 DESC, project) AS INTEGER) AS position

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binscore import session
-from binscore.operators import joins, learn, linear, ranking
+from binscore.operators import joins, learn, linear, ranking, stats
 from binscore.plans import comparison, inference
 from binscore.sources import files, testbed
 from conftest import SF_SMOKE
@@ -43,10 +43,69 @@ def test_broadcast_bound_counts_bytes(spark):
     assert "ResolvedHint" not in joins.bounded_broadcast(df, max_rows=9)._jdf.queryExecution().analyzed().toString()
 
 
-def test_ranges_follow_the_largest_group(spark):
-    hist = spark.range(3_000).select(F.when(F.col("id") < 1_000, 0).otherwise(F.col("id")).alias("g"), "id")
-    assert ranking.range_count(hist, ["g"], 100) == 10
-    assert ranking.range_count(hist.limit(0), ["g"], 100) == 1
+def test_prefix_sums_have_no_bound_search(spark):
+    """Ranks and curves: rows are cut by a sort; no row carries an array of
+    bounds, and only groups that cross an edge get an offset."""
+    rows = [("big", float(i % 997), i % 3 == 0) for i in range(4_000)] + [(f"g{i % 40}", float(i % 7), i % 2 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, score double, y boolean").select("g", "score", F.col("y").cast("int").alias("label"))
+    curve = ranking.running_counts(df, ["g"], n_buckets=16)
+    assert "filter(" not in plan_of(curve).lower().replace("filter (", "")
+    hist = ranking.in_ranges(ranking.score_histogram(df, ["g"]), ["g"], "score", 16)
+    assert hist.where("g = 'big'").select(ranking.RANGE).distinct().count() > 5
+    big = {r.threshold: (r.tps, r.fps) for r in curve.where("g = 'big'").collect()}
+    assert all(v == (sum(y for g, s, y in rows if g == "big" and s >= t), sum(not y for g, s, y in rows if g == "big" and s >= t))
+               for t, v in list(big.items())[::50])
+
+
+def test_curve_points_without_straight_stretches(spark):
+    """Steps that repeat are dropped, across range edges as well."""
+    rows = [("a", float(i), int(i >= 60)) for i in range(100)] + [("b", float(i % 5), i % 2) for i in range(30)] + [("c", 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    one, many = (sorted(map(repr, ranking.roc_points(df, ["g"], n_buckets=n).collect())) for n in (1, 13))
+    assert one == many
+    a = [(r.threshold, r.fpr, r.tpr) for r in ranking.roc_points(df, ["g"], n_buckets=13).where("g = 'a'").orderBy(F.desc("threshold")).collect()]
+    assert a == [(99.0, 0.0, 1 / 40), (60.0, 0.0, 1.0), (0.0, 1.0, 1.0), (None, 0.0, 0.0)]
+    c = sorted(map(tuple, ranking.roc_points(df, ["g"]).where("g = 'c'").select("threshold", "fpr", "tpr").collect()), key=repr)
+    assert c == sorted([(1.0, None, 1.0), (None, None, 0.0)], key=repr)
+
+
+def test_many_columns_correlate_in_one_aggregation(spark):
+    """500 columns: the plan has one aggregation of six sums for all pairs."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 500))
+    x[:, 1] = 3.0
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], ["g", *[f"c{i}" for i in range(500)]])
+    out = stats.correlation_matrix(df, ["g"], [f"c{i}" for i in range(500)])
+    assert "sum(si#" in plan_of(out) and plan_of(out).count("c499") < 20
+    got = {(r.pos_a, r.pos_b): r.r for r in out.collect()}
+    assert len(got) == 500 * 499 // 2 and got[0, 1] is None and got[1, 7] is None
+    want = np.corrcoef(x.T)
+    assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in ((0, 2), (3, 499), (250, 251)))
+
+
+def test_both_summaries_come_from_one_exchange(spark):
+    from binscore.operators import metrics
+    rows = [("m", True, "zeroShot", "p", 1, 1, "yes", None), ("m", True, "zeroShot", None, 0, 1, "yes", None),
+            ("m", True, "zeroShot", "q", 0, None, None, None), ("m", None, "zeroShot", "q", 1, 1, "yes", None),
+            ("m", True, "fewShot", "p", 1, 0, "no", None)]
+    df = spark.createDataFrame(rows, "model string, comments_included boolean, prompting string, project_name string, label int, "
+                                     "prediction int, response string, interpreted int")
+    summary, projects = metrics.summary_and_projects(df)
+    assert sorted(map(repr, summary.collect())) == sorted(map(repr, metrics.config_summary(df).collect()))
+    assert sorted(map(repr, projects.collect())) == sorted(map(repr, metrics.project_metrics(df).collect()))
+
+
+def test_bar_intervals_hold_the_mean_and_agree(spark):
+    from binscore.operators import metrics
+    rows = [("a", f"r{i}", i / 10) for i in range(20)] + [("b", "only", 0.25), ("c", "null", None)]
+    df = spark.createDataFrame(rows, "k string, r string, v double")
+    got = {r.k: r for r in metrics.bar_intervals(df, ["k"], "v", ["k", "r"]).collect()}
+    again = {r.k: r for r in metrics.bar_intervals(df.repartition(5), ["k"], "v", ["k", "r"]).collect()}
+    assert set(got) == {"a", "b"} and all(abs(got[k][i] - again[k][i]) < 1e-12 for k in got for i in (1, 2, 3))
+    assert (got["b"]["mean"], got["b"].low, got["b"].high) == (0.25, 0.25, 0.25)
+    # a normal interval of the mean is 0.95 -+ 0.25
+    assert got["a"].low < got["a"]["mean"] < got["a"].high and 0.35 < got["a"].high - got["a"].low < 0.65
 
 
 def test_no_machine_local_folder_on_a_cluster(spark):
@@ -129,4 +188,5 @@ def test_one_class_and_empty_training_sets(spark):
         one = linear.fit_linear(spark.createDataFrame([("x", 1.0, 1, 0.5), ("x", None, 1, 0.5)], schema), flags, ["g"], ["a"],
                                 algorithm, max_steps=5)
         assert np.isfinite(one.first().w).all() and one.first().w[-1] > 0
+        assert one.first().converged == (algorithm == "SVM")  # one class: the logistic loss has no least value
         assert linear.fit_linear(spark.createDataFrame([], schema), flags, ["g"], ["a"], algorithm).count() == 0
