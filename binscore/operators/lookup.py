@@ -61,16 +61,15 @@ def file_key(path) -> Column:
 
 
 def lookup_text(df: DataFrame, files: DataFrame, path_col: str, out: str,
-                project: str = "project_name", dirs: DataFrame | None = None,
-                few: bool = False) -> DataFrame:
+                project: str = "project_name", dirs: DataFrame | None = None) -> DataFrame:
     """C4: left lookup of the text of ``path_col`` in ``files``
     (project, path, text) through the alias (B3), the directory case
     variants (B4) and the path normalisation (B5).  ``out`` is NULL when
     the file is missing.
 
-    ``few`` (``df`` has few rows next to ``files``, as exemplars have): the
-    files are first reduced by the looked-up keys, broadcast if their size
-    allows it, so the texts of all other files are not shuffled."""
+    The files are first reduced by the looked-up keys, broadcast if their size
+    allows it, so the texts of files that nobody asked for are not shuffled;
+    beyond that size the reduction and the lookup share one exchange."""
     aliased = df.withColumn("_proj", alias_project(project))
     dir_map = resolve_project_dirs(aliased, dirs if dirs is not None else files.select("project"),
                                    "_proj", "_dir")
@@ -80,9 +79,8 @@ def lookup_text(df: DataFrame, files: DataFrame, path_col: str, out: str,
                     .withColumn("_key", file_key(path_col)))
     right = files.select(F.col("project").alias("_dir"), F.col("path").alias("_key"),
                          F.col("text").alias(out))
-    if few:
-        wanted = keyed.select("_dir", "_key").distinct()
-        right = right.join(bounded_broadcast(wanted, materialize=True), ["_dir", "_key"], "left_semi")
+    wanted = keyed.select("_dir", "_key").distinct()
+    right = right.join(bounded_broadcast(wanted, materialize=True), ["_dir", "_key"], "left_semi")
     return keyed.join(right, ["_dir", "_key"], "left").drop("_proj", "_dir", "_key")
 
 

@@ -61,7 +61,7 @@ def exemplar_texts(spark, sf_dir: str, variant: str = "with", samples_df=None) -
                                 for k in EXEMPLAR_KINDS]))
     paths = [f"{k}_example" for k in EXEMPLAR_KINDS]
     long = ex.select("project_name", *paths, kinds.alias("_k")).select("project_name", *paths, "_k.*")
-    found = lookup.lookup_text(long, files, "example", "text", dirs=files.select("project"), few=True)
+    found = lookup.lookup_text(long, files, "example", "text", dirs=files.select("project"))
     return found.groupBy("project_name", *paths).agg(*[
         F.max(F.when(F.col("kind") == k, F.col("text"))).alias(f"{k}_text") for k in EXEMPLAR_KINDS])
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from binscore.functions import text as T
 from binscore.functions.prompts import render_prompt
-from binscore.operators import joins, lookup, metrics, score
+from binscore.operators import joins, lookup, metrics, score, tokens
 from binscore.plans import analysis, inference
 from binscore.plans.catalog import register
-from binscore.plans.oracle import has_err, sql, ws_tokens
+from binscore.plans import queries_pipeline  # noqa: F401  (SQL of the prompts without comments)
+from binscore.plans.oracle import cnt, has_err, sql, ws_tokens
 from binscore.session import scratch_dir
 from binscore.sources import files, testbed
 from binscore.streaming import incremental
@@ -159,6 +160,19 @@ def q_prompt_token_size(spark, sf_dir):
              .unionByName(f.select(F.lit("fewShot").alias("prompting"), "doc_id", "prompt_tokens")))
 
 
+@register("prompt_token_size_bpe")
+def q_prompt_token_size_bpe(spark, sf_dir):
+    """B9 with a public byte-level tokenizer plugged in, over the prompts as a chat
+    model gets them; held against the library in tests, as SQL has no merges."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = [tokens.prompt_sizes(rows.select("doc_id", "prompt"), "prompt", tokens.CHATML, tokens.LibraryTokenizer, path)
+           .select(F.lit(style).alias("prompting"), "doc_id", "prompt_tokens")
+           for style, rows in (("zeroShot", inference.zero_shot_inputs(spark, sf_dir, "with")),
+                               ("fewShot", inference.few_shot_inputs(spark, sf_dir, "with")))]
+    return out[0].unionByName(out[1])
+
+
 @register("classify_failure", sql("""
   SELECT 'zeroShot' AS prompting, doc_id, status, failure FROM zs_in
   UNION ALL SELECT 'fewShot', doc_id, status, failure FROM fs_in"""))
@@ -337,22 +351,46 @@ def q_combine_batches(spark, sf_dir):
     return files.combine_batches(spark, paths)
 
 
+def _staged_prompts(spark, sf_dir, prompts_dir, comments="with"):
+    keys = ["doc_id", "project_name", "github_path", "label", "failure"]
+    staged = inference.zero_shot_inputs(spark, sf_dir, comments).select(*keys, render_prompt("prompt").alias("prompt_text"))
+    staged.write.mode("append").parquet(prompts_dir)
+    return keys, spark.read.parquet(prompts_dir).schema
+
+
 @register("score_incremental", sql(f"SELECT {_RAW} FROM zs_scored"))
 def q_score_incremental(spark, sf_dir):
-    """Prompts staged as parquet files, scored by an availableNow stream
-    (one input file per micro-batch) into a parquet sink."""
+    """Prompts staged as parquet files, scored by an availableNow stream into
+    a parquet sink."""
     root = scratch_dir(spark, "incremental")
     prompts_dir, out_dir, ckpt = (os.path.join(root, x) for x in ("prompts", "scored", "checkpoint"))
-    keys = ["doc_id", "project_name", "github_path", "label", "failure"]
-    staged = inference.zero_shot_inputs(spark, sf_dir, "with").select(
-        *keys, render_prompt("prompt").alias("prompt_text"))
-    staged.write.mode("overwrite").parquet(prompts_dir)
-    schema = spark.read.parquet(prompts_dir).schema
+    keys, schema = _staged_prompts(spark, sf_dir, prompts_dir)
     out = incremental.run_incremental(spark, prompts_dir, out_dir, ckpt, schema, "prompt_text", keys)
     return out.select("doc_id", "project_name", "github_path", "label", "response", "prediction",
                       F.coalesce("failure", "score_error").alias("errors"), "token_size")
 
 
+@register("run_report", sql(f"""
+  SELECT 1 AS run, 0::BIGINT AS start_row, count(*) AS rows, {cnt(f"token_size > {score.CONTEXT_TOKENS}")} AS errors, true AS timed
+  FROM zs_scored HAVING count(*) > 0
+  UNION ALL SELECT 2, count(*), count(*), {cnt(f"n > {score.CONTEXT_TOKENS}")}, true
+  FROM (SELECT CASE WHEN prompt_text IS NOT NULL THEN {ws_tokens('prompt_text')} END AS n FROM nc_zs_in) HAVING count(*) > 0"""))
+def q_run_report(spark, sf_dir):
+    """Three runs of a scorer that refuses long prompts: the prompts with
+    comments; the same again, which finds nothing; those without comments added."""
+    root = scratch_dir(spark, "report")
+    prompts_dir, out_dir, ckpt, report = (os.path.join(root, x) for x in ("prompts", "scored", "checkpoint", "report"))
+    for comments in ("with", None, "without"):
+        if comments:
+            keys, schema = _staged_prompts(spark, sf_dir, prompts_dir, comments)
+        incremental.run_incremental(spark, prompts_dir, out_dir, ckpt, schema, "prompt_text", keys, score.ThirdPredictor,
+                                    report_dir=report)
+    per_run = incremental.read_report(spark, report).groupBy(F.col("run").alias("_run")).agg(
+        F.min("start_row").alias("start_row"), F.sum("rows").alias("rows"), F.sum("errors").alias("errors"),
+        ((F.min("seconds") > 0) & (F.max("total_seconds") >= F.sum("seconds") - 1e-6)).alias("timed"))
+    return per_run.select(F.when(F.col("start_row") == 0, 1).otherwise(2).alias("run"), "start_row", "rows", "errors", "timed")
+
+
 @register("scan_pruned", sql("SELECT doc_id, source FROM documents"))
 def q_scan_pruned(spark, sf_dir):
     """A2: only the named columns are read (the scan's ReadSchema holds

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from binscore.session import scratch_dir
+from binscore.sources.csv_blocks import read_csv_records
+
 # ---- fixed values ------------------------------------------------------------
 # Strings that pandas' read_csv turns into a missing value by default.
 NA_TOKENS = (
@@ -47,10 +50,10 @@ def na_to_null(df: DataFrame, columns=None) -> DataFrame:
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A1: header CSV with an explicit schema; NA tokens -> NULL.  String
     columns are read as text first so that a token like ``NA`` in a numeric
-    column also becomes NULL instead of failing the cast."""
+    column also becomes NULL instead of failing the cast.  A large file is read
+    by many tasks (``csv_blocks``)."""
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    as_text = StructType([f.__class__(f.name, StringType(), True) for f in target.fields])
-    raw = spark.read.options(**CSV_OPTIONS).schema(as_text).csv(path)
+    raw = read_csv_records(spark, path, target.names, CSV_OPTIONS)
     cleaned = na_to_null(raw, [f.name for f in target.fields])
     return cleaned.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
 
@@ -112,12 +115,9 @@ def scan_runs_dir(spark: SparkSession, folder: str, schema: StructType | str) ->
     one schema, so columns missing from a file (zero-shot runs have no
     exemplar columns) read as NULL."""
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    as_text = StructType([f.__class__(f.name, StringType(), True) for f in target.fields])
-    raw = (spark.read.options(**CSV_OPTIONS).schema(as_text)
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(folder)
-           .select("*", F.col("_metadata.file_path").alias("_fp")))
+    raw = read_csv_records(spark, folder, target.names, CSV_OPTIONS, recursiveFileLookup="true", pathGlobFilter="*.csv")
     base = _regex_quote(folder.rstrip("/").replace("file:", "") + "/")
-    rel = F.regexp_replace(F.regexp_replace(F.col("_fp"), r"^file:(//)?", ""), "^" + base, "")
+    rel = F.regexp_replace(F.regexp_replace(F.col("_file"), r"^file:(//)?", ""), "^" + base, "")
     entry = F.regexp_extract(rel, r"^([^/]+)", 1)
     prefix_ok = reduce(lambda a, b: a | b, [entry.startswith(p) for p in MODEL_PREFIXES])
     kept = na_to_null(raw.where(prefix_ok & entry.endswith(".csv")), [f.name for f in target.fields])
@@ -139,34 +139,53 @@ def _store(root: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "/", root))
 
 
-def _empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(project, path) of the files of length 0, which Spark's file sources
-    leave out.  The projects are listed here, their trees in the tasks."""
+#: Tasks of a level of the walk at most; each lists its folders one by one.
+WALK_TASKS = 10_000
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` (below ``root``), ``size`` of every file, level by level: the
+    folders of a level are rows dealt to tasks, what they hold is written to the
+    shared folder and its folders are the next level.  So a large project is
+    spread like any other, and the driver only counts the folders of a level."""
     def listed(batches):
         import pyarrow as pa
         from pyarrow import fs
         store, base = _store(root)
-        cut = len(base.rstrip("/")) + 1
+        base = base.rstrip("/")
         for batch in batches:
-            for project in batch["project"].to_pylist():
-                infos = store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{project}", recursive=True))
-                names = [i.path[cut + len(project) + 1:] for i in infos if i.type == fs.FileType.File and i.size == 0]
-                yield pa.RecordBatch.from_arrays([pa.array([project] * len(names), pa.string()), pa.array(names, pa.string())],
-                                                 names=["project", "path"])
+            for folder in batch.column("folder").to_pylist():
+                infos = store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i.path[len(base) + 1:] for i in infos], pa.string()),
+                     pa.array([None if i.type == fs.FileType.Directory else i.size for i in infos], pa.int64())], names=["path", "size"])
+
+    schema = "path string, size long"
+    levels, frontier, n = [], spark.createDataFrame([("",)], "folder string"), 1
+    while n:
+        at = scratch_dir(spark, f"walk-{len(levels)}")
+        frontier.repartition(min(n, WALK_TASKS)).mapInArrow(listed, schema).write.parquet(at)
+        level = spark.read.schema(schema).parquet(at)
+        levels.append(level.where("size IS NOT NULL"))
+        frontier = level.where("size IS NULL").select(F.col("path").alias("folder"))
+        n = frontier.count()
+    return reduce(DataFrame.unionByName, levels)
 
-    from pyarrow import fs
-    store, base = _store(root)
-    projects = [(i.base_name,) for i in store.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
-    return (spark.createDataFrame(projects, "project string").repartition("project")
-            .mapInArrow(listed, "project string, path string"))
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(project, path) of the files of length 0, which Spark's file sources
+    leave out."""
+    empty = walk(spark, root).where((F.col("size") == 0) & F.col("path").contains("/"))
+    return empty.select(F.substring_index("path", "/", 1).alias("project"), F.regexp_replace("path", "^[^/]+/", "").alias("path"))
 
 
 def read_source_tree(spark: SparkSession, root: str, empty_files: bool = True) -> DataFrame:
     """A4: every file under ``root/<project>/<path>`` as (project, path,
     text).  Files are read by the ``binaryFile`` source, split across
     tasks; nothing passes through the driver.  That source skips empty files;
-    they are listed beside it, through Arrow, unless ``empty_files`` is off (for
-    file systems that only Spark knows)."""
+    they are found by a walk beside it, through Arrow, unless ``empty_files`` is
+    off (for file systems that only Spark knows)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .where("length > 0").select("path", "content"))
     base = root.rstrip("/") + "/"
