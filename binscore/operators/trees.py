@@ -28,6 +28,7 @@ feature, then the smallest cut.  A tree that drew no row does not vote.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +170,8 @@ def best_splits(counts: DataFrame) -> DataFrame:
     if no sampled feature separates rows).  Classes weigh N / (2 N_class) of the
     tree's drawn rows; the split with the least weighted entropy is best."""
     node = ["gk", "arm", "slab", "node"]
-    summed = counts.groupBy(*node, "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")],
+    # one exchange serves the sums, the windows and the choice: what a block sends is summed already
+    summed = counts.repartition(*node).groupBy(*node, "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")],
                                                          *[F.max(c).alias(c) for c in ("r0", "r1")])
     whole = Window.partitionBy(*node, "feature")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -272,13 +274,17 @@ def fit_forest(train: DataFrame, flags: DataFrame, group, feature_cols, forest:
                       roots("slab", F.least(F.col("width"), F.lit(forest.trees) - F.col("slab"))).alias("nodes"), F.lit(True).alias("open")))
     models = cut_lineage(models)
     grow, slab = _grow(forest), ["gk", "arm", "slab"]
-    while not models.where("open").isEmpty():
-        live = models.where("open").drop("open")
+    done = []
+    while not models.isEmpty():
+        live = models.drop("open")
         sent = broadcast_within(live, F.octet_length("nodes") + 64)
         counts = blocks.join(sent, "gk").mapInArrow(_histograms(d, forest), HISTOGRAM)
         grown = (live.join(best_splits(counts), slab, "left")
                  .select(*slab, "used", grow("nodes", "used", "found").alias("s")).select(*slab, "used", "s.nodes", "s.open"))
-        models = cut_lineage(models.where("NOT open").unionByName(grown))
+        grown = cut_lineage(grown)
+        done.append(grown.where("NOT open"))
+        models = grown.where("open")
+    models = reduce(DataFrame.unionByName, done, models)
     return _finished(models.drop("open").join(broadcast_within(edges, edge_bytes), "gk"), d)
 
 
