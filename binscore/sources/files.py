@@ -133,7 +133,7 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def _store(root: str):
+def arrow_store(root: str):
     """Arrow's file system for a path or URI, and the path in it."""
     from pyarrow import fs
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "/", root))
@@ -151,7 +151,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     def listed(batches):
         import pyarrow as pa
         from pyarrow import fs
-        store, base = _store(root)
+        store, base = arrow_store(root)
         base = base.rstrip("/")
         for batch in batches:
             for folder in batch.column("folder").to_pylist():
@@ -215,7 +215,7 @@ def write_source_tree(df: DataFrame, root: str, encoding_col: str | None = None)
 
     def write(batches):
         import pandas as pd
-        store, base = _store(root)
+        store, base = arrow_store(root)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
