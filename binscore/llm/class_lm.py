@@ -402,13 +402,32 @@ def _first_classes(of_unit: np.ndarray | None, units: dict[int, dict[int, int]],
 
 
 def frequent_words(tables: Tables, n: int) -> list[tuple[int, int]]:
-    """``home, hash`` of the ``n`` most frequent training words: a top-k."""
+    """``home, hash`` of the ``n`` most frequent training words: a top-k.  How
+    many words have at least 2^k occurrences is counted first, so that buckets
+    send only words that can be among them."""
+    def sizes(batches):
+        total = np.zeros(64, np.int64)
+        for batch in batches:
+            for blob in batch.column("words").to_pylist():
+                counts = _read_words(blob)[1]
+                total += np.bincount(np.frexp(counts[counts > 0].astype(float))[1], minlength=64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n"])
+
+    table = tables.buckets.select("words").mapInArrow(sizes, "n array<bigint>")
+    found = {r.k: r.n for r in table.select(F.posexplode("n").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    least, seen = 1, 0
+    for k in reversed(range(1, 64)):
+        seen += found.get(k, 0)
+        if seen >= n:
+            least = 1 << (k - 1)
+            break
+
     def listed(batches):
         for batch in batches:
             for home, blob in zip(batch.column("home").to_pylist(), batch.column("words").to_pylist()):
                 h, counts, _ = _read_words(blob)
-                at = np.argsort(-counts, kind="stable")[:n]
-                at = at[counts[at] > 0]
+                at = np.flatnonzero(counts >= least)
+                at = at[np.lexsort((h.view(np.int64)[at], -counts[at]))][:n]
                 yield pa.RecordBatch.from_arrays([pa.array([home] * len(at), pa.int64()), pa.array(h.view(np.int64)[at]),
                                                   pa.array(counts[at])], names=["home", "word", "n"])
     rows = tables.buckets.select("home", "words").mapInArrow(listed, "home long, word long, n long")
