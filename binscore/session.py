@@ -71,11 +71,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> bool:
-    """Delete this session's staged folders (all ``scratch_dir`` gave out), by
-    the engine's file API.  For the end of a job: DataFrames that read them no
-    longer work afterwards.  True if there were any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "binscore"))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this session's staged folders (all ``scratch_dir`` gave out, and
+    tables staged beside them), by the engine's file API.  For the end of a job:
+    DataFrames that read them no longer work afterwards.  True if there were any."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.listStatus(root) if s.getPath().getName() == "binscore" or s.getPath().getName().startswith("llm-")]
+    return any([store.delete(path, True) for path in found])
 
 
 def cut_lineage(df):
