@@ -6,7 +6,9 @@ chunk that has it and put at the token's positions (``dictionary.py``).
 Decoding joins the token-byte table, whose size is the tokenizer's.
 
 Defined results: a null or empty text has no ids; rows that repeat a document
-are each encoded; a null id stays null.
+are each encoded; a null id stays null; an empty table gives no rows; whole
+texts are encoded whatever their length; other columns are not read.  There are
+no ties: ranks differ.
 """
 
 from __future__ import annotations

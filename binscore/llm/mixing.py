@@ -15,7 +15,9 @@ place of the running sum of words in that order.
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; rows that repeat a document (same id, source and size) tie and
 share the part that falls on them evenly, rounded down; a null id counts as
-the text ``null`` in the key; an empty table gives an empty result.
+the text ``null`` in the key; an empty table gives an empty result; a text's
+length does not matter, as only its number of words is kept; other columns are
+carried along by ``mixed_documents`` and not read else.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ cloud access key id) and ``secret`` (a quoted value of 16 or more characters
 after a cue such as ``token`` or ``password``).
 
 Offsets are code points, ends exclusive.  Defined results: a null text counts
-as empty and stays null when redacted; repeated rows give equal results.
+as empty and stays null when redacted; repeated rows give equal results; an
+empty table gives no rows; whole texts are read whatever their length; other
+columns are carried along when redacting, and not read else.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ arrays.
 
 Defined results: a null or empty text has zero statistics and a score like any
 other; without labelled rows, or with one class only, the score is the share
-of label 1 (0.5 without rows); repeated rows score alike.
+of label 1 (0.5 without rows); repeated rows score alike; an empty table gives no
+rows; whole texts count whatever their length; equal gains: the first feature;
+other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,6 +16,12 @@
   steps, each checkpointed.
 
 Only distinct fingerprints take part, so copies cost one row.
+
+Defined results: a null or empty text has fingerprint zero and links with its
+like; a bit that half of the hashes have is 0; repeated rows have one
+fingerprint; the component's id is its smallest id, null if it has none; an
+empty table gives no rows; whole texts count whatever their length; other columns
+are carried along by ``keep_one`` and not read else.
 """
 
 from __future__ import annotations

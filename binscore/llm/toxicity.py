@@ -15,12 +15,15 @@
 * a text's score is a logistic function of the evidence ``sum of -log10 E``
   over its significant segments and of its best segment.
 
-The model is learnt from a bounded sample of labelled rows (``MAX_ROWS``) and
-holds at most ``MAX_TERMS`` tokens; every whole text is scored.
+The model is learnt from a bounded sample of labelled rows (``MAX_ROWS``), which
+bounds its terms; the noise threshold ``Z`` alone decides which are kept.  Every
+whole text is scored.
 
 Defined results: a null or empty text has no segment and the score of no
 evidence; without labelled rows of both classes the score is the share of
-label 1 (0 without rows); repeated rows score alike.
+label 1 (0 without rows); repeated rows score alike; an empty table gives no
+rows; of equally significant terms of a token the longest counts first; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ from binscore.llm.dictionary import take_lists
 from binscore.llm.textstats import LETTER
 
 MAX_ROWS = 15_000
-MAX_TERMS = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of the pooled counts in the prior, as a share of the counts.
 PRIOR = 0.05
@@ -200,13 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             counts.unpersist()
             share = share or 0.0
             return Model({}, weights=(float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0))
-        # log-odds and their z-score; terms beyond the noise, at most MAX_TERMS by |z|
+        # log-odds and their z-score; terms beyond the noise, as many as the sample has
         n1, n0 = float(total[0]), float(total[1])
         prior, mass = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")), PRIOR * (n1 + n0)
         a, b = F.col("toxic") + prior, F.col("clean") + prior
         delta = F.log(a / (n1 + mass - a)) - F.log(b / (n0 + mass - b))
         terms = (counts.select("term", delta.alias("delta"), (delta / F.sqrt(1 / a + 1 / b)).alias("z"))
-                 .where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).toPandas())
+                 .where(F.abs("z") >= Z).toPandas())
         counts.unpersist()
         model = Model({bytes(w): (abs(float(z)), float(d)) for w, d, z in zip(terms["term"], terms["delta"], terms["z"])})
         sent = docs.sparkSession.sparkContext.broadcast(model)
