@@ -22,7 +22,7 @@ whole text is scored.
 Defined results: a null or empty text has no segment and the score of no
 evidence; without labelled rows of both classes the score is the share of
 label 1 (0 without rows); repeated rows score alike; an empty table gives no
-rows; of equally significant terms of a token the longest counts first; other
+rows; of equally significant terms of a token the larger log-odds count; other
 columns are not read.
 """
 
