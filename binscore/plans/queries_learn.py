@@ -87,6 +87,16 @@ def q_arm_features(spark, sf_dir):
     return evaluation.ml_inputs(spark, sf_dir).used
 
 
+@register("arm_features_reference", sql(f"""
+  SELECT k.project, a.arm, f.feature FROM (SELECT project FROM skip_rule WHERE skip_reason IS NULL) k,
+    (VALUES (0), (1)) a(arm), (VALUES {', '.join(f"('{x}')" for x in FEATS)}) f(feature)
+  WHERE (k.project, a.arm, f.feature) NOT IN (SELECT project, arm, feature FROM dropped)"""))
+def q_arm_features_reference(spark, sf_dir):
+    """B18 as the original did it: the arm without the ablatable features leaves
+    them out of the correlation screening only."""
+    return evaluation.ml_inputs(spark, sf_dir, "reference").used
+
+
 @register("minmax_scale", sql("""
   SELECT project, github_path, split, feature, round(x, 12) AS x FROM scaled_long"""))
 def q_minmax_scale(spark, sf_dir):
