@@ -1,36 +1,37 @@
 """Linear learners (I3 logistic regression, I6 linear SVM) for all groups and
-arms at once: one aggregation of the train rows per Newton step.
+arms at once.
 
 Both minimise ``|w|^2 / 2 + C sum_i weight_i loss_i``: the logistic loss with
 a free intercept, or the squared hinge with a penalised one.  Both problems
 have one optimum, so the result does not depend on the solver.
 
-A step joins the train rows with the models of unfinished groups (one row per
-group and arm), sums loss, gradient and Hessian inside the tasks, adds the
-sums up per position and solves the small systems where those rows lie.  A
-step that raises the loss is halved.  Models are checkpointed after each step;
-the driver only counts unfinished ones.  A model that is unfinished after the
-last step is marked (``converged`` false); logistic regression of rows of one
-class has no optimum and is always so.
+Models take damped Newton steps: a step that raises the loss is halved.  The
+train rows are packed once into blocks of a group.  A group of one block is
+solved where the block is read.  Groups of several blocks take their steps
+together: each block sums loss, gradient and Hessian for the models it meets,
+one aggregation a step adds them up per position, and the small systems are
+solved where those rows lie; models are checkpointed after each step.  A model
+that is unfinished after the last step is marked (``converged`` false);
+logistic regression of rows of one class has no optimum and is always so.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
+from binscore.operators.blocks import BLOCK, blocks_of, broadcast_within, feature_array, group_columns, group_key
+from binscore.operators.joins import bounded_broadcast
 from binscore.session import cut_lineage
 
 MAX_STEPS = 40
 #: A group is done when no weight moves by more than this.
 STEP_TOLERANCE = 1e-8
-#: Partial sums of this many (group, arm) models are held in a task.
-HELD = 1024
 
 
 def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,63 +50,78 @@ def _squared_hinge(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nd
 LOSSES: dict[str, tuple[Callable, bool]] = {"LR": (_logistic, False), "SVM": (_squared_hinge, True)}
 
 
-def _partial_sums(loss: Callable, d: int):
-    """Per model: loss, gradient and Hessian over the rows of a partition, as
-    one array of ``1 + d + d * d`` numbers."""
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
+def _sums(loss: Callable, x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian over rows, as ``1 + d + d * d`` numbers."""
+    value, first, second = (weight * part for part in loss(x @ w, y))
+    return np.concatenate([[value.sum()], first @ x, ((second[:, None] * x).T @ x).ravel()])
+
+
+class Newton:
+    """One model's damped steps: ``at`` is tried next, ``good`` the best so far."""
+
+    def __init__(self, at, good, best, used, penalised_intercept: bool):
+        self.at, self.good, self.best, self.on, self.done = np.array(at), np.array(good), best, np.array(used) > 0, False
+        self.penalty = np.ones(len(self.at))
+        self.penalty[-1] = 1.0 if penalised_intercept else 0.0
+
+    def step(self, total: np.ndarray, c: float) -> None:
+        """``total``: the sums at ``at``."""
+        at, on, d = self.at, self.on, len(self.at)
+        total = c * total
+        value = float(total[0] + 0.5 * (self.penalty * at * at).sum())
+        if self.best is not None and value > self.best + 1e-9 * abs(self.best):
+            self.at = (at + self.good) / 2
+            return
+        slope = (total[1:d + 1] + self.penalty * at)[on]
+        # unpenalised intercepts keep a trace of ridge, so one-class groups stay solvable
+        bend = total[d + 1:].reshape(d, d)[np.ix_(on, on)] + np.diag(np.maximum(self.penalty, 1e-9)[on])
+        move = np.zeros(d)
+        move[on] = np.linalg.solve(bend, slope)
+        self.at, self.good, self.best = at - move, at, value
+        self.done = bool(np.abs(move).max() < STEP_TOLERANCE * max(1.0, np.abs(at).max()))
+
 
-        def out():
-            keys = pa.array(list(held), pa.int64())
-            sums = np.concatenate(list(held.values()))
-            width = 1 + d + d * d
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * width), pa.array(sums))
-            held.clear()
-            return pa.RecordBatch.from_arrays([keys, lists], names=["model", "sums"])
+def _rows_of(r: dict, d: int):
+    """A block's used features, labels and weights."""
+    return (np.frombuffer(r["x"], np.float64).reshape(-1, d) * np.array(r["used"]), np.frombuffer(r["label"], np.int64).astype(float),
+            np.array(r["weight"]))
 
+
+def _solve_whole(loss: Callable, penalised: bool, d: int, c: float, max_steps: int):
+    """mapInArrow over whole groups (one block) joined with their models."""
+    def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            model = batch["model"].to_numpy()
-            x = batch["x"].flatten().to_numpy().reshape(n, d)
-            y, weight = batch["y"].to_numpy(), batch["weight"].to_numpy()
-            margin = (x * batch["w"].flatten().to_numpy().reshape(n, d)).sum(axis=1)
-            value, first, second = (weight * part for part in loss(margin, y))
-            for m in np.unique(model):
-                at = model == m
-                part = x[at]
-                sums = np.concatenate([[value[at].sum()], first[at] @ part, ((second[at, None] * part).T @ part).ravel()])
-                held[int(m)] = held[int(m)] + sums if int(m) in held else sums
-            if len(held) >= HELD:
-                yield out()
-        if held:
-            yield out()
+            out = []
+            for r in batch.to_pylist():
+                rows = _rows_of(r, d)
+                model = Newton(np.zeros(d), np.zeros(d), None, r["used"], penalised)
+                for _ in range(max_steps):
+                    model.step(_sums(loss, *rows, model.at), c)
+                    if model.done:
+                        break
+                out.append({"gk": r["gk"], "arm": r["arm"], "w": model.good.tolist(), "converged": model.done})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("w", pa.list_(pa.float64())),
+                                                             ("converged", pa.bool_())]))
     return run
 
 
-def _step_udf(d: int, penalised_intercept: bool, c: float):
-    """One damped Newton step of every model."""
-    penalty = np.ones(d)
-    penalty[-1] = 1.0 if penalised_intercept else 0.0
+def _partial_sums(loss: Callable, d: int):
+    """mapInArrow over blocks joined with models."""
+    def run(batches):
+        for batch in batches:
+            out = [{"gk": r["gk"], "arm": r["arm"], "sums": _sums(loss, *_rows_of(r, d), np.array(r["w"])).tolist()} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("sums", pa.list_(pa.float64()))]))
+    return run
+
 
+def _step_udf(penalised: bool, c: float):
     @F.arrow_udf("struct<w:array<double>,base:array<double>,loss:double,done:boolean>")
     def step(w: pa.Array, base: pa.Array, loss: pa.Array, used: pa.Array, sums: pa.Array) -> pa.Array:
         out = []
-        for at, good, best, flags, total in zip(w.to_pylist(), base.to_pylist(), loss.to_pylist(), used.to_pylist(),
-                                                sums.to_pylist()):
-            at, good, total, on = np.array(at), np.array(good), c * np.array(total), np.array(flags) > 0
-            value = total[0] + 0.5 * (penalty * at * at).sum()
-            if best is not None and value > best + 1e-9 * abs(best):
-                out.append({"w": (at + good) / 2, "base": good, "loss": best, "done": False})
-                continue
-            slope = (total[1:d + 1] + penalty * at)[on]
-            # unpenalised intercepts keep a trace of ridge, so one-class groups stay solvable
-            bend = total[d + 1:].reshape(d, d)[np.ix_(on, on)] + np.diag(np.maximum(penalty, 1e-9)[on])
-            move = np.zeros(d)
-            move[on] = np.linalg.solve(bend, slope)
-            out.append({"w": at - move, "base": at, "loss": value,
-                        "done": bool(np.abs(move).max() < STEP_TOLERANCE * max(1.0, np.abs(at).max()))})
+        for *state, total in zip(*(a.to_pylist() for a in (w, base, loss, used, sums))):
+            model = Newton(*state, penalised)
+            model.step(np.array(total), c)
+            out.append({"w": model.at.tolist(), "base": model.good.tolist(), "loss": model.best, "done": model.done})
         return pa.array(out, pa.struct([("w", pa.list_(pa.float64())), ("base", pa.list_(pa.float64())),
                                         ("loss", pa.float64()), ("done", pa.bool_())]))
     return step
@@ -113,47 +129,45 @@ def _step_udf(d: int, penalised_intercept: bool, c: float):
 
 def _vector(columns) -> F.Column:
     """Features and a one for the intercept (NULL counts as 0)."""
-    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.lit(1.0))
+    return F.array_append(feature_array(columns), F.lit(1.0))
 
 
 def fit_linear(train: DataFrame, flags: DataFrame, group, feature_cols, algorithm: str, c: float = 1.0,
-               max_steps: int = MAX_STEPS) -> DataFrame:
+               max_steps: int = MAX_STEPS, block: int = BLOCK) -> DataFrame:
     """``group..., arm, w, converged`` (weights of ``feature_cols``, then the
     intercept) of every row of ``flags`` (``used_flags``) whose group has train rows.
     ``train``: features, ``label`` and ``weight``.  Columns an arm does not use
     get weight zero."""
     g, d = list(group), len(feature_cols) + 1
     loss, penalised = LOSSES[algorithm]
-    step = _step_udf(d, penalised, c)
+    rows = train.select(group_key(g).alias("gk"), _vector(feature_cols).alias("x"), F.col("label").cast("long").alias("label"),
+                        F.col("weight").cast("double").alias("weight"))
+    blocks = blocks_of(rows, "linear-rows", block)
+    parts = cut_lineage(blocks.groupBy("gk").agg(F.count(F.lit(1)).alias("parts")))
     used = F.array(*[F.col(f"u_{f}").cast("double") for f in feature_cols], F.lit(1.0))
-    zero = F.array_repeat(F.lit(0.0), d)
-    models = cut_lineage(flags.select(*g, "arm", F.xxhash64(*g, "arm").alias("model"), used.alias("used"),
-                                      zero.alias("w"), zero.alias("base"), F.lit(None).cast("double").alias("loss"),
-                                      F.lit(False).alias("done")))
-    rows = cut_lineage(train.select(*g, _vector(feature_cols).alias("_x"), F.col("label").cast("double").alias("y"),
-                                    F.col("weight").cast("double").alias("weight")))
-    # the models keep their number and size, so one check holds for all steps
-    small = models.count() * (2 * d + 8) * 8 <= BROADCAST_MAX_BYTES
+    models = cut_lineage(flags.select(group_key(g).alias("gk"), F.col("arm").cast("int").alias("arm"), used.alias("used"))
+                         .join(bounded_broadcast(parts), "gk"))
+    size = F.lit(8 * 3 * d + 64)
+    whole = models.where("parts = 1").drop("parts")
+    done = [cut_lineage(blocks.join(broadcast_within(whole, size), "gk").mapInArrow(
+        _solve_whole(loss, penalised, d, c, max_steps), "gk string, arm int, w array<double>, converged boolean"))]
+    zero, step = F.array_repeat(F.lit(0.0), d), _step_udf(penalised, c)
+    live = cut_lineage(models.where("parts > 1").select("gk", "arm", "used", zero.alias("w"), zero.alias("base"),
+                                                        F.lit(None).cast("double").alias("loss")))
     for _ in range(max_steps):
-        open_models = models.where(~F.col("done")).select(*g, "model", "used", "w")
-        sums = (rows.join(F.broadcast(open_models) if small else open_models, g)
-                .select("model", F.zip_with("_x", "used", lambda a, b: a * b).alias("x"), "y", "weight", "w")
-                .mapInArrow(_partial_sums(loss, d), "model long, sums array<double>")
-                .select("model", F.posexplode("sums").alias("pos", "part"))
-                .groupBy("model", "pos").agg(F.sum("part").alias("part"))
-                .groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))),
-                                                  lambda s: s["part"]).alias("sums")))
-        moved = models.join(sums, "model", "left").withColumn(
-            "s", F.when(F.col("sums").isNotNull(), step("w", "base", "loss", "used", F.coalesce(
-                "sums", F.array_repeat(F.lit(0.0), 1 + d + d * d)))))
-        models = cut_lineage(moved.select(
-            *g, "arm", "model", "used", F.coalesce("s.w", "w").alias("w"), F.coalesce("s.base", "base").alias("base"),
-            F.coalesce("s.loss", "loss").alias("loss"),
-            # a model without rows has nothing to learn
-            F.coalesce("s.done", F.lit(True)).alias("done")))
-        if models.where(~F.col("done")).isEmpty():
+        if live.isEmpty():
             break
-    return models.where(F.col("loss").isNotNull()).select(*g, "arm", F.col("base").alias("w"), F.col("done").alias("converged"))
+        sums = (blocks.join(broadcast_within(live, size), "gk").mapInArrow(_partial_sums(loss, d), "gk string, arm int, sums array<double>")
+                .select("gk", "arm", F.posexplode("sums").alias("pos", "part"))
+                .groupBy("gk", "arm", "pos").agg(F.sum("part").alias("part"))
+                .groupBy("gk", "arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))),
+                                                      lambda s: s["part"]).alias("sums")))
+        moved = cut_lineage(live.join(sums, ["gk", "arm"]).select("gk", "arm", "used", step("w", "base", "loss", "used", "sums").alias("s"))
+                            .select("gk", "arm", "used", "s.*"))
+        done.append(moved.where("done").select("gk", "arm", F.col("base").alias("w"), F.lit(True).alias("converged")))
+        live = moved.where("NOT done").drop("done")
+    done.append(live.select("gk", "arm", F.col("base").alias("w"), F.lit(False).alias("converged")))
+    return group_columns(reduce(DataFrame.unionByName, done), g, train)
 
 
 def score_linear(test: DataFrame, models: DataFrame, group, feature_cols, algorithm: str, keys) -> DataFrame:

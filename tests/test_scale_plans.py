@@ -164,6 +164,9 @@ def test_linear_learners_reach_the_optimum(spark, algorithm):
     models = linear.fit_linear(weighted, flags, ["g"], ["a", "b", "c"], algorithm)
     found = {(r.g, r.arm): np.array(r.w) for r in models.collect()}
     assert set(found) == {(g, arm) for g in ("hot", "small") for arm in (0, 1)}
+    # a group of many blocks takes the same steps through Spark
+    many = linear.fit_linear(weighted, flags, ["g"], ["a", "b", "c"], algorithm, block=100).collect()
+    assert len(many) == 4 and all(r.converged and np.allclose(r.w, found[r.g, r.arm], atol=1e-7) for r in many)
     local = weighted.toPandas()
     for (g, arm), w in found.items():
         part = local[local.g == g]
