@@ -13,6 +13,11 @@ from binscore.operators.joins import BROADCAST_MAX_BYTES
 from binscore.session import scratch_dir
 
 BLOCK = 4096
+#: A group of at most this many rows is fitted whole by one task; larger groups
+#: take their steps together, an aggregation each.
+WHOLE = 1 << 18
+#: Tasks for each core that models are dealt to.
+DEALT = 4
 
 
 def group_key(group) -> F.Column:
@@ -30,6 +35,14 @@ def broadcast_within(df: DataFrame, size: F.Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_MAX_BYTES else df
 
 
+def spread(df: DataFrame, models: DataFrame, keys) -> DataFrame:
+    """Blocks joined with ``models`` (materialised), dealt by model to all cores: a
+    model's blocks are small beside the work on them, so sizes in bytes, by which
+    AQE would put them together, do not tell."""
+    tasks = DEALT * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(max(models.count(), 1), tasks), *keys)
+
+
 def group_columns(df: DataFrame, group, like: DataFrame) -> DataFrame:
     """The group columns again from ``gk``."""
     kinds = {f.name: f.dataType.simpleString() for f in like.schema.fields}

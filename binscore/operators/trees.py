@@ -1,6 +1,7 @@
-"""Decision trees and random forests (I4, I7) for all groups and arms at once,
-grown level by level: one aggregation of histograms a level, whatever the
-number of groups, arms and trees.
+"""Decision trees and random forests (I4, I7) for all groups and arms at once.
+The trees of a group of at most ``WHOLE`` rows grow to their end in a task, a
+slab of trees each; larger groups grow level by level: one aggregation of
+histograms a level, whatever the number of groups, arms and trees.
 
 * Features are cut at up to ``BINS`` quantiles of their group's train rows; a
   group of at most ``BINS`` rows has every value as a bin, and its trees are
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binscore.operators.blocks import blocks_of, broadcast_within, feature_array, group_columns, group_key
+from binscore.operators.blocks import WHOLE, blocks_of, broadcast_within, feature_array, group_columns, group_key, spread
 from binscore.operators.draws import poisson_limits, row_number_of, scramble
 from binscore.session import cut_lineage, scratch_dir
 
@@ -96,24 +97,52 @@ def sampled(keys: np.ndarray, draws: np.ndarray, used: np.ndarray, share: float)
     return padded[np.arange(len(keys))[:, None], draws.astype(np.int64)[:, None] * m + np.arange(m)]
 
 
+def _draws(nodes: np.ndarray, key: np.ndarray, limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that the slab's trees draw: place, root and how often."""
+    trees = int((nodes["depth"] == 0).sum())  # the roots come first
+    if limits is None:
+        r, at = np.repeat(np.arange(len(key)), trees), np.tile(np.arange(trees), len(key))
+        return r, at, np.ones(len(r), np.int64)
+    h = scramble(key[:, None], nodes["tree"][None, :trees].astype(np.int64))
+    drawn = np.searchsorted(limits, h, side="right")
+    r, at = np.nonzero(drawn)
+    return r, at, drawn[r, at]
+
+
+def _counted(r, at, times, nodes, used, bins, label, slab: int, share: float):
+    """Counts by class of (node, feature, bin) of drawn rows at open nodes, and
+    the counts at the tree's root (-1: not known yet); None without any."""
+    d = bins.shape[1]
+    which, place = np.unique(at, return_inverse=True)
+    if not len(which) or not len(used):
+        return None
+    looks = sampled(nodes["key"][which], nodes["draws"][which], used, share)
+    codes, rows = [], []
+    for c in range(looks.shape[1]):
+        f = looks[place, c]
+        ok = np.flatnonzero(f >= 0)
+        codes.append((place[ok] * d + f[ok]) * BINS + bins[r[ok], f[ok]])
+        rows.append(ok)
+    codes, rows = np.concatenate(codes), np.concatenate(rows)
+    code, back = np.unique(codes, return_inverse=True)
+    n1 = np.bincount(back, weights=times[rows] * label[r[rows]], minlength=len(code)).astype(np.int64)
+    n0 = np.bincount(back, weights=times[rows], minlength=len(code)).astype(np.int64) - n1
+    node = which[code // (d * BINS)]
+    root = nodes["tree"][node] - slab
+    known = nodes["feature"][root] != OPEN
+    return (node.astype(np.int32), (code // BINS % d).astype(np.int32), (code % BINS).astype(np.int32), n0, n1,
+            np.where(known, nodes["n0"][root], -1), np.where(known, nodes["n1"][root], -1))
+
+
 def _histograms(d: int, forest: Forest):
-    """mapInArrow over blocks joined with slabs: counts by class of (node,
-    feature, bin), and the counts at the tree's root (-1: not known yet)."""
+    """mapInArrow over blocks joined with slabs: ``_counted`` of every block."""
     limits = poisson_limits(forest.rate) if forest.rate is not None else None
 
     def one(row):
         nodes, used = np.frombuffer(row["nodes"], NODE), np.array(row["used"], np.int64)
         bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, d)
         label, key = np.frombuffer(row["label"], np.int64), np.frombuffer(row["key"], np.int64)
-        trees = int((nodes["depth"] == 0).sum())  # the roots come first
-        if limits is None:
-            r, at = np.repeat(np.arange(len(key)), trees), np.tile(np.arange(trees), len(key))
-            times = np.ones(len(r), np.int64)
-        else:
-            h = scramble(key[:, None], nodes["tree"][None, :trees].astype(np.int64))
-            drawn = np.searchsorted(limits, h, side="right")
-            r, at = np.nonzero(drawn)
-            times = drawn[r, at]
+        r, at, times = _draws(nodes, key, limits)
         feature, cut, left = nodes["feature"], nodes["cut"], nodes["left"]
         while True:
             inner = np.flatnonzero(feature[at] >= 0)
@@ -122,26 +151,7 @@ def _histograms(d: int, forest: Forest):
             node = at[inner]
             at[inner] = left[node] + (bins[r[inner], feature[node]] > cut[node])
         live = feature[at] == OPEN
-        r, at, times = r[live], at[live], times[live]
-        which, place = np.unique(at, return_inverse=True)
-        if not len(which) or not len(used):
-            return None
-        looks = sampled(nodes["key"][which], nodes["draws"][which], used, forest.features)
-        codes, rows = [], []
-        for c in range(looks.shape[1]):
-            f = looks[place, c]
-            ok = np.flatnonzero(f >= 0)
-            codes.append((place[ok] * d + f[ok]) * BINS + bins[r[ok], f[ok]])
-            rows.append(ok)
-        codes, rows = np.concatenate(codes), np.concatenate(rows)
-        code, back = np.unique(codes, return_inverse=True)
-        n1 = np.bincount(back, weights=times[rows] * label[r[rows]], minlength=len(code)).astype(np.int64)
-        n0 = np.bincount(back, weights=times[rows], minlength=len(code)).astype(np.int64) - n1
-        node = which[code // (d * BINS)]
-        root = nodes["tree"][node] - row["slab"]
-        known = nodes["feature"][root] != OPEN
-        return (node.astype(np.int32), (code // BINS % d).astype(np.int32), (code % BINS).astype(np.int32), n0, n1,
-                np.where(known, nodes["n0"][root], -1), np.where(known, nodes["n1"][root], -1))
+        return _counted(r[live], at[live], times[live], nodes, used, bins, label, row["slab"], forest.features)
 
     def run(batches):
         for batch in batches:
@@ -189,60 +199,127 @@ def best_splits(counts: DataFrame) -> DataFrame:
     return best.groupBy("gk", "arm", "slab").agg(F.collect_list(F.struct("node", "t0", "t1", "split")).alias("found"))
 
 
+def _splits(node, feature, bin_, n0, n1, r0, r1):
+    """``best_splits`` of the whole counts of one slab, sorted by node, feature
+    and bin: nodes with their counts, whether they split, and the split."""
+    n = len(node)
+    last = np.append((node[1:] != node[:-1]) | (feature[1:] != feature[:-1]), True)
+    end = np.flatnonzero(last)
+    size = np.diff(np.concatenate([[-1], end]))
+    sums = [np.cumsum(c) for c in (n0, n1)]
+    base = [np.repeat(np.concatenate([[0], c[end[:-1]]]), size) for c in sums]
+    left = [c - o for c, o in zip(sums, base)]
+    total = [np.repeat(c[end], size) - o for c, o in zip(sums, base)]
+    root = [np.where(r < 0, t, r).astype(float) for r, t in zip((r0, r1), total)]
+    at = np.flatnonzero(~last & (root[0] > 0) & (root[1] > 0))
+    l0, l1 = (c[at] / r[at] for c, r in zip(left, root))
+    g0, g1 = ((t[at] - c[at]) / r[at] for t, c, r in zip(total, left, root))
+
+    def entropy(a, b):
+        p, q = a / (a + b), b / (a + b)
+        return np.where((a <= 0) | (b <= 0), 0.0, -(p * (np.log(p) / np.log(2)) + q * (np.log(q) / np.log(2))))
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mixed = np.round(((l0 + l1) * entropy(l0, l1) + (g0 + g1) * entropy(g0, g1)) / (l0 + l1 + g0 + g1), 12)
+    # by node, then the least entropy, feature and bin: counts are sorted by feature and bin already
+    order = at[np.lexsort((mixed, node[at]))]
+    best = order[np.append(True, node[order[1:]] != node[order[:-1]])] if len(order) else order
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    chosen = np.full(len(first), -1)
+    chosen[np.searchsorted(node[first], node[best])] = best
+    valid = chosen >= 0
+    take = lambda c: np.where(valid, c[chosen], 0).astype(np.int64)
+    return (node[first], total[0][first], total[1][first], valid, take(feature), take(bin_), take(np.append(bin_[1:], 0)),
+            take(left[0]), take(left[1]))
+
+
+def _advance(nodes: np.ndarray, n_used: int, forest: Forest, found) -> np.ndarray:
+    """A slab's nodes (changed) with its open nodes' splits ``found``, or None."""
+    open_ = np.flatnonzero(nodes["feature"] == OPEN)
+    seen = np.zeros(len(nodes), bool)
+    new = []
+    if found is not None:
+        node, t0, t1, valid, feature, cut, next_, l0, l1 = found
+        seen[node] = True
+        nodes["n0"][node], nodes["n1"][node] = t0, t1
+        mixed = (t0 > 0) & (t1 > 0) & (nodes["depth"][node] < forest.max_depth)
+        nodes["feature"][node[~mixed]] = LEAF
+        # nothing separates: the next features in order, a leaf after the last
+        dry = node[mixed & ~valid]
+        nodes["draws"][dry] += 1
+        m = max(1, int(forest.features * n_used))
+        nodes["feature"][dry[nodes["draws"][dry].astype(np.int64) * m >= n_used]] = LEAF
+        do = mixed & valid
+        at = node[do]
+        nodes["feature"][at], nodes["cut"][at], nodes["next"][at] = feature[do], cut[do], next_[do]
+        nodes["left"][at] = len(nodes) + 2 * np.arange(len(at))
+        children = np.zeros(2 * len(at), NODE)
+        for side in (0, 1):
+            child = children[side::2]
+            child["tree"], child["depth"] = nodes["tree"][at], nodes["depth"][at] + 1
+            child["key"] = scramble(nodes["key"][at].astype(np.int64), 1 + side)
+            child["n0"] = l0[do] if side == 0 else (t0 - l0)[do]
+            child["n1"] = l1[do] if side == 0 else (t1 - l1)[do]
+        children["feature"] = np.where((children["n0"] > 0) & (children["n1"] > 0)
+                                       & (children["depth"] < forest.max_depth), OPEN, LEAF)
+        new = [children]
+    # an open node without rows is a tree that drew none
+    nodes["feature"][open_[~seen[open_]]] = LEAF
+    return np.concatenate([nodes, *new])
+
+
 def _grow(forest: Forest):
     """Puts a level's splits into the nodes of a slab."""
     @F.arrow_udf("struct<nodes: binary, open: boolean>")
     def grow(blobs: pa.Array, used: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for blob, features, list_ in zip(blobs.to_pylist(), used.to_pylist(), found):
-            nodes = np.frombuffer(blob, NODE).copy()
-            open_ = np.flatnonzero(nodes["feature"] == OPEN)
-            seen = np.zeros(len(nodes), bool)
-            new = []
+            splits = None
             if list_.is_valid and len(list_.values):
                 rows = list_.values
                 col = lambda a, i: a.field(i).to_numpy(zero_copy_only=False)
                 order = np.argsort(col(rows, 0), kind="stable")
-                node, t0, t1 = (col(rows, i)[order].astype(np.int64) for i in range(3))
                 split = rows.field(3).take(pa.array(order))
-                valid = np.asarray(split.is_valid())
-                feature, cut, next_, l0, l1 = (split.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                                               for i in range(5))
-                seen[node] = True
-                nodes["n0"][node], nodes["n1"][node] = t0, t1
-                mixed = (t0 > 0) & (t1 > 0) & (nodes["depth"][node] < forest.max_depth)
-                nodes["feature"][node[~mixed]] = LEAF
-                # nothing separates: the next features in order, a leaf after the last
-                dry = node[mixed & ~valid]
-                nodes["draws"][dry] += 1
-                m = max(1, int(forest.features * len(features)))
-                nodes["feature"][dry[nodes["draws"][dry].astype(np.int64) * m >= len(features)]] = LEAF
-                do = mixed & valid
-                at = node[do]
-                nodes["feature"][at], nodes["cut"][at], nodes["next"][at] = feature[do], cut[do], next_[do]
-                nodes["left"][at] = len(nodes) + 2 * np.arange(len(at))
-                children = np.zeros(2 * len(at), NODE)
-                for side in (0, 1):
-                    child = children[side::2]
-                    child["tree"], child["depth"] = nodes["tree"][at], nodes["depth"][at] + 1
-                    child["key"] = scramble(nodes["key"][at].astype(np.int64), 1 + side)
-                    child["n0"] = l0[do] if side == 0 else (t0 - l0)[do]
-                    child["n1"] = l1[do] if side == 0 else (t1 - l1)[do]
-                children["feature"] = np.where((children["n0"] > 0) & (children["n1"] > 0)
-                                               & (children["depth"] < forest.max_depth), OPEN, LEAF)
-                new = [children]
-            # an open node without rows is a tree that drew none
-            nodes["feature"][open_[~seen[open_]]] = LEAF
-            nodes = np.concatenate([nodes, *new])
+                splits = (*(col(rows, i)[order].astype(np.int64) for i in range(3)), np.asarray(split.is_valid()),
+                          *(split.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)))
+            nodes = _advance(np.frombuffer(blob, NODE).copy(), len(features), forest, splits)
             out.append({"nodes": nodes.tobytes(), "open": bool((nodes["feature"] == OPEN).any())})
         return pa.array(out, pa.struct([("nodes", pa.binary()), ("open", pa.bool_())]))
     return grow
 
 
-def fit_forest(train: DataFrame, flags: DataFrame, group, feature_cols, forest: Forest, key_cols) -> DataFrame:
+def _grow_whole(d: int, forest: Forest):
+    """applyInArrow over the blocks of a slab's whole group: its finished nodes.
+    Rows wait at their node and go down one level at a time."""
+    limits = poisson_limits(forest.rate) if forest.rate is not None else None
+
+    def run(key, table):
+        slab, used = key[2].as_py(), np.array(table["used"][0].as_py(), np.int64)
+        nodes = np.frombuffer(table["nodes"][0].as_py(), NODE).copy()
+        blocks = [[np.frombuffer(v.as_buffer(), kind) for v in table[c]] for c, kind in (("bins", np.uint8), ("label", np.int64), ("key", np.int64))]
+        drawn = [_draws(nodes, k, limits) for k in blocks[2]]
+        ahead = np.cumsum([0, *map(len, blocks[2])])
+        r = np.concatenate([part[0] + n for part, n in zip(drawn, ahead)])
+        at, times = (np.concatenate([part[i] for part in drawn]) for i in (1, 2))
+        bins, label = np.concatenate(blocks[0]).reshape(-1, d), np.concatenate(blocks[1])
+        while (nodes["feature"] == OPEN).any():
+            found = _counted(r, at, times, nodes, used, bins, label, slab, forest.features)
+            nodes = _advance(nodes, len(used), forest, None if found is None else _splits(*found))
+            inner = np.flatnonzero(nodes["feature"][at] >= 0)
+            node = at[inner]
+            at[inner] = nodes["left"][node] + (bins[r[inner], nodes["feature"][node]] > nodes["cut"][node])
+            live = nodes["feature"][at] == OPEN
+            r, at, times = r[live], at[live], times[live]
+        return pa.Table.from_pydict({"gk": [key[0].as_py()], "arm": pa.array([key[1].as_py()], pa.int32()), "slab": pa.array([slab], pa.int32()),
+                                     "used": pa.array([used.tolist()], pa.list_(pa.int32())), "nodes": pa.array([nodes.tobytes()], pa.binary())})
+    return run
+
+
+def fit_forest(train: DataFrame, flags: DataFrame, group, feature_cols, forest: Forest, key_cols, whole: int = WHOLE) -> DataFrame:
     """Nodes of all trees of every row of ``flags`` (``used_flags``) whose group
     has train rows, in slabs for ``score_forest`` and ``forest_nodes``.
-    ``train``: features, ``label`` and ``key_cols``, which identify a row."""
+    ``train``: features, ``label`` and ``key_cols``, which identify a row.
+    ``whole``: rows of a group at most whose trees grow in one task."""
     g, feats = list(group), list(feature_cols)
     d = len(feats)
     rows = cut_lineage(train.select(group_key(g).alias("gk"), feature_array(feats).alias("x"), F.col("label").cast("long").alias("label"),
@@ -268,13 +345,16 @@ def fit_forest(train: DataFrame, flags: DataFrame, group, feature_cols, forest:
         return pa.array([_roots(s, k) for s, k in zip(slab.to_pylist(), n.to_pylist())], pa.binary())
 
     models = (flags.select(group_key(g).alias("gk"), F.col("arm").cast("int").alias("arm"), used.alias("used"))
-              .join(edges.select("gk", width.alias("width")), "gk")
+              .join(edges.select("gk", width.alias("width"), (F.col("n") <= whole).alias("whole")), "gk")
               .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1), F.col("width"))))
-              .select("gk", "arm", "slab", "used",
+              .select("gk", "arm", "slab", "used", "whole",
                       roots("slab", F.least(F.col("width"), F.lit(forest.trees) - F.col("slab"))).alias("nodes"), F.lit(True).alias("open")))
     models = cut_lineage(models)
     grow, slab = _grow(forest), ["gk", "arm", "slab"]
-    done = []
+    small = models.where("whole").drop("whole", "open")
+    gathered = spread(blocks.join(broadcast_within(small, F.octet_length("nodes") + 64), "gk"), small, slab)
+    done = [cut_lineage(gathered.groupBy(*slab).applyInArrow(_grow_whole(d, forest), small.schema).withColumn("open", F.lit(False)))]
+    models = models.where("NOT whole").drop("whole")
     while not models.isEmpty():
         live = models.drop("open")
         sent = broadcast_within(live, F.octet_length("nodes") + 64)
@@ -371,7 +451,7 @@ def score_forest(test: DataFrame, models: DataFrame, group, feature_cols, keys)
     blocks = blocks_of(rows, "tree-test")
     # a written row's place is the block's number: the same in every task that reads it
     blocks = blocks.withColumn("block", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-    routed = blocks.join(broadcast_within(models, 64 + 44 * F.size("tree")), "gk").mapInArrow(
+    routed = spread(blocks.join(broadcast_within(models, 64 + 44 * F.size("tree")), "gk"), models, ["gk", "arm", "slab"]).mapInArrow(
         _route(len(feats)), f"gk string, arm int, block bigint, pos int, id {kind}, total double, votes bigint")
     score = F.round(F.sum("total") / F.nullif(F.sum("votes"), F.lit(0)), 12)
     out = routed.groupBy("gk", "arm", "block", "pos").agg(F.first("id").alias("id"), score.alias("score"))
