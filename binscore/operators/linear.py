@@ -6,8 +6,8 @@ a free intercept, or the squared hinge with a penalised one.  Both problems
 have one optimum, so the result does not depend on the solver.
 
 Models take damped Newton steps: a step that raises the loss is halved.  The
-train rows are packed once into blocks of a group.  A group of one block is
-solved where the block is read.  Groups of several blocks take their steps
+train rows are packed once into blocks of a group.  A group of at most
+``WHOLE`` rows is solved in one task an arm.  Larger groups take their steps
 together: each block sums loss, gradient and Hessian for the models it meets,
 one aggregation a step adds them up per position, and the small systems are
 solved where those rows lie; models are checkpointed after each step.  A model
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.operators.blocks import BLOCK, blocks_of, broadcast_within, feature_array, group_columns, group_key
+from binscore.operators.blocks import BLOCK, WHOLE, blocks_of, broadcast_within, feature_array, group_columns, group_key, spread
 from binscore.operators.joins import bounded_broadcast
 from binscore.session import cut_lineage
 
@@ -88,20 +88,17 @@ def _rows_of(r: dict, d: int):
 
 
 def _solve_whole(loss: Callable, penalised: bool, d: int, c: float, max_steps: int):
-    """mapInArrow over whole groups (one block) joined with their models."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                rows = _rows_of(r, d)
-                model = Newton(np.zeros(d), np.zeros(d), None, r["used"], penalised)
-                for _ in range(max_steps):
-                    model.step(_sums(loss, *rows, model.at), c)
-                    if model.done:
-                        break
-                out.append({"gk": r["gk"], "arm": r["arm"], "w": model.good.tolist(), "converged": model.done})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("w", pa.list_(pa.float64())),
-                                                             ("converged", pa.bool_())]))
+    """applyInArrow over the blocks of whole groups joined with their models."""
+    def run(key, table):
+        rows = [np.concatenate(part) for part in zip(*(_rows_of(r, d) for r in table.to_pylist()))]
+        model = Newton(np.zeros(d), np.zeros(d), None, table["used"][0].as_py(), penalised)
+        for _ in range(max_steps):
+            model.step(_sums(loss, *rows, model.at), c)
+            if model.done:
+                break
+        return pa.Table.from_pylist([{"gk": key[0].as_py(), "arm": key[1].as_py(), "w": model.good.tolist(), "converged": model.done}],
+                                    pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("w", pa.list_(pa.float64())),
+                                               ("converged", pa.bool_())]))
     return run
 
 
@@ -133,26 +130,26 @@ def _vector(columns) -> F.Column:
 
 
 def fit_linear(train: DataFrame, flags: DataFrame, group, feature_cols, algorithm: str, c: float = 1.0,
-               max_steps: int = MAX_STEPS, block: int = BLOCK) -> DataFrame:
+               max_steps: int = MAX_STEPS, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """``group..., arm, w, converged`` (weights of ``feature_cols``, then the
     intercept) of every row of ``flags`` (``used_flags``) whose group has train rows.
     ``train``: features, ``label`` and ``weight``.  Columns an arm does not use
-    get weight zero."""
+    get weight zero.  ``whole``: rows of a group at most that one task solves."""
     g, d = list(group), len(feature_cols) + 1
     loss, penalised = LOSSES[algorithm]
     rows = train.select(group_key(g).alias("gk"), _vector(feature_cols).alias("x"), F.col("label").cast("long").alias("label"),
                         F.col("weight").cast("double").alias("weight"))
     blocks = blocks_of(rows, "linear-rows", block)
-    parts = cut_lineage(blocks.groupBy("gk").agg(F.count(F.lit(1)).alias("parts")))
+    parts = cut_lineage(blocks.groupBy("gk").agg((F.sum(F.octet_length("label")) <= 8 * whole).alias("whole")))
     used = F.array(*[F.col(f"u_{f}").cast("double") for f in feature_cols], F.lit(1.0))
     models = cut_lineage(flags.select(group_key(g).alias("gk"), F.col("arm").cast("int").alias("arm"), used.alias("used"))
                          .join(bounded_broadcast(parts), "gk"))
     size = F.lit(8 * 3 * d + 64)
-    whole = models.where("parts = 1").drop("parts")
-    done = [cut_lineage(blocks.join(broadcast_within(whole, size), "gk").mapInArrow(
+    small = models.where("whole").drop("whole")
+    done = [cut_lineage(spread(blocks.join(broadcast_within(small, size), "gk"), small, ["gk", "arm"]).groupBy("gk", "arm").applyInArrow(
         _solve_whole(loss, penalised, d, c, max_steps), "gk string, arm int, w array<double>, converged boolean"))]
     zero, step = F.array_repeat(F.lit(0.0), d), _step_udf(penalised, c)
-    live = cut_lineage(models.where("parts > 1").select("gk", "arm", "used", zero.alias("w"), zero.alias("base"),
+    live = cut_lineage(models.where("NOT whole").select("gk", "arm", "used", zero.alias("w"), zero.alias("base"),
                                                         F.lit(None).cast("double").alias("loss")))
     for _ in range(max_steps):
         if live.isEmpty():

@@ -11,9 +11,9 @@ Initial weights are hashes of their place, so reruns agree.  A batch is the
 group's whole train set: the library's batches of min(200, n) rows for groups of
 up to 200 rows; larger groups take larger batches and so fewer updates.
 
-A group whose rows lie in one block trains to its end where the block is read.
-Groups of several blocks train together, one aggregation of gradients an epoch
-for all of them; their models are checkpointed after each.
+A group of at most ``WHOLE`` rows trains to its end in one task an arm.  Larger
+groups train together, one aggregation of gradients an epoch for all of them;
+their models are checkpointed after each.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscore.operators.blocks import BLOCK, blocks_of, broadcast_within, feature_array, group_columns, group_key
+from binscore.operators.blocks import BLOCK, WHOLE, blocks_of, broadcast_within, feature_array, group_columns, group_key, spread
 from binscore.operators.draws import PRIME, scramble
 from binscore.operators.joins import bounded_broadcast
 from binscore.session import cut_lineage
@@ -103,18 +103,17 @@ def _masked(raw: bytes, used: list[int], d: int) -> np.ndarray:
 
 
 def _train_whole(d: int, epochs: int):
-    """mapInArrow over whole groups (one block) joined with their models."""
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, y = _masked(r["x"], r["used"], d), np.frombuffer(r["label"], np.int64)
-                state = Adam(r["w"], np.zeros(width(d)), np.zeros(width(d)))
-                while not state.done:
-                    state.update(*loss_and_gradient(state.w, x, y), len(y), d, epochs)
-                rows.append({"gk": r["gk"], "arm": r["arm"], "w": state.w.tolist(), "epoch": state.epoch})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("w", pa.list_(pa.float64())),
-                                                              ("epoch", pa.int32())]))
+    """applyInArrow over the blocks of whole groups joined with their models."""
+    def run(key, table):
+        used = table["used"][0].as_py()
+        x = np.concatenate([_masked(v.as_buffer(), used, d) for v in table["x"]])
+        y = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in table["label"]])
+        state = Adam(table["w"][0].as_py(), np.zeros(width(d)), np.zeros(width(d)))
+        while not state.done:
+            state.update(*loss_and_gradient(state.w, x, y), len(y), d, epochs)
+        return pa.Table.from_pylist([{"gk": key[0].as_py(), "arm": key[1].as_py(), "w": state.w.tolist(), "epoch": state.epoch}],
+                                    pa.schema([("gk", pa.string()), ("arm", pa.int32()), ("w", pa.list_(pa.float64())),
+                                               ("epoch", pa.int32())]))
     return run
 
 
@@ -146,9 +145,11 @@ def _update(d: int, epochs: int):
     return step
 
 
-def fit_perceptrons(train: DataFrame, flags: DataFrame, group, feature_cols, epochs: int = MAX_EPOCHS, block: int = BLOCK) -> DataFrame:
+def fit_perceptrons(train: DataFrame, flags: DataFrame, group, feature_cols, epochs: int = MAX_EPOCHS, block: int = BLOCK,
+                    whole: int = WHOLE) -> DataFrame:
     """``gk, arm, w, epoch`` of every row of ``flags`` (``used_flags``) whose group
-    has train rows (features and ``label``).  ``block``: rows of a block at most."""
+    has train rows (features and ``label``).  ``block``: rows of a block at most,
+    ``whole``: those of a group that trains in one task."""
     g, feats = list(group), list(feature_cols)
     d = len(feats)
     rows = train.select(group_key(g).alias("gk"), feature_array(feats).alias("x"), F.col("label").cast("long").alias("label"))
@@ -159,15 +160,15 @@ def fit_perceptrons(train: DataFrame, flags: DataFrame, group, feature_cols, epo
     def start(used: pa.Array) -> pa.Array:
         return pa.array([first_weights(u, d).tolist() for u in used.to_pylist()], pa.list_(pa.float64()))
 
-    parts = cut_lineage(blocks.groupBy("gk").agg(F.count(F.lit(1)).alias("parts")))
+    parts = cut_lineage(blocks.groupBy("gk").agg((F.sum(F.octet_length("label")) <= 8 * whole).alias("whole")))
     models = cut_lineage(flags.select(group_key(g).alias("gk"), F.col("arm").cast("int").alias("arm"), used.alias("used"))
                          .join(bounded_broadcast(parts), "gk").withColumn("w", start("used")))
     size = F.lit(8 * 3 * width(d) + 64)
-    whole = models.where("parts = 1").drop("parts")
-    done = [cut_lineage(blocks.join(broadcast_within(whole, size), "gk")
-                        .mapInArrow(_train_whole(d, epochs), "gk string, arm int, w array<double>, epoch int"))]
+    small = models.where("whole").drop("whole")
+    done = [cut_lineage(spread(blocks.join(broadcast_within(small, size), "gk"), small, ["gk", "arm"]).groupBy("gk", "arm")
+                        .applyInArrow(_train_whole(d, epochs), "gk string, arm int, w array<double>, epoch int"))]
     zeros, step = F.array_repeat(F.lit(0.0), width(d)), _update(d, epochs)
-    live = cut_lineage(models.where("parts > 1").select(
+    live = cut_lineage(models.where("NOT whole").select(
         "gk", "arm", "used", "w", zeros.alias("m"), zeros.alias("v"), F.lit(0).alias("epoch"), F.lit(float("inf")).alias("best"),
         F.lit(0).alias("stale"), F.lit(False).alias("done")))
     while not live.isEmpty():
