@@ -8,7 +8,7 @@ tree level) -> one predictions table -> metrics (I9).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -58,6 +58,12 @@ def ml_inputs(spark, sf_dir: str, ablation: str = "strict") -> MLInputs:
                     learn.minmax_apply(test, mm, G, FEATURES), corr, used)
 
 
+def settled(inp: MLInputs) -> MLInputs:
+    """``inp`` with the scaled rows and the arms' features written once and read
+    back: every learner reads them several times."""
+    return replace(inp, train=cut_lineage(inp.train), test=cut_lineage(inp.test), used=cut_lineage(inp.used))
+
+
 PREDICTIONS = ("project", "algorithm", "arm", "github_path", "label", "score", "prediction")
 
 
@@ -106,14 +112,15 @@ def perceptron_predictions(inp: MLInputs) -> DataFrame:
 
 def ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, inp: MLInputs | None = None) -> DataFrame:
     """I3-I8 for every kept project, both arms and the given algorithms."""
-    inp = inp or ml_inputs(spark, sf_dir)
+    inp = inp or settled(ml_inputs(spark, sf_dir))
 
     def one(algorithm: str) -> DataFrame:
         if algorithm in linear.LOSSES:
             return linear_predictions(inp, algorithm)
         return perceptron_predictions(inp) if algorithm == "MLP" else tree_predictions(inp, algorithm)
 
-    preds = reduce(DataFrame.unionByName, [one(a) for a in algorithms])
+    # the scaling reads the scores twice
+    preds = cut_lineage(reduce(DataFrame.unionByName, [one(a) for a in algorithms]))
     # decision values (SVM) are min-max scaled within their group
     scaled = ranking.score_minmax(preds, ["project", "algorithm", "arm"], "score", "scaled")
     return scaled.select("project", "algorithm", "arm", "github_path", "label",
@@ -124,6 +131,6 @@ def ml_predictions(spark, sf_dir: str, algorithms=ML_ALGORITHMS, inp: MLInputs |
 def all_predictions(spark, sf_dir: str, inp: MLInputs | None = None) -> DataFrame:
     """The six learners' scores of every test file of the kept projects,
     both arms."""
-    inp = inp or ml_inputs(spark, sf_dir)
+    inp = inp or settled(ml_inputs(spark, sf_dir))
     cnb = cnb_predictions(spark, sf_dir, inp=inp).withColumn("algorithm", F.lit("CNB"))
     return cnb.select(*PREDICTIONS).unionByName(ml_predictions(spark, sf_dir, inp=inp).select(*PREDICTIONS))
