@@ -2,8 +2,9 @@
 
 A tokenizer is plugged in as a factory; what it makes cuts a text into pieces
 that are tokenised by themselves (``pieces``) and tells the tokens of a piece
-(``size``).  It is made once per Python worker, and each distinct piece of an
-Arrow batch is tokenised once.
+(``size``).  It is made once per Python worker.  A batch is walked in stretches of
+at most ``HELD_BYTES`` of text, whatever its rows, and each distinct piece of a
+stretch is tokenised once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ CHATML = ChatTemplate("<|im_start|>", "\n", "<|im_end|>\n", "<|im_start|>assista
 # ----------------------------------------------------------------------------------
 
 
+#: Bytes of the texts whose pieces a worker holds at once (one text at least).
+HELD_BYTES = 1 << 18
+
+
 class WhitespaceTokenizer:
     """White-space separated words, one token each."""
 
@@ -86,18 +92,35 @@ def _tokenizer(factory: Callable, args: tuple):
     return _MADE[factory, args]
 
 
+def stretches(text: pa.Array):
+    """``text`` in slices of at most ``HELD_BYTES``, one text at least."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(text):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_BYTES, side="right")))
+        yield text.slice(at, until - at)
+        at = until
+
+
+def count_tokens(made, text: pa.Array) -> pa.Array:
+    """Tokens of each text by the tokenizer ``made`` (NULL for NULL)."""
+    sizes = [np.zeros(0, np.int64)]
+    for part in stretches(text):
+        found = [made.pieces(t or "") for t in part.to_pylist()]
+        coded = pa.array([p for pieces in found for p in pieces], pa.string()).dictionary_encode()
+        each = np.array([made.size(p) for p in coded.dictionary.to_pylist()], np.int64)
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64))])
+        sizes.append(total[ends[1:]] - total[ends[:-1]])
+    return pa.array(np.concatenate(sizes), pa.int64(), mask=np.asarray(text.is_null()))
+
+
 def token_counter(factory: Callable = WhitespaceTokenizer, *args):
     """An Arrow function of a text column: tokens of each text (NULL for NULL).
     ``factory(*args)`` makes the tokenizer in the worker."""
     @F.arrow_udf("bigint")
     def n_tokens(text: pa.Array) -> pa.Array:
-        made = _tokenizer(factory, args)
-        found = [made.pieces(t) for t in text.fill_null("").to_pylist()]
-        coded = pa.array([p for pieces in found for p in pieces], pa.string()).dictionary_encode()
-        each = np.array([made.size(p) for p in coded.dictionary.to_pylist()], np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64))])
-        return pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64(), mask=np.asarray(text.is_null()))
+        return count_tokens(_tokenizer(factory, args), text)
     return n_tokens
 
 
