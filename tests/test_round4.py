@@ -7,7 +7,7 @@ import numpy as np
 
 from binscore.operators import linear, perceptron, trees
 from binscore.plans import evaluation
-from conftest import SF_SMOKE
+from conftest import SF_SMALL
 from test_learners import FEATURES, frames, found_nodes, table
 
 
@@ -54,7 +54,7 @@ def test_linear_models_of_several_blocks_are_solved_in_one_task(spark):
 
 def test_learners_read_their_inputs_once(spark):
     """The scaled rows and the arms' features are not derived again by each learner."""
-    inp = evaluation.settled(evaluation.ml_inputs(spark, SF_SMOKE))
+    inp = evaluation.settled(evaluation.ml_inputs(spark, SF_SMALL))
     for df in (inp.train, inp.test, inp.used):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ExistingRDD" in plan and "Join" not in plan and "parquet" not in plan
